@@ -37,12 +37,12 @@ _HOST_FAILED = "greatest(" + ", ".join(f"(f_{r} + p_{r}.k * p_{r}.m) / (n + p_{r
 ORACLE_SQL = {
     "op6_quality_rules": rf"""
 with d as (select doc_id, source, coalesce(text, '') as t from documents),
-w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') as ws,
-      list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
 win as (select doc_id, i, array_to_string(ws[i:i+7], ' ') as g from w, unnest(generate_series(1, len(ws) - 7)) as u(i)),
 rep as (select doc_id, i from win qualify count(*) over (partition by doc_id, g) > 1),
 cov as (select doc_id, sum(least(8, nxt - i)) as c from (select doc_id, i, coalesce(lead(i) over (partition by doc_id order by i), i + 8) as nxt from rep) group by doc_id),
-f as (select w.doc_id, source, len(ws) as n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::bigint as word_chars,
+f as (select w.doc_id, source, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
       length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(ls) as n_lines,
       len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(c, 0)::bigint as n_repeat_words
       from w left join cov on w.doc_id = cov.doc_id),
