@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import mixing, quality
+from brindle.llm import language, mixing, neighbours, packing, quality, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -21,7 +27,30 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op6_quality_rules)}
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.write_and_read(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def _held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train_language_model(docs.where(~_held_out()))
+    return language.predict_languages(docs, model).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = neighbours.encode(_table(spark, sf_dir, "embeddings"))
+    return neighbours.search(index, index.where("vec_id % 50 = 0")).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mix, op6_quality_rules, op7_token_shards, op8_lexical_packing, op9_language_id, op10_nearest_vectors)}
 
 _MOMENTS = "\n".join(
     f"""
