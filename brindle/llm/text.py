@@ -91,12 +91,9 @@ def word_shingles(data: np.ndarray, off: np.ndarray, k: int = 5) -> list[np.ndar
         return [np.zeros(0, np.uint64)] * (len(off) - 1)
     h = span_hash(prefix(data), s, e)
     run = np.zeros(len(h), np.uint64)
-    acc = np.zeros(len(h), np.uint64)
-    for j in range(k):
+    for j in range(min(k, len(h))):
         n = len(h) - j
-        acc[:n] = mix(acc[:n] + h[j:] * np.uint64(2 * j + 0x9E3779B97F4A7C15))
-        acc[n:] = 0
-    run[:] = acc
+        run[:n] = mix(run[:n] + h[j:] * np.uint64(2 * j + 0x9E3779B97F4A7C15))
     out = []
     for a, b in zip(row[:-1].tolist(), row[1:].tolist()):
         if b - a >= k:
