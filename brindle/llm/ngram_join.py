@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.text import mix, text_blocks, word_shingles
+from brindle.llm.linking import BLOCK, block_pairs, components_of_shared, forest, grouped, in_play
 from brindle.operators.components import connected_components
 from brindle.storage import materialize
 
 DEPTH = 3
 SKETCH = 64
-BLOCK = 256
 _NO_ID = -(1 << 63)
 _SKETCH = np.random.default_rng(31).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -60,6 +60,22 @@ def sketch(x: np.ndarray) -> bytes:
     return (out >> np.uint64(40)).astype("<u2").tobytes()
 
 
+class Sketches:
+    """Compares sets by their sketches: alike if ``least`` of the places or more agree."""
+
+    def __init__(self, least: float):
+        self.least = least
+
+    def prepare(self, data: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(data), "<u2").reshape(-1, SKETCH)
+
+    def pairs(self, sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        for k in range(0, len(i), 65536):
+            out[k : k + 65536] = (sketches[i[k : k + 65536]] == sketches[j[k : k + 65536]]).sum(1) >= self.least * SKETCH
+        return out
+
+
 def _signatures(docs: DataFrame, k: int, runs: int, threshold: float) -> DataFrame:
     schema = "doc_id long, text_id long, set_id binary, alias long, n long, paths array<long>, sketch binary"
 
@@ -80,102 +96,6 @@ def _signatures(docs: DataFrame, k: int, runs: int, threshold: float) -> DataFra
     return docs.mapInArrow(run, schema)
 
 
-def _alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs of sketches agree in ``least`` or more of their places."""
-    return (a == b).sum(-1) >= least * SKETCH
-
-
-def _unpack(sketches: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), "<u2").reshape(-1, SKETCH)
-
-
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Union-find over ``n`` local nodes: the least member of each node's set."""
-    root = list(range(n))
-
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    for a, b in zip(left.tolist(), right.tolist()):
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return np.asarray([find(v) for v in range(n)])
-
-
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
-    """Rows of each run of equal keys, from batches sorted by them."""
-    last, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            key = tuple(row[k] for k in keys)
-            if key != last and rows:
-                yield rows
-                rows = []
-            last = key
-            rows.append(row)
-    if rows:
-        yield rows
-
-
-def block_pairs(rows: DataFrame, size: str, blocks: str, by: str) -> DataFrame:
-    """Deal the rows of a group into ``blocks`` blocks by a hash of ``by``; each row goes to the pairs of blocks (bi, bj)
-    with its own, so every two rows of a group meet in exactly one place, and no place holds more than two blocks."""
-    b = F.pmod(F.xxhash64(by), F.col(blocks)).cast("int")
-    return rows.withColumn("b", b).withColumn("o", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int")))).withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("o", size, blocks)
-
-
-def _in_play(bi: int, bj: int, b: np.ndarray) -> np.ndarray:
-    """Pairs of rows that are this place's to compare: across its two blocks, or within its only one."""
-    pairs = np.triu(np.ones((len(b), len(b)), bool), 1)
-    return pairs if bi == bj else pairs & (b[:, None] != b[None, :])
-
-
-def _candidates(paths: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """(node, root): components of sets that share a chosen path and whose sketches agree.
-
-    First each path's sets are compared with its least one only, which links groups of near copies at a cost in
-    proportion to their rows. Only paths whose sets then lie in several components are compared in full: at once where
-    they are few, in pairs of blocks where they are many.
-    """
-    shared = paths.groupBy("path").agg(F.min("alias").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(paths.join(shared, "path"), "members")
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ok = _alike(_unpack(batch.column("sketch").to_pylist()), _unpack(batch.column("pivot_sketch").to_pylist()), least)
-                yield batch.select(["alias", "pivot"]).filter(pa.array(ok))
-
-    stars = members.where("alias <> pivot").select("alias", "pivot").distinct().join(sketches, "alias").join(sketches.select(F.col("alias").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
-    stars = materialize(stars.select("alias", "pivot", "sketch", "pivot_sketch").mapInArrow(near, "alias long, pivot long"), "stars")
-    first = materialize(connected_components(stars, "alias", "pivot"), "first")
-    placed = members.join(first.withColumnRenamed("node", "alias"), "alias", "left").select("path", "alias", "n", F.coalesce("root", "alias").alias("root"))
-    mixed = placed.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("path")
-    rows = placed.join(mixed, "path").join(sketches, "alias").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)))
-    rows = block_pairs(rows, "n", "blocks", "alias").repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = [[], []]
-        for g in grouped(batches, ["path", "bi", "bj"]):
-            s, root = _unpack([r["sketch"] for r in g]), np.asarray([r["root"] for r in g])
-            play = _in_play(g[0]["bi"], g[0]["bj"], np.asarray([r["b"] for r in g])) & (root[:, None] != root[None, :])
-            i, j = np.nonzero(play)
-            ok = np.concatenate([_alike(s[i[k : k + 65536]], s[j[k : k + 65536]], least) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0, bool)
-            near_root = forest(len(g), i[ok], j[ok])
-            for v in np.flatnonzero(near_root != np.arange(len(g))).tolist():
-                out[0].append(root[v])
-                out[1].append(root[near_root[v]])
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
-
-    more = rows.select("path", "bi", "bj", "b", "alias", "root", "sketch").mapInArrow(link, "a long, b long")
-    joined = materialize(connected_components(more, "a", "b"), "second").select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return first.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionAll(joined.select(F.col("root").alias("node"), F.col("top").alias("root"))).distinct()
-
-
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections, as products of blocks of the incidence matrix of shared elements."""
     m = len(sets)
@@ -212,7 +132,7 @@ def _verify(texts: DataFrame, k: int, threshold: float) -> DataFrame:
             sets = [x for _, _, data, off in text_blocks(table) for x in word_shingles(data, off, k)]
             n = np.asarray([len(s) for s in sets])
             both = overlaps(sets)
-            linked = _in_play(g[0]["bi"], g[0]["bj"], np.asarray([r["b"] for r in g])) & (both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9)
+            linked = in_play(g[0]["bi"], g[0]["bj"], np.asarray([r["b"] for r in g])) & (both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9)
             i, j = np.nonzero(linked)
             if not len(i):
                 continue
@@ -248,7 +168,7 @@ def ngram_join(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, recall: f
     some = signed.where("n > 0")
     sets = materialize(some.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_id")).alias("one"), F.count(F.lit(1)).alias("copies"), F.min("alias").alias("alias"), F.min("n").alias("n"), F.min("paths").alias("paths"), F.min("sketch").alias("sketch")), "sets")
     paths = sets.select(F.explode("paths").alias("path"), "alias")
-    comps = materialize(_candidates(paths, sets.select("alias", "sketch"), sketch_least), "candidates")
+    comps = components_of_shared(paths, sets.select("alias", F.col("sketch").alias("data")), Sketches(sketch_least))
     sets = sets.withColumn("copy_id", F.col("one.doc_id"))
     cand = sets.select("set_id", "alias", "copies", "one.*", "n").join(comps.withColumnRenamed("node", "alias"), "alias").select("set_id", "copies", "doc_id", "text_id", "n", "root")
     sizes = cand.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("weight"))
