@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import language, lines, mixing, neighbours, ngram_join, packing, quality, tokens
+from brindle.llm import language, lines, mixing, neighbours, ngram_join, packing, quality, repeats, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op5_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -58,7 +62,7 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(index, index.where("vec_id % 50 = 0")).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op2_source_mix, op3_ngram_join, op6_quality_rules, op7_token_shards, op8_lexical_packing, op9_language_id, op10_nearest_vectors)}
+QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op2_source_mix, op3_ngram_join, op5_byte_repeats, op6_quality_rules, op7_token_shards, op8_lexical_packing, op9_language_id, op10_nearest_vectors)}
 
 _MOMENTS = "\n".join(
     f"""
