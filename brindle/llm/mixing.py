@@ -144,3 +144,11 @@ def mix_sources(docs: DataFrame, *, weights=(5.0, 2.0, 1.0), share: float = 1.5,
         result = result.unionAll(more)
     copies = F.col("base") + F.col("pi").cast("int")
     return result.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all their columns, each as often as the mix takes it. Rows that repeat a doc_id are taken alike."""
+    mix = mix_sources(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    mix = mix.select(F.col("doc_id").alias("mix_id"), F.sequence(F.lit(1), "copies").alias("mix_times"))
+    rows = docs.join(mix, F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    return rows.withColumn("mix_time", F.explode("mix_times")).select(*[docs[c] for c in docs.columns])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import language, lines, mixing, neighbours, ngram_join, packing, quality, repeats, tokens
+from brindle.llm import language, licences, lines, mixing, neighbours, ngram_join, packing, quality, repeats, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,15 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = licences.scan_licences(docs, licences.train_licence_model(docs))
+    return found.select(
+        "doc_id", "n_paragraphs", F.array_sort(F.array_distinct("matches.family")).alias("families"), F.size("matches").cast("long").alias("n_matches"),
+        "matches.line_no", F.round(F.array_min("matches.probability"), 6).alias("least_probability"), F.round(F.array_min("matches.similarity"), 6).alias("least_similarity"),
+    )
+
+
 def op5_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -62,7 +71,7 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(index, index.where("vec_id % 50 = 0")).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op2_source_mix, op3_ngram_join, op5_byte_repeats, op6_quality_rules, op7_token_shards, op8_lexical_packing, op9_language_id, op10_nearest_vectors)}
+QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op2_source_mix, op3_ngram_join, op4_licence_scan, op5_byte_repeats, op6_quality_rules, op7_token_shards, op8_lexical_packing, op9_language_id, op10_nearest_vectors)}
 
 _MOMENTS = "\n".join(
     f"""
