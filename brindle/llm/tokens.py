@@ -7,6 +7,7 @@ the document index (doc ids and starts) and the public seekable-format table (si
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,14 +31,19 @@ SEEK_MAGIC = 0x8F92EAB1
 SEEK_CHECKSUMS = 0x80
 
 
+#: A point or comma between an ASCII letter and white space is a token of its own.
+_STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=\s|$)")
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, each distinct chunk between ASCII white space encoded once.
 
-    For a tokenizer that drops white space and never joins across it, the ids of a text are those of its chunks; this
-    is tested against whole texts. The store of known chunks is emptied when large; that bounds memory, not results.
+    For a tokenizer that lower-cases, drops white space and never joins across it, the ids of a text are those of its
+    chunks; this is tested against whole texts. Unseen chunks go to the library many at a time, joined by spaces, and
+    their ids are told apart by offsets. The store of known chunks is emptied when large; that bounds memory, not results.
     """
 
-    LARGEST = 400_000
+    LARGEST = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -45,18 +51,31 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, new: list[bytes]) -> None:
+        texts = [w.decode("utf-8") for w in new]
+        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.asarray(got.ids, "<u4").tobytes()
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        cut = 4 * np.searchsorted([a for a, _ in got.offsets], ends)
+        at = 0
+        for w, end in zip(new, cut.tolist()):
+            self.known[w] = ids[at:end]
+            at = end
+
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. A null text is empty."""
         known = self.known
         for k in range(0, len(texts), 256):
-            chunks = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts[k : k + 256]]
+            chunks = []
+            for t in texts[k : k + 256]:
+                t = (t or "").encode("utf-8")
+                t = t if b"<|" in t else t.lower()  # a special token is matched in its own case
+                chunks.append(_STOP.sub(rb" \1", t).split())
             if len(known) > self.LARGEST:
                 known.clear()
             new = list(set().union(*chunks).difference(known))
-            for j in range(0, len(new), 4096):
-                part = new[j : j + 4096]
-                for word, got in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                    known[word] = np.asarray(got.ids, "<u4").tobytes()
+            for j in range(0, len(new), 512):
+                self._learn(new[j : j + 512])
             for c in chunks:
                 yield b"".join(map(known.__getitem__, c))
 
