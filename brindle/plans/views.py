@@ -1,0 +1,66 @@
+"""Lead-data views over the driver's tables, in SQL that Spark and DuckDB read alike. {table} stands for a table."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+VIEWS = {
+    "regions": """
+select n_nationkey as region_id, n_name as name, upper(substr(n_name, 1, 2)) as country_code, n_regionkey as parent_id, 4 as level, n_nationkey % 7 <> 0 as is_active from {nation}""",
+    "companies": """
+select c_custkey as company_id, c_nationkey as region_id, case when c_custkey % 11 = 0 then '' when c_custkey % 13 = 0 then concat('place-', cast(c_custkey as string)) else c_name end as name,
+  case when c_custkey % 3 = 0 then null else concat('https://', case when c_custkey % 2 = 0 then 'WWW.' else '' end, 'Shop', cast(c_custkey % 400 as string), '.example.com/', case when c_custkey % 5 = 0 then 'Home/' else '' end) end as website_url,
+  case c_custkey % 5 when 0 then 'pending' when 1 then 'completed' when 2 then 'failed' when 3 then 'completed' else 'no_website' end as crawl_status,
+  case when c_custkey % 4 = 0 then null else concat('city', cast(c_nationkey as string)) end as city, c_acctbal as balance from {customer}""",
+    "emails": """
+select c_custkey as email_id, c_custkey % 600 as company_id, concat(case c_custkey % 9 when 0 then 'info' when 1 then 'sales' when 2 then 'test' else concat('user', cast(c_custkey % 50 as string)) end, '@',
+  case c_custkey % 8 when 0 then 'gmail.com' when 1 then 'gmial.com' when 2 then 'mailinator.com' when 3 then 'hotmial.co.uk' when 4 then 'example.org' when 5 then 'yahooo.com' when 6 then 'yopmail.com' else 'shop.example.com' end) as email,
+  cast(c_custkey % 4 as int) as source_rank, c_custkey as seq from {customer}""",
+    "phones": "select c_custkey as phone_id, c_custkey % 500 as company_id, concat('+66', lpad(cast(c_custkey % 700 as string), 9, '0')) as phone, concat(case when c_custkey % 2 = 0 then '+66 ' else '0066 ' end, lpad(cast(c_custkey % 700 as string), 9, '0')) as raw, c_custkey as seq from {customer} where c_custkey % 3 <> 1",
+    "channels": "select c_custkey as channel_id, c_custkey % 450 as company_id, case when c_custkey % 5 = 0 then 'whatsapp' else 'telegram' end as channel_type, concat('@h', cast(c_custkey % 300 as string)) as value from {customer} where c_custkey % 5 = 0 or c_custkey % 7 = 0",
+    "runs": "select o_orderkey as run_id, o_custkey % 25 as region_id, case o_orderstatus when 'F' then 'completed' when 'O' then 'pending' else 'running' end as status, o_orderdate as started_at, o_totalprice as cost from {orders}",
+    "run_companies": """
+select l_orderkey as run_id, l_partkey as company_id, l_linenumber as line, case when l_returnflag = 'R' then 'failed' when l_returnflag = 'A' then 'skipped' when l_linestatus = 'O' then 'queued' when l_linenumber % 2 = 0 then 'running' else 'completed' end as status,
+  l_shipdate as queued_at, l_quantity as quantity from {lineitem}""",
+    "requests": """
+select event_id as id, case user_id % 3 when 0 then 'crawler' when 1 then 'browser' else 'maps' end as provider, event_type as request_kind, user_id % 4 = 0 as used_proxy, case when user_id % 4 = 0 then user_id % 10 end as proxy_id,
+  concat('https://', case when event_id % 2 = 0 then 'www.' else '' end, 'Host', cast(event_id % 40 as string), '.com', case when event_id % 5 = 0 then ':443' else '' end, '/p/', cast(event_id % 9 as string)) as url,
+  cast(floor(value) as int) as duration_ms, case when event_type = 'error' then concat('timed out on step ', cast(user_id % 6 as string)) end as error, ts as created_at from {events}""",
+    "variants": """
+select p_partkey as variant_id, p_brand as cluster_slug, p_type as label, case p_size % 4 when 0 then 'overpass' when 1 then 'google_maps' when 2 then 'directory' else 'hybrid' end as strategy, p_size as priority,
+  cast(p_partkey % 101 as int) as validation_score, cast(p_partkey % 6 as int) as validation_count, cast((p_partkey * 7) % 101 as int) as production_score, cast(p_partkey % 5 as int) as production_runs,
+  cast(p_partkey % 3 as int) as planner_selected, cast((p_partkey * 3) % 4 as int) as planner_drafted, cast(case when p_partkey % 9 = 0 then 2 else 0 end as int) as planner_activated,
+  cast(p_partkey % 2 as int) as market_selected, cast(p_partkey % 4 as int) as market_drafted, cast(case when p_partkey % 11 = 0 then 1 else 0 end as int) as market_activated,
+  0 as prompt_selected, 0 as prompt_drafted, 0 as prompt_activated, cast((p_partkey * 5) % 101 as int) as market_score, cast(p_partkey % 4 as int) as market_runs, cast((p_partkey * 11) % 101 as int) as strategy_score, cast(p_partkey % 7 as int) as strategy_runs from {part}""",
+    "run_stats": """
+select l_partkey as variant_id, l_orderkey as run_id, l_suppkey % 25 as region_id, cast(10 + sum(l_quantity) as bigint) as discovered, cast(sum(floor(l_quantity / 2)) as bigint) as crawled, cast(sum(floor(l_quantity / 3)) as bigint) as website,
+  cast(sum(floor(l_quantity / 4)) as bigint) as contact, cast(sum(floor(l_quantity / 5)) as bigint) as email, cast(sum(floor(l_quantity / 6)) as bigint) as phone, cast(least(100, sum(floor(l_quantity * 2))) as int) as score, max(l_shipdate) as created_at
+from {lineitem} group by l_partkey, l_orderkey, l_suppkey % 25""",
+    "outcomes": """
+select o_custkey as plan_id, o_orderkey % 50 as variant_key, case when o_custkey % 2 = 0 then 'openai' else 'heuristic' end as provider, o_custkey % 25 as region_id, o_orderpriority like '1%' or o_orderpriority like '2%' as selected,
+  o_orderpriority like '1%' as drafted, o_orderstatus = 'F' and o_orderpriority like '1%' as activated from {orders}""",
+    "evals": "select d.doc_id as eval_id, d.source as provider, d.lang as model, case when l.doc_id is null then null else l.quality * 3 + l.toxic end as judgement, d.n_chars as size from {documents} d left join {labels} l on d.doc_id = l.doc_id",
+    "audits": "select o_orderkey as audit_id, o_custkey % 4 as policy, case o_orderstatus when 'F' then 'suggestion' when 'O' then 'manual' else 'rollback' end as change_kind, o_orderdate as changed_at, case when o_orderkey % 3 = 0 then 'improved' when o_orderkey % 3 = 1 then 'degraded' else 'neutral' end as outcome, cast(o_orderkey % 21 - 10 as int) as delta from {orders} where o_orderkey % 37 = 0",
+    "places": """
+select s_suppkey as seq, concat(' ', case when s_suppkey % 9 = 0 then '' else s_name end) as name, case when s_suppkey % 6 = 0 then null else concat('kw', cast(s_suppkey % 7 as string)) end as keyword,
+  case when s_suppkey % 10 = 0 then '' else concat('pid', cast(s_suppkey % 60 as string)) end as place_id, concat('shop', cast((s_suppkey * 4) % 400 as string), '.example.com') as website, concat('1,', lpad(cast(s_suppkey as string), 3, '0'), '.5') as reviews,
+  concat('+66', lpad(cast(s_suppkey % 700 as string), 9, '0')) as phone, cast(s_nationkey as bigint) as region_id from {supplier}""",
+    "replies": "select event_id as id, cast(case event_id % 11 when 0 then 250 when 1 then 251 when 2 then 550 when 3 then 252 when 4 then 421 when 5 then 499 when 6 then 500 when 7 then 554 when 8 then 450 when 9 then 220 else 451 end as int) as code, case event_id % 7 when 0 then 'Greylisted, try again' when 1 then 'OK' when 2 then null when 3 then 'Temporarily rejected' else 'user unknown' end as message from {events}",
+    "prompts": "select p_partkey as prompt_id, concat(case p_partkey % 6 when 0 then 'Rent a car in ' when 1 then 'Best nails & lashes in ' when 2 then 'Complete wellness experience - ' when 3 then 'Lawyers/real estate agencies of ' when 4 then 'ATV tours, scuba courses in ' else 'the local bakeries for ' end, p_type) as prompt from {part}",
+}
+
+
+def tables_of(text: str) -> list[str]:
+    return sorted(set(re.findall(r"\{(\w+)\}", text)))
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text = VIEWS[name]
+    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(text)})
+
+
+def ctes(*names: str) -> str:
+    """``with`` clause of views for the oracle."""
+    return "with " + ", ".join(f"v_{n} as ({VIEWS[n].format(**{t: t for t in tables_of(VIEWS[n])})})" for n in names) + " "
