@@ -64,7 +64,7 @@ RULES = {
 }
 
 
-def host_verdicts(features: DataFrame, max_rate: float = 0.5) -> DataFrame:
+def host_verdicts(features: DataFrame, max_rate: float = 0.8) -> DataFrame:
     """Per host and rule, the failure rate shrunk towards an empirical beta prior; a host fails if any exceeds ``max_rate``.
 
     The prior Beta(a, b) of a rule comes by moments from the hosts' own rates, weighted by their documents:
@@ -92,7 +92,7 @@ def host_verdicts(features: DataFrame, max_rate: float = 0.5) -> DataFrame:
     return out.withColumn("host_failed", F.greatest(*[f"host_{r}" for r in RULES]) > max_rate)
 
 
-def quality_rules(docs: DataFrame, *, max_rate: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, *, max_rate: float = 0.8) -> DataFrame:
     """Rules of each document, and the verdict of its host (``source``), joined back.
 
     docs: doc_id, text, source; other columns are ignored. A document is kept unless it fails the base rule (fewer

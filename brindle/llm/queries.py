@@ -83,7 +83,7 @@ _MOMENTS = "\n".join(
     select m, case when v <= chance / 10000.0 then 10000.0 else greatest(1.0, chance / v - 1) end as k from v)"""
     for r in quality.RULES
 )
-_HOST_FAILED = "greatest(" + ", ".join(f"(f_{r} + p_{r}.k * p_{r}.m) / (n + p_{r}.k)" for r in quality.RULES) + ") > 0.5"
+_HOST_FAILED = "greatest(" + ", ".join(f"(f_{r} + p_{r}.k * p_{r}.m) / (n + p_{r}.k)" for r in quality.RULES) + ") > 0.8"
 ORACLE_SQL = {
     "op6_quality_rules": rf"""
 with d as (select doc_id, source, coalesce(text, '') as t from documents),
