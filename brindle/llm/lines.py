@@ -207,7 +207,8 @@ def line_classes(docs: DataFrame, *, threshold: float = 0.8) -> tuple[DataFrame,
     lines = materialize(line_table(docs), "lines")
     each = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     each = materialize(each, "distinct-lines")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a bucket is read by one task: about two million (key, line) pairs at most
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-each.count() * BANDS // (1 << 21)))
     shared = materialize(_shared_bands(_band_blobs(docs, buckets)), "bands")
     wanted = shared.select("alias").distinct().join(each.select(F.col("line").alias("alias"), "first.*"), "alias")
     texts = materialize(_candidate_texts(docs, wanted).dropDuplicates(["alias"]), "line-texts")
