@@ -7,7 +7,6 @@ the document index (doc ids and starts) and the public seekable-format table (si
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,19 +30,17 @@ SEEK_MAGIC = 0x8F92EAB1
 SEEK_CHECKSUMS = 0x80
 
 
-#: A point or comma between an ASCII letter and white space is a token of its own.
-_STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=\s|$)")
-
-
 class Encoder:
     """Ids of texts by the tokenizers library, each distinct chunk between ASCII white space encoded once.
 
     For a tokenizer that lower-cases, drops white space and never joins across it, the ids of a text are those of its
     chunks; this is tested against whole texts. Unseen chunks go to the library many at a time, joined by spaces, and
-    their ids are told apart by offsets. The store of known chunks is emptied when large; that bounds memory, not results.
+    their ids are told apart by offsets. A point or comma that ends a chunk after an ASCII letter is a token of its own, so
+    such chunks are put together. The store of known chunks falls back to those just met when it is large; that bounds
+    memory, not results.
     """
 
-    LARGEST = 1_000_000
+    LARGEST = 700_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,7 +48,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _encode(self, new: list[bytes]) -> None:
         texts = [w.decode("utf-8") for w in new]
         got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         ids = np.asarray(got.ids, "<u4").tobytes()
@@ -62,6 +59,18 @@ class Encoder:
             self.known[w] = ids[at:end]
             at = end
 
+    def _learn(self, new: set[bytes]) -> None:
+        known = self.known
+        stopped = [w for w in new if len(w) > 1 and w[-1] in b".," and w[-2:-1].isalpha()]
+        plain = new.difference(stopped)
+        plain.update(w[:-1] for w in stopped)
+        plain.update((b".", b","))
+        plain = list(plain.difference(known))
+        for k in range(0, len(plain), 512):
+            self._encode(plain[k : k + 512])
+        for w in stopped:
+            known[w] = known[w[:-1]] + known[w[-1:]]
+
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. A null text is empty."""
         known = self.known
@@ -70,12 +79,13 @@ class Encoder:
             for t in texts[k : k + 256]:
                 t = (t or "").encode("utf-8")
                 t = t if b"<|" in t else t.lower()  # a special token is matched in its own case
-                chunks.append(_STOP.sub(rb" \1", t).split())
+                chunks.append(t.split())
+            met = set().union(*chunks)
             if len(known) > self.LARGEST:
+                kept = {w: known[w] for w in met if w in known}
                 known.clear()
-            new = list(set().union(*chunks).difference(known))
-            for j in range(0, len(new), 512):
-                self._learn(new[j : j + 512])
+                known.update(kept)
+            self._learn(met.difference(known))
             for c in chunks:
                 yield b"".join(map(known.__getitem__, c))
 
