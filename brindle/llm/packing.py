@@ -11,10 +11,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.text import mix
 from brindle.llm.tokens import encoder
 from brindle.storage import materialize
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -30,7 +30,7 @@ def _tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 for data in encode(part.column("text").to_pylist()):
                     v = np.frombuffer(data, "<u4").astype(np.uint64)
                     runs = v if len(v) < 3 else v[:-2] * np.uint64(1 << 40) + v[1:-1] * np.uint64(1 << 20) + v[2:]
-                    places.append(int(mix(runs).min() >> np.uint64(1)) if len(v) else 0)
+                    places.append(int((runs * _SPREAD).min() >> np.uint64(1)) if len(v) else 0)
                     whole = np.frombuffer(data + end, "<u4")
                     ids.append(whole.astype("<u2").tobytes() if whole.max() < 1 << 16 else b"\0" + whole.tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(places, pa.int64())], names=["doc_id", "ids", "place"])
@@ -51,11 +51,14 @@ def document_frequencies(tokens: DataFrame, vocabulary: int) -> tuple[int, float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(vocabulary + 1, np.int64), 0, 0
+        seen = np.zeros(vocabulary + 1, bool)
         for batch in batches:
-            for data in batch.column(0):
-                v = np.unique(_unpack(data.as_py()))
-                df[v[v < vocabulary]] += 1
-                n, total = n + 1, total + len(data.as_py()) // 2
+            for data in batch.column(0).to_pylist():
+                v = _unpack(data)
+                seen[v] = True
+                df += seen
+                seen[v] = False
+                n, total = n + 1, total + len(v)
         df[vocabulary] = n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64()), pa.array(np.where(at == vocabulary, total, 0), pa.int64())], names=["id", "n", "total"])
@@ -141,7 +144,7 @@ def _pack(lengths: list[int], index: Index, window: int) -> Iterator[tuple[int,
         seq += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, window: int = 2048, shard_docs: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, window: int = 2048, shard_docs: int = 512) -> DataFrame:
     """Cut all documents into pieces and lay them into sequences of ``window`` ids.
 
     docs: doc_id, text; other columns are ignored. Documents are tokenised once (a null text is only the end id), then
