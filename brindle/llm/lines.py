@@ -16,10 +16,13 @@ from brindle.storage import materialize
 
 SHINGLE = 8
 ROWS, BANDS = 5, 16
-PASSES = 4
+PASSES = 2
+#: Lines whose signatures agree in fewer places are not compared in full; at the threshold four fifths agree.
+LEAST_AGREEING = 0.45
 SLOTS = ROWS * BANDS
 _NO_ID = -(1 << 63)
 _SPACES = " \t\n\x0b\x0c\r"
+_CODE = np.random.default_rng(40).integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
 _ODD = np.random.default_rng(41).integers(1, 1 << 62, PASSES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -48,9 +51,12 @@ def char_shingles(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(codes) != char[-1]:  # not UTF-8: bytes stand for characters
         codes, char = data, np.arange(len(data) + 1)
     s = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(mix(codes.astype(np.uint64) + np.uint64(77)) * powers(len(codes))[: len(codes)], out=s[1:])
+    value = _CODE[codes & 0xFFFF]
+    if len(codes) and codes.max() > 0xFFFF:
+        value = value + (codes >> 16).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    np.cumsum(value * powers(len(codes))[: len(codes)], out=s[1:])
     n = max(0, len(codes) - SHINGLE + 1)
-    return mix((s[SHINGLE:] - s[:n]) * powers(len(s), True)[:n]) if n else np.zeros(0, np.uint64), char
+    return (s[SHINGLE:] - s[:n]) * powers(len(s), True)[:n] if n else np.zeros(0, np.uint64), char
 
 
 def line_shingles(line: str) -> np.ndarray:
@@ -172,25 +178,58 @@ def _shared_bands(blobs: DataFrame) -> DataFrame:
     return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "path long, alias long").distinct()
 
 
+class _Items:
+    def __init__(self, data: list[bytes]):
+        self.sketches = np.frombuffer(b"".join(x[:SLOTS] for x in data), np.uint8).reshape(-1, SLOTS)
+        self.data = data
+        self.sets: dict[bytes, np.ndarray] = {}
+
+    def shingles(self, k: int) -> np.ndarray:
+        data = self.data[k]
+        if data not in self.sets:
+            self.sets[data] = line_shingles(data[SLOTS:].decode("utf-8"))
+        return self.sets[data]
+
+
 class Lines:
-    """Exact Jaccard of character shingles."""
+    """Exact Jaccard of character shingles, for pairs whose signatures do not rule it out."""
 
     def __init__(self, threshold: float):
         self.threshold = threshold
 
-    def prepare(self, data: list[str]) -> list[np.ndarray]:
-        return [line_shingles(x) for x in data]
+    def prepare(self, data: list[bytes]) -> _Items:
+        return _Items(data)
 
-    def pairs(self, sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def pairs(self, items: _Items, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), bool)
-        for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
-            a, b = sets[a], sets[b]
+        for k in range(0, len(i), 65536):
+            out[k : k + 65536] = (items.sketches[i[k : k + 65536]] == items.sketches[j[k : k + 65536]]).sum(1) >= LEAST_AGREEING * SLOTS
+        for k in np.flatnonzero(out).tolist():
+            a, b = items.shingles(int(i[k])), items.shingles(int(j[k]))
+            both = 0
             if min(len(a), len(b)) >= self.threshold * max(len(a), len(b)) - 1e-9:
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                out[k] = both >= self.threshold * (len(a) + len(b) - both) - 1e-9
+            out[k] = both >= self.threshold * (len(a) + len(b) - both) - 1e-9
         return out
 
 
+def _with_signatures(texts: DataFrame) -> DataFrame:
+    """(alias, data): a byte of each minimum of the line's signature, then the line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, off in text_blocks(batch, "data"):
+                h, char = char_shingles(data)
+                raw = memoryview(data.tobytes())
+                a, b = char[off[:-1]], char[off[1:]] - SHINGLE + 1
+                short = np.asarray([xxhash.xxh64_intdigest(raw[x:y], 3) if n <= 0 else 0 for x, y, n in zip(off[:-1].tolist(), off[1:].tolist(), (b - a).tolist())], np.uint64)
+                sketch = (signatures(h, a, b, short) >> np.uint64(50)).astype(np.uint8)
+                rows = [sketch[k].tobytes() + bytes(raw[off[k] : off[k + 1]]) for k in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column("alias").slice(i, j - i), pa.array(rows, pa.binary())], names=["alias", "data"])
+
+    return texts.mapInArrow(run, "alias long, data binary")
+
+
 def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(alias, data): the trimmed text of each wanted line (alias, doc_id, line_no), taken from the document it first stands in."""
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "alias")).alias("take"))
@@ -211,7 +250,7 @@ def line_classes(docs: DataFrame, *, threshold: float = 0.8) -> tuple[DataFrame,
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-each.count() * BANDS // (1 << 21)))
     shared = materialize(_shared_bands(_band_blobs(docs, buckets)), "bands")
     wanted = shared.select("alias").distinct().join(each.select(F.col("line").alias("alias"), "first.*"), "alias")
-    texts = materialize(_candidate_texts(docs, wanted).dropDuplicates(["alias"]), "line-texts")
+    texts = materialize(_with_signatures(_candidate_texts(docs, wanted).dropDuplicates(["alias"])), "line-texts")
     comps = components_of_shared(shared, texts, Lines(threshold)).withColumnRenamed("node", "line")
     placed = each.join(comps, "line", "left").withColumn("root", F.coalesce("root", "line")).where("n > 1 or root <> line or first is not null")
     keep = placed.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("size")).where("size > 1")
