@@ -1,23 +1,60 @@
-"""Connected components of a graph given as an edge table, as joins and aggregates only."""
+"""Connected components of a graph given as an edge table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.storage import materialize
 
+#: So few edges (counted first) are finished in one task; it is a few MB. More go through the rounds.
+FINISH = 1 << 18
+
+
+def _finish(edges: DataFrame) -> DataFrame:
+    """Union-find over a counted, small edge table."""
+    kind = edges.schema["hi"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def find(v):
+            top = v
+            while parent.setdefault(top, top) != top:
+                top = parent[top]
+            while parent[v] != top:
+                parent[v], v = top, parent[v]
+            return top
+
+        types = None
+        for batch in batches:
+            types = batch.schema.field(0).type
+            for hi, lo in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                hi, lo = find(hi), find(lo)
+                if hi != lo:
+                    parent[max(hi, lo)] = min(hi, lo)
+        if parent:
+            nodes = list(parent)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, types), pa.array([find(v) for v in nodes], types)], names=["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", finish: int = FINISH, max_rounds: int = 60) -> DataFrame:
     """Distributed union-find by alternating large-star and small-star steps.
 
     Each round hangs every node under the smallest neighbour known so far; a hub's edges are only ever
     reduced with ``min`` (map-side combined) and joined back, so no node's neighbours meet in one task.
-    Null ends and self-loops are ignored. Returns (node, root): every node of a non-loop edge, with root
-    the smallest node of its component.
+    Once no more than ``finish`` edges are left, which is counted, one task ends the work. Null ends and self-loops are
+    ignored. Returns (node, root): every node of a non-loop edge, with root the smallest node of its component.
     """
     cur = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
     cur = materialize(cur, "edges")
+    if cur.count() <= finish:
+        return _finish(cur)
     before = None
     for _ in range(max_rounds):
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(cur.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
