@@ -28,6 +28,11 @@ def _usable(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
+def build_index(vectors: DataFrame, **options) -> DataFrame:
+    """:func:`encode`, written once, so a search and the choice of its queries read the same codes."""
+    return materialize(encode(vectors, **options), "codes")
+
+
 def encode(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 5) -> DataFrame:
     """The index: each usable vector, the packed signs of its rotated unit vector, and ``fit``, the inner product of
     that unit vector with its code. Rows whose vector or id is null, or whose vector is empty, zero or not finite, are left out."""
@@ -60,7 +65,8 @@ def _search_block(ids, vecs, codes, fit, qids, qvecs, turn, k: int, eps: float):
     """The k best of one block of rows for each query of one block.
 
     A code estimates <q, x> as <q', sign> / (sqrt(D) fit), off by more than eps * sqrt((1 - fit^2) / (D - 1)) / fit
-    with vanishing probability. Only rows whose upper bound reaches the k-th best lower bound are reranked.
+    with vanishing probability. The rows of best estimates are scored exactly; of the others only those whose upper
+    bound reaches the k-th best of these scores are.
     """
     dim = vecs.shape[1]
     sign = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
@@ -70,9 +76,11 @@ def _search_block(ids, vecs, codes, fit, qids, qvecs, turn, k: int, eps: float):
     err = eps * np.sqrt(np.maximum(0, 1 - fit * fit) / max(1, dim - 1)) / fit + 1e-5
     for q in range(len(qids)):
         others = ids != qids[q]
-        low, high = np.where(others, est[q] - err, -np.inf), np.where(others, est[q] + err, -np.inf)
-        bound = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
-        cand = np.flatnonzero((high >= bound) & others)
+        cand = np.flatnonzero(others)
+        if len(cand) > 8 * k:
+            first = cand[np.argpartition(-est[q][cand], 4 * k)[: 4 * k]]
+            bound = np.sort(_cosines(vecs[first], qvecs[q]))[-k]
+            cand = np.flatnonzero((est[q] + err >= bound - 1e-9) & others)
         if not len(cand):
             continue
         score = _cosines(vecs[cand], qvecs[q])
@@ -83,12 +91,11 @@ def _search_block(ids, vecs, codes, fit, qids, qvecs, turn, k: int, eps: float):
 def search(index: DataFrame, queries: DataFrame, *, k: int = 5, eps: float = 4.0, rows_per_block: int = 4096, queries_per_block: int = 2048, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of the whole index for each query, in blocks.
 
-    Rows and queries, both as from :func:`encode`, are dealt into blocks; a block of rows meets each block of queries
+    Rows and queries, both as from :func:`build_index`, are dealt into blocks; a block of rows meets each block of queries
     once and gives at most k rows a query, which are ranked after one shuffle by query. Nearest first, ties to the smaller
     vec_id; a query's own row is no candidate. Only vectors of the query's dimension are compared. Fewer rows than k
     give fewer ranks; equal vectors are all reranked, so copies never hide one another.
     """
-    index = materialize(index, "codes")
     n_rows, n_queries = index.count(), queries.count()
     dims = F.length("vec")
     row_blocks, query_blocks = max(1, -(-n_rows // rows_per_block)), max(1, -(-n_queries // queries_per_block))

@@ -67,7 +67,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = neighbours.encode(_table(spark, sf_dir, "embeddings"))
+    index = neighbours.build_index(_table(spark, sf_dir, "embeddings"))
     return neighbours.search(index, index.where("vec_id % 50 = 0")).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

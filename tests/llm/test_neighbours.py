@@ -33,7 +33,7 @@ def test_odd_vectors(spark):
     rows += [(0, [1.0] * 8), (50, [2.0] * 8), (100, [0.0] * 8), (101, None), (102, []), (103, [1.0, None] * 4), (104, [float("nan")] * 8), (105, [float("inf")] * 8), (None, [1.0] * 8), (106, [1.0, 2.0])]
     rows += [(200 + i, [3.0] * 8) for i in range(7)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, rank string")
-    index = neighbours.encode(df)
+    index = neighbours.build_index(df)
     got = neighbours.search(index, index.where("vec_id % 50 = 0"), rows_per_block=10, queries_per_block=1).collect()
     want = brute(rows)
     assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {(q, k + 1): i for q, best in want.items() for k, (i, _) in enumerate(best)}
