@@ -21,6 +21,8 @@ PASSES = 2
 #: there is missed once in a thousand for the shortest lines, practically never for long ones.
 LEAST_AGREEING = 0.55
 SLOTS = ROWS * BANDS
+#: Bytes before a line in its payload: one of each minimum, four of each band key.
+HEAD = SLOTS + 4 * BANDS
 _NO_ID = -(1 << 63)
 _SPACES = " \t\n\x0b\x0c\r"
 _CODE = np.random.default_rng(40).integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
@@ -55,18 +57,12 @@ def char_shingles(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     value = _CODE[codes & 0xFFFF]
     if len(codes) and codes.max() > 0xFFFF:
         value = value + (codes >> 16).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    np.cumsum(value * powers(len(codes))[: len(codes)], out=s[1:])
+    value *= powers(len(codes))[: len(codes)]
+    np.cumsum(value, out=s[1:])
     n = max(0, len(codes) - SHINGLE + 1)
     return (s[SHINGLE:] - s[:n]) * powers(len(s), True)[:n] if n else np.zeros(0, np.uint64), char
 
 
-def line_shingles(line: str) -> np.ndarray:
-    """Sorted distinct shingles of one line; a shorter line is its own only shingle."""
-    data = np.frombuffer(line.encode("utf-8", "surrogatepass"), np.uint8)
-    h = char_shingles(data)[0]
-    return np.unique(h) if len(h) else np.asarray([xxhash.xxh64_intdigest(data.tobytes(), 3)], np.uint64)
-
-
 def signatures(shingles: np.ndarray, start: np.ndarray, end: np.ndarray, short: np.ndarray) -> np.ndarray:
     """SLOTS minima for each line: in each of PASSES passes a shingle falls into one of SLOTS / PASSES bins; an empty
     bin takes the minimum of another by a fixed random probing, the same for every line. ``short`` stands for the only shingle of
@@ -79,10 +75,18 @@ def signatures(shingles: np.ndarray, start: np.ndarray, end: np.ndarray, short:
     at = np.arange(first[-1]) + np.repeat(start - first[:-1], n)
     h = np.concatenate([shingles[at], short[only]])
     line = np.concatenate([np.repeat(np.arange(len(start)), n), only])
+    base = line * SLOTS
     for q in range(PASSES):
         v = h * _ODD[q]
-        slot = ((v >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
-        np.minimum.at(out, line * SLOTS + q * bins + slot.astype(np.int64), v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1))
+        slot = v >> np.uint64(32)
+        slot *= np.uint64(bins)
+        slot >>= np.uint64(32)
+        slot = slot.view(np.int64)
+        slot += base
+        base += bins
+        v *= np.uint64(0x9E3779B97F4A7C15)
+        v >>= np.uint64(1)
+        np.minimum.at(out, slot, v)
     out = out.reshape(-1, SLOTS)
     empty = out == np.iinfo(np.uint64).max
     row, col = np.nonzero(empty)
@@ -182,18 +186,39 @@ def _shared_bands(blobs: DataFrame) -> DataFrame:
 class _Items:
     def __init__(self, data: list[bytes]):
         self.sketches = np.frombuffer(b"".join(x[:SLOTS] for x in data), np.uint8).reshape(-1, SLOTS)
+        self.bands = np.frombuffer(b"".join(x[SLOTS:HEAD] for x in data), "<u4").reshape(-1, BANDS)
         self.data = data
-        self.sets: dict[bytes, np.ndarray] = {}
+        self.size = np.asarray([len(x) for x in data])
 
-    def shingles(self, k: int) -> np.ndarray:
-        data = self.data[k]
-        if data not in self.sets:
-            self.sets[data] = line_shingles(data[SLOTS:].decode("utf-8"))
-        return self.sets[data]
+
+def alike_lines(lines: list[bytes], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether lines ``i`` and ``j`` have an exact Jaccard similarity of ``threshold`` or more, for all pairs at once."""
+    off = np.cumsum([0, *map(len, lines)])
+    h, char = char_shingles(np.frombuffer(b"".join(lines), np.uint8))
+    start = char[off[:-1]]
+    n = np.maximum(char[off[1:]] - SHINGLE + 1 - start, 0)
+    only = np.flatnonzero(n == 0)
+    at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+    value = np.concatenate([h[at], np.asarray([xxhash.xxh64_intdigest(lines[k], 3) for k in only], np.uint64)])
+    line = np.concatenate([np.repeat(np.arange(len(n)), n), only])
+    names, value = np.unique(value, return_inverse=True)
+    member = np.sort(line * len(names) + value)
+    member = member[np.concatenate([[True], member[1:] != member[:-1]])]
+    size = np.bincount(member // len(names), minlength=len(n))
+    first = np.cumsum(size) - size
+    # members of the smaller set are looked up in the larger one
+    few, many = np.where(size[i] <= size[j], i, j), np.where(size[i] <= size[j], j, i)
+    pair = np.repeat(np.arange(len(i)), size[few])
+    at = np.arange(len(pair)) + np.repeat(first[few] - (np.cumsum(size[few]) - size[few]), size[few])
+    want = member[at] % len(names) + many[pair] * len(names)
+    hit = member[np.minimum(np.searchsorted(member, want), len(member) - 1)] == want
+    both = np.bincount(pair[hit], minlength=len(i))
+    return both >= threshold * (size[i] + size[j] - both) - 1e-9
 
 
 class Lines:
-    """Exact Jaccard of character shingles, for pairs whose signatures do not rule it out."""
+    """Exact Jaccard of character shingles, for pairs whose signatures do not rule it out. A pair that meets in several
+    bands is compared in the first of them."""
 
     def __init__(self, threshold: float):
         self.threshold = threshold
@@ -201,21 +226,29 @@ class Lines:
     def prepare(self, data: list[bytes]) -> _Items:
         return _Items(data)
 
-    def pairs(self, items: _Items, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def pairs(self, items: _Items, i: np.ndarray, j: np.ndarray, path: np.ndarray | None = None) -> np.ndarray:
         out = np.zeros(len(i), bool)
         for k in range(0, len(i), 65536):
-            out[k : k + 65536] = (items.sketches[i[k : k + 65536]] == items.sketches[j[k : k + 65536]]).sum(1) >= LEAST_AGREEING * SLOTS
-        for k in np.flatnonzero(out).tolist():
-            a, b = items.shingles(int(i[k])), items.shingles(int(j[k]))
-            both = 0
-            if min(len(a), len(b)) >= self.threshold * max(len(a), len(b)) - 1e-9:
-                both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
-            out[k] = both >= self.threshold * (len(a) + len(b) - both) - 1e-9
+            a, b = i[k : k + 65536], j[k : k + 65536]
+            ok = (items.sketches[a] == items.sketches[b]).sum(1) >= LEAST_AGREEING * SLOTS
+            if path is not None:
+                band = path[k : k + 65536].astype(np.uint32)
+                shared = items.bands[a] == items.bands[b]
+                here = shared & (items.bands[a] == band[:, None])
+                # a band that these keys do not show as shared is compared as well
+                ok &= here[np.arange(len(a)), shared.argmax(1)] | ~here.any(1)
+            out[k : k + 65536] = ok
+        at = np.flatnonzero(out)
+        part = np.cumsum(items.size[i[at]] + items.size[j[at]]) >> 20
+        for a, b in zip(*runs(part)):
+            here = at[a:b]
+            used, place = np.unique(np.concatenate([i[here], j[here]]), return_inverse=True)
+            out[here] = alike_lines([items.data[k][HEAD:] for k in used.tolist()], place[: len(here)], place[len(here) :], self.threshold)
         return out
 
 
 def _with_signatures(texts: DataFrame) -> DataFrame:
-    """(alias, data): a byte of each minimum of the line's signature, then the line."""
+    """(alias, data): a byte of each minimum of the line's signature, four of each band key, then the line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,8 +257,9 @@ def _with_signatures(texts: DataFrame) -> DataFrame:
                 raw = memoryview(data.tobytes())
                 a, b = char[off[:-1]], char[off[1:]] - SHINGLE + 1
                 short = np.asarray([xxhash.xxh64_intdigest(raw[x:y], 3) if n <= 0 else 0 for x, y, n in zip(off[:-1].tolist(), off[1:].tolist(), (b - a).tolist())], np.uint64)
-                sketch = (signatures(h, a, b, short) >> np.uint64(50)).astype(np.uint8)
-                rows = [sketch[k].tobytes() + bytes(raw[off[k] : off[k + 1]]) for k in range(j - i)]
+                signature = signatures(h, a, b, short)
+                sketch, bands = (signature >> np.uint64(50)).astype(np.uint8), band_keys(signature).astype("<u4")
+                rows = [sketch[k].tobytes() + bands[k].tobytes() + bytes(raw[off[k] : off[k + 1]]) for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column("alias").slice(i, j - i), pa.array(rows, pa.binary())], names=["alias", "data"])
 
     return texts.mapInArrow(run, "alias long, data binary")

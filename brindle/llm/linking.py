@@ -17,11 +17,12 @@ BLOCK = 256
 
 
 class Compare(Protocol):
-    """Which pairs of items are alike. ``prepare`` reads the items of one place once."""
+    """Which pairs of items are alike. ``prepare`` reads the items of one place once. A pair that meets on several paths,
+    named by ``path`` for each pair, need be found on one of them only."""
 
     def prepare(self, data: list[Any]) -> Any: ...
 
-    def pairs(self, items: Any, i: np.ndarray, j: np.ndarray) -> np.ndarray: ...
+    def pairs(self, items: Any, i: np.ndarray, j: np.ndarray, path: np.ndarray | None = None) -> np.ndarray: ...
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -56,6 +57,19 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list
         yield rows
 
 
+def batched(groups: Iterator[list[dict]], rows: int = 2048, size: int = 1 << 22) -> Iterator[list[list[dict]]]:
+    """Groups put together until they have so many rows or bytes of data."""
+    held, n, total = [], 0, 0
+    for g in groups:
+        held.append(g)
+        n, total = n + len(g), total + sum(len(r["data"]) for r in g)
+        if n >= rows or total >= size:
+            yield held
+            held, n, total = [], 0, 0
+    if held:
+        yield held
+
+
 def block_pairs(rows: DataFrame, size: str, blocks: str, by: str) -> DataFrame:
     """Deal the rows of a group into ``blocks`` blocks by a hash of ``by``; each row goes to the pairs of blocks (bi, bj)
     with its own, so every two rows of a group meet in exactly one place, and no place holds more than two blocks."""
@@ -96,14 +110,22 @@ def components_of_shared(paths: DataFrame, payload: DataFrame, compare: Compare)
     rows = block_pairs(rows, "n", "blocks", "alias").repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in grouped(batches, ["path", "bi", "bj"]):
-            root = np.asarray([r["root"] for r in g])
-            i, j = np.nonzero(in_play(g[0]["bi"], g[0]["bj"], np.asarray([r["b"] for r in g])) & (root[:, None] != root[None, :]))
+        for groups in batched(grouped(batches, ["path", "bi", "bj"])):
+            left, right, path, n = [], [], [], 0
+            for g in groups:
+                own = np.asarray([r["root"] for r in g])
+                i, j = np.nonzero(in_play(g[0]["bi"], g[0]["bj"], np.asarray([r["b"] for r in g])) & (own[:, None] != own[None, :]))
+                left.append(i + n)
+                right.append(j + n)
+                path.append(np.full(len(i), g[0]["path"]))
+                n += len(g)
+            i, j, path = map(np.concatenate, (left, right, path))
             if not len(i):
                 continue
-            ok = compare.pairs(compare.prepare([r["data"] for r in g]), i, j)
-            tops = forest(len(g), i[ok], j[ok])
-            at = np.flatnonzero(tops != np.arange(len(g)))
+            root = np.asarray([r["root"] for g in groups for r in g])
+            ok = compare.pairs(compare.prepare([r["data"] for g in groups for r in g]), i, j, path)
+            tops = forest(n, i[ok], j[ok])
+            at = np.flatnonzero(tops != np.arange(n))
             yield pa.RecordBatch.from_arrays([pa.array(root[at], pa.int64()), pa.array(root[tops[at]], pa.int64())], names=["a", "b"])
 
     more = rows.select("path", "bi", "bj", "b", "alias", "root", "data").mapInArrow(link, "a long, b long")

@@ -69,7 +69,7 @@ class Sketches:
     def prepare(self, data: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(data), "<u2").reshape(-1, SKETCH)
 
-    def pairs(self, sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def pairs(self, sketches: np.ndarray, i: np.ndarray, j: np.ndarray, path: np.ndarray | None = None) -> np.ndarray:
         out = np.zeros(len(i), bool)
         for k in range(0, len(i), 65536):
             out[k : k + 65536] = (sketches[i[k : k + 65536]] == sketches[j[k : k + 65536]]).sum(1) >= self.least * SKETCH
