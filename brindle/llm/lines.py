@@ -211,7 +211,7 @@ def alike_lines(lines: list[bytes], i: np.ndarray, j: np.ndarray, threshold: flo
     few, many = np.where(size[i] <= size[j], i, j), np.where(size[i] <= size[j], j, i)
     out = size[few] >= threshold * size[many] - 1e-9
     few, many = few[out], many[out]
-    pair = np.repeat(np.arange(len(i)), size[few])
+    pair = np.repeat(np.arange(len(few)), size[few])
     at = np.arange(len(pair)) + np.repeat(first[few] - (np.cumsum(size[few]) - size[few]), size[few])
     want = member[at] % len(names) + many[pair] * len(names)
     hit = member[np.minimum(np.searchsorted(member, want), len(member) - 1)] == want
