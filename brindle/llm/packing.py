@@ -106,12 +106,18 @@ class Index:
         at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(t) else np.zeros(0, np.int64)
         return np.bincount(self.doc[at], self.weight[at], self.size)
 
+    def drop(self, gone: np.ndarray) -> None:
+        """Takes documents out of the postings; the scores of all others stay as they are."""
+        keep = ~gone[self.doc]
+        self.start = np.concatenate([[0], np.cumsum(keep)])[self.start]
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
+
 
 def _pack(lengths: list[int], index: Index, window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset): a seed starts each window, its best unused neighbours fill it, and
     what is cut off the last one seeds the next window. Only the last window can be short."""
     used = np.zeros(len(lengths), bool)
-    following = 0
+    following, listed = 0, len(lengths)
     seed = rest = None
     seq = room = 0
     while True:
@@ -135,22 +141,26 @@ def _pack(lengths: list[int], index: Index, window: int) -> Iterator[tuple[int,
             if not room:
                 break
             if neighbours is None:
-                s = index.scores(first)
-                s[used] = -1
-                neighbours = iter(np.argsort(-s, kind="stable").tolist())
+                free = np.flatnonzero(~used)
+                if len(free) < 0.8 * listed:
+                    index.drop(used)
+                    listed = len(free)
+                s = index.scores(first)[free]
+                neighbours = iter(free[np.argsort(-s, kind="stable")].tolist())
             doc, at = next((d for d in neighbours if not used[d]), None), 0
             if doc is not None:
                 used[doc] = True
         seq += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, window: int = 2048, shard_docs: int = 512) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, window: int = 2048, shard_docs: int = 2048) -> DataFrame:
     """Cut all documents into pieces and lay them into sequences of ``window`` ids.
 
     docs: doc_id, text; other columns are ignored. Documents are tokenised once (a null text is only the end id), then
     range-partitioned by a locality key, so that copies and near copies meet; ties are split by doc_id, so a hot key
     spreads. Runs of ``shard_docs`` documents are the shards of the index, weighted by the document frequencies of all
-    documents (an array of the vocabulary's size, the only thing sent to all). A shard fills every sequence but its last.
+    documents (an array of the vocabulary's size, the only thing sent to all). Neighbours in other shards are not found;
+    the README lists the share that is. A shard fills every sequence but its last.
     Repeated rows are packed one by one; an empty table gives no piece. Returns PIECES; sequence_id is unique over shards.
     """
     from tokenizers import Tokenizer

@@ -129,3 +129,30 @@ def test_seed_gets_its_own_neighbours():
         df[d] += 1
     pieces = list(packing._pack([len(d) for d in docs], packing.Index(docs, 100, 390, df), 800))
     assert [p[0] for p in pieces[:2]] == [0, 2]
+
+
+def test_dropped_documents_change_no_score():
+    rng = np.random.default_rng(3)
+    docs = [np.append(rng.integers(5, 90, rng.integers(3, 60)), 1).astype("<u4") for _ in range(80)]
+    df = np.zeros(100, np.int64)
+    for d in docs:
+        df[np.unique(d)] += 1
+    index, less = (packing.Index(docs, len(docs), 30.0, df) for _ in range(2))
+    gone = rng.random(80) < 0.5
+    less.drop(gone)
+    for q in (0, 11, 50):
+        assert np.array_equal(less.scores(q), np.where(gone, 0, index.scores(q)))
+
+
+def test_neighbours_without_a_common_run_meet_in_1500_documents(spark):
+    rng = np.random.default_rng(4)
+    words = [a + b + d for a in "bcdfghjk" for b in "aeiou" for d in ("lt", "rm", "nd", "sk", "mp")]
+    rows = [(i, " ".join(rng.choice(words, 300))) for i in range(1500)]
+    for i in range(0, 40, 2):
+        mine = [f"{rng.integers(10**5, 10**6)}" for _ in range(90)]
+        rows[i], rows[i + 1] = (i, " ".join(mine)), (i + 1, " ".join(rng.permutation(mine)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    seqs = {}
+    for r in packing.pack(docs, PATH).where("doc_id < 40").collect():
+        seqs.setdefault(r.doc_id, set()).add(r.sequence_id)
+    assert sum(bool(seqs[i] & seqs[i + 1]) for i in range(0, 40, 2)) >= 18
