@@ -102,6 +102,21 @@ def match_cascade(records: DataFrame, links: DataFrame, companies: DataFrame, ph
     return rows.select("seq", how.alias("matched_by"), F.coalesce("by_link", "by_website", "by_phone").alias("company_id"))
 
 
+def ingest_summary(records: DataFrame, matches: DataFrame, run_rows: DataFrame) -> DataFrame:
+    """One row of counts of an ingest: staged records, created and matched companies' records, companies queued for the run.
+
+    records: seq, website, region_id; matches: the cascade's rows; run_rows: company_id, status of the run. New records of one
+    region and website key create one company, the others match it. A company is queued once, and not while its row in the
+    run is queued, running or completed. A website that a match by phone would add to its company is not followed.
+    """
+    key = F.concat(F.col("region_id").cast("string"), F.lit("/"), urls.website_key(F.col("website")))
+    rows = matches.join(records.select("seq", F.coalesce(key, F.concat(F.lit("seq "), F.col("seq").cast("string"))).alias("key")), "seq")
+    counts = rows.agg(F.count(F.lit(1)).alias("staged"), F.countDistinct(F.when(F.col("matched_by") == "new", F.col("key"))).alias("created"))
+    busy = run_rows.where(F.col("status").isin("queued", "running", "completed")).select("company_id")
+    known = matches.where("company_id is not null").select("company_id").distinct().join(busy, "company_id", "left_anti").agg(F.count(F.lit(1)).alias("known"))
+    return counts.crossJoin(known).select("staged", "created", (F.col("staged") - F.col("created")).alias("matched"), (F.col("created") + F.col("known")).alias("queued"))
+
+
 def stage_places(places: DataFrame, default: str = "google_maps") -> DataFrame:
     """Raw place rows with trimmed names, tolerant numbers and a query text; a place id counts once (the first), empty ids stay."""
     rows = places.select(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from brindle.functions import prompts, scores
 from brindle.operators import companies as co
 from brindle.operators import ranking, upserts
-from brindle.plans.catalog import query
+from brindle.plans.catalog import ORACLE_SQL, _website_key, cascade, query
+from brindle.plans.views import ctes
 
 c = F.col
 # Fixed values.
@@ -203,6 +204,14 @@ query("m03_context_lines", "variants", sql="select cluster_slug, string_agg(vari
 query("a42_ingest_summary", "places", "companies", "phones", sql="select count(*) as staged, count(distinct seq) as rows_kept from (select * from v_places where place_id <> '' qualify row_number() over (partition by place_id order by seq) = 1 union all select * from v_places where place_id = '')")(
     lambda p, k, ph: co.stage_places(p).agg(F.count("*").alias("staged"), F.countDistinct("seq").alias("rows_kept"))
 )
+_CASCADE = ORACLE_SQL["j08_match_cascade"].removeprefix(ctes("places", "companies", "phones"))
+query(
+    "a42_ingest_matches", "places", "companies", "phones", "run_companies",
+    sql=f"""select staged, created, staged - created as matched, created + known as queued from (
+  select count(*) as staged, count(distinct case when matched_by = 'new' then coalesce(cast(region_id as string) || '/' || key, 'seq ' || cast(seq as string)) end) as created
+  from ({_CASCADE}) join (select seq, region_id, {_website_key('website')} as key from v_places) using (seq)),
+  (select count(distinct company_id) as known from ({_CASCADE}) where company_id is not null and company_id not in (select company_id from v_run_companies where run_id % 40 = 0 and status in ('queued', 'running', 'completed')))""",
+)(lambda p, k, ph, r: co.ingest_summary(co.stage_places(p), cascade(p, k, ph), r.where("run_id % 40 = 0")))
 query("a30_draft_counts", "variants", sql="select strategy, count(distinct cluster_slug) as clusters, count(distinct label) as labels, count(*) as templates from v_variants group by strategy")(
     lambda v: v.groupBy("strategy").agg(F.countDistinct("cluster_slug").alias("clusters"), F.countDistinct("label").alias("labels"), F.count("*").alias("templates"))
 )

@@ -42,6 +42,13 @@ def test_contact_companies(spark):
     assert (r.contact_companies, r.phone_companies) == (3, 2)
 
 
+def test_ingest_summary(spark):
+    records = spark.createDataFrame([(1, "a.com", 1), (2, "https://www.a.com/", 1), (3, "a.com", 2), (4, None, 1), (5, "k.com", 1), (6, "k.com", 1), (7, "x.com", 1)], "seq int, website string, region_id int")
+    matches = spark.createDataFrame([(i, "new", None) for i in (1, 2, 3, 4)] + [(5, "website", 50), (6, "website", 50), (7, "phone", 70)], "seq int, matched_by string, company_id int")
+    run = spark.createDataFrame([(50, "failed"), (70, "running")], "company_id int, status string")
+    assert companies.ingest_summary(records, matches, run).first().asDict() == {"staged": 7, "created": 3, "matched": 4, "queued": 4}
+
+
 def test_names(spark):
     rows = [(None, "Shop", True), ("place-1", "Shop", True), ("Shop", "place-9", False), ("Shop", "Shops", True), ("Shops", "Shop", False), ("a", None, False)]
     df = spark.createDataFrame(rows, "a string, b string, want boolean")
