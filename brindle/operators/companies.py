@@ -83,6 +83,41 @@ def merge_phones(phones: DataFrame, ids: DataFrame) -> DataFrame:
     return moved.groupBy("company_id", "phone").agg(F.max_by("raw", F.struct(F.length("raw"), -F.col("seq"))).alias("raw"), F.max("seq").alias("last_seen"))
 
 
+def _moved(rows: DataFrame, ids: DataFrame, seq: str) -> DataFrame:
+    """Rows under their canonical company, with the order of a merge: the company's own first, then by company and ``seq``."""
+    moved = rows.join(ids, "company_id", "left").withColumn("_to", F.coalesce("canonical_id", "company_id"))
+    return moved.withColumn("_order", F.struct((F.col("_to") != F.col("company_id")).cast("int").alias("m"), F.col("company_id").alias("c"), F.col(seq).alias("s"))).drop("company_id", "canonical_id").withColumnRenamed("_to", "company_id")
+
+
+def _first(name: str, empty) -> Column:
+    """The first value in merge order that is neither null nor empty."""
+    return F.min_by(name, F.when(F.col(name) != F.lit(empty), F.col("_order"))).alias(name)
+
+
+def merge_pages(pages: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pages (company_id, page_id, url, title, status_code, has_contact_form, crawl_error, crawled_at), one row for each url of a
+    canonical company: the first title, status and error, whether any has a form, the last crawl."""
+    return _moved(pages, ids, "page_id").groupBy("company_id", "url").agg(
+        _first("title", ""), _first("status_code", 0), F.coalesce(F.bool_or("has_contact_form"), F.lit(False)).alias("has_contact_form"), _first("crawl_error", ""), F.max("crawled_at").alias("crawled_at"),
+    )
+
+
+def merge_channels(channels: DataFrame, ids: DataFrame) -> DataFrame:
+    """Channels (company_id, channel_id, channel_type, value), one row for each type and lower-case value: the longest form, the
+    first of equals in merge order; first and last sighting by channel_id."""
+    rows = _moved(channels, ids, "channel_id").withColumn("normalized", F.lower(F.btrim("value")))
+    return rows.groupBy("company_id", "channel_type", "normalized").agg(
+        F.min_by("value", F.struct((-F.length(F.btrim("value"))).alias("n"), "_order")).alias("value"), F.min("channel_id").alias("first_seen"), F.max("channel_id").alias("last_seen"),
+    )
+
+
+def merge_forms(forms: DataFrame, ids: DataFrame) -> DataFrame:
+    """Forms (company_id, form_id, page_url, action_url, has_captcha, is_js_challenge, last_checked_at), one row for each page:
+    the first action, whether any has a captcha or a challenge, the last check."""
+    any_ = lambda n: F.coalesce(F.bool_or(n), F.lit(False)).alias(n)
+    return _moved(forms, ids, "form_id").groupBy("company_id", "page_url").agg(_first("action_url", ""), any_("has_captcha"), any_("is_js_challenge"), F.max("last_checked_at").alias("last_checked_at"))
+
+
 def merge_run_companies(rows: DataFrame) -> DataFrame:
     """One row per (run, company): the state of highest priority, the earliest queueing."""
     prio = F.coalesce(*[F.when(F.col("status") == s, n) for s, n in STATUS_PRIORITY.items()], F.lit(0))

@@ -52,3 +52,11 @@ def before_and_after(audits: DataFrame, stats: DataFrame, days: int = 7) -> Data
     span = F.expr(f"interval {days} days")
     rows = s.join(a, "day").where((F.col("created_at") >= F.col("changed_at") - span) & (F.col("created_at") < F.col("changed_at") + span))
     return window_figures(rows.withColumn("side", F.when(F.col("created_at") < F.col("changed_at"), "before").otherwise("after")), ["audit_id", "side"])
+
+
+def draft_counts(generations: DataFrame, **children: DataFrame) -> DataFrame:
+    """Counts of each kind of child per generation; every child is reduced before its left join, none counts 0."""
+    out = generations
+    for name, rows in children.items():
+        out = out.join(rows.groupBy("generation_id").agg(F.count(F.lit(1)).alias(name)), "generation_id", "left")
+    return out.select(*generations.columns, *[F.coalesce(n, F.lit(0)).alias(n) for n in children])

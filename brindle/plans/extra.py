@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions import prompts, scores
 from brindle.operators import companies as co
-from brindle.operators import ranking, upserts
-from brindle.plans.catalog import ORACLE_SQL, _website_key, cascade, query
+from brindle.operators import ranking, runs, upserts
+from brindle.plans.catalog import _CANON, ORACLE_SQL, _website_key, cascade, query
 from brindle.plans.views import ctes
 
 c = F.col
@@ -227,3 +227,52 @@ query("u18_clamped_scores", "evals", sql="select eval_id, greatest(0, least(5, j
 query("u21_get_or_create", "runs", sql="select run_id from v_runs where run_id % 2 = 0 union select run_id + 1 from v_runs where run_id % 4 = 0")(
     lambda r: upserts.insert_absent(r.where("run_id % 2 = 0").select("run_id"), r.where("run_id % 4 = 0").select((c("run_id") + 1).alias("run_id")), ["run_id"])
 )
+
+# --- A-30, A-39 and U-07 over the whole of their tables
+def draft_counts(r: DataFrame, k: DataFrame, s: DataFrame) -> DataFrame:
+    """The 20 newest generations, here runs, with their three kinds of children."""
+    newest = r.orderBy(F.desc("started_at"), "run_id").limit(20).select(c("run_id").alias("generation_id"), "started_at")
+    child = lambda df: df.select(c("run_id").alias("generation_id"))
+    return runs.draft_counts(newest, verticals=child(k.where("line % 3 = 0")), clusters=child(s.where("region_id % 2 = 0")), templates=child(k.where("status = 'queued'")))
+
+
+query(
+    "a30_generation_counts", "runs", "run_companies", "run_stats",
+    sql="""select g.run_id as generation_id, started_at, coalesce(v.n, 0) as verticals, coalesce(k.n, 0) as clusters, coalesce(t.n, 0) as templates from (select run_id, started_at from v_runs order by started_at desc, run_id limit 20) g
+  left join (select run_id, count(*) as n from v_run_companies where line % 3 = 0 group by 1) v on v.run_id = g.run_id left join (select run_id, count(*) as n from v_run_stats where region_id % 2 = 0 group by 1) k on k.run_id = g.run_id
+  left join (select run_id, count(*) as n from v_run_companies where status = 'queued' group by 1) t on t.run_id = g.run_id""",
+)(draft_counts)
+
+
+def sample_totals(k: DataFrame) -> DataFrame:
+    """Figures over all sampled regions: a name that stands in two of them counts once."""
+    name = F.lower(F.btrim("name"))
+    t = k.agg(F.count("*").alias("results"), F.count_if(c("website_url") != "").alias("with_website"), F.countDistinct(F.when(c("name") != "", name)).alias("names"))
+    rate = lambda n: F.coalesce(F.bround(F.try_divide(n, "results"), 4), F.lit(0.0))
+    return t.select("*", rate("with_website").alias("website_rate"), rate("names").alias("name_rate"))
+
+
+query(
+    "a39_sample_totals", "companies",
+    sql="select *, coalesce(round_even(with_website / nullif(results, 0), 4), 0) as website_rate, coalesce(round_even(names / nullif(results, 0), 4), 0) as name_rate from (select count(*) as results, count(*) filter (website_url <> '') as with_website, count(distinct lower(trim(name))) filter (name <> '') as names from v_companies)",
+)(sample_totals)
+_ORDER = "(coalesce(canonical_id, r.company_id) <> r.company_id)::int, r.company_id"
+_TO = f"left join ({_CANON}) m on m.company_id = r.company_id"
+query(
+    "u07_canonical_pages", "requests", "companies",
+    sql=f"""select coalesce(canonical_id, r.company_id) as company_id, url, arg_min(title, row({_ORDER}, id)) filter (title <> '') as title, arg_min(status_code, row({_ORDER}, id)) filter (status_code <> 0) as status_code, bool_or(has_contact_form) as has_contact_form,
+  arg_min(error, row({_ORDER}, id)) filter (error <> '') as crawl_error, max(created_at) as crawled_at from (select *, id % 1500 as company_id, case when id % 3 = 0 then '' else request_kind end as title, duration_ms as status_code, id % 4 = 0 as has_contact_form from v_requests) r {_TO} group by 1, 2""",
+)(
+    lambda r, k: co.merge_pages(r.select((c("id") % 1500).alias("company_id"), c("id").alias("page_id"), "url", F.when(c("id") % 3 == 0, "").otherwise(c("request_kind")).alias("title"), c("duration_ms").alias("status_code"), (c("id") % 4 == 0).alias("has_contact_form"), c("error").alias("crawl_error"), c("created_at").alias("crawled_at")), co.canonical(k))
+)
+query(
+    "u07_merge_channels", "channels", "companies",
+    sql=f"select coalesce(canonical_id, r.company_id) as company_id, channel_type, lower(trim(value)) as normalized, arg_min(value, row(-length(trim(value)), {_ORDER}, channel_id)) as value, min(channel_id) as first_seen, max(channel_id) as last_seen from v_channels r {_TO} group by 1, 2, 3",
+)(lambda ch, k: co.merge_channels(ch, co.canonical(k)))
+query(
+    "u07_merge_forms", "requests", "companies",
+    sql=f"""select coalesce(canonical_id, r.company_id) as company_id, url as page_url, arg_min(action_url, row({_ORDER}, id)) filter (action_url <> '') as action_url, bool_or(error is not null) as has_captcha, bool_or(id % 7 = 0) as is_js_challenge, max(created_at) as last_checked_at
+  from (select *, id % 1500 as company_id, case when id % 3 = 0 then null else request_kind end as action_url from v_requests where provider = 'crawler') r {_TO} group by 1, 2""",
+)(
+    lambda r, k: co.merge_forms(r.where("provider = 'crawler'").select((c("id") % 1500).alias("company_id"), c("id").alias("form_id"), c("url").alias("page_url"), F.when(c("id") % 3 != 0, c("request_kind")).alias("action_url"), c("error").isNotNull().alias("has_captcha"), (c("id") % 7 == 0).alias("is_js_challenge"), c("created_at").alias("last_checked_at")), co.canonical(k))
+)

@@ -49,6 +49,21 @@ def test_ingest_summary(spark):
     assert companies.ingest_summary(records, matches, run).first().asDict() == {"staged": 7, "created": 3, "matched": 4, "queued": 4}
 
 
+def test_merges_follow_the_canonical_company(spark):
+    ids = spark.createDataFrame([(1, 2), (2, 2), (3, 3)], "company_id int, canonical_id int")
+    pages = spark.createDataFrame([(1, 10, "u", "dup", 200, True, None, 9), (2, 11, "u", "", 0, False, "late", 5), (3, 12, "u", "x", 404, False, None, 1)], "company_id int, page_id int, url string, title string, status_code int, has_contact_form boolean, crawl_error string, crawled_at int")
+    assert sorted(map(tuple, companies.merge_pages(pages, ids).collect())) == [(2, "u", "dup", 200, True, "late", 9), (3, "u", "x", 404, False, None, 1)]
+    channels = spark.createDataFrame([(1, 7, "t", "@AB"), (2, 8, "t", "@ab"), (2, 9, "w", "@ab")], "company_id int, channel_id int, channel_type string, value string")
+    assert sorted(map(tuple, companies.merge_channels(channels, ids).collect())) == [(2, "t", "@ab", "@ab", 7, 8), (2, "w", "@ab", "@ab", 9, 9)]
+    forms = spark.createDataFrame([(1, 4, "p", "a1", True, False, 3), (2, 5, "p", None, False, False, 2)], "company_id int, form_id int, page_url string, action_url string, has_captcha boolean, is_js_challenge boolean, last_checked_at int")
+    assert [tuple(r) for r in companies.merge_forms(forms, ids).collect()] == [(2, "p", "a1", True, False, 3)]
+
+
+def test_draft_counts_keep_childless_generations(spark):
+    g, a, b = (spark.createDataFrame([(x,) for x in xs], "generation_id int") for xs in ([1, 2], [1, 1], [1]))
+    assert sorted(map(tuple, runs.draft_counts(g, verticals=a, clusters=b, templates=b).collect())) == [(1, 2, 1, 1), (2, 0, 0, 0)]
+
+
 def test_names(spark):
     rows = [(None, "Shop", True), ("place-1", "Shop", True), ("Shop", "place-9", False), ("Shop", "Shops", True), ("Shops", "Shop", False), ("a", None, False)]
     df = spark.createDataFrame(rows, "a string, b string, want boolean")
