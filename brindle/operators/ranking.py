@@ -24,11 +24,20 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
 
 
 def nearest_rank(values: Column, p: float) -> Column:
-    """Nearest-rank percentile of a group: place round((n - 1) * p), half to even, of the sorted values."""
+    """Nearest-rank percentile of a group: place round((n - 1) * p), half to even, of the sorted values. Gathers the
+    group, so only for small ones; ``nearest_rank_by_counts`` is for any."""
     a = F.array_sort(F.collect_list(values))
     return F.element_at(a, F.bround((F.size(a) - 1) * p, 0).cast("int") + 1)
 
 
+def nearest_rank_by_counts(df: DataFrame, key: str, value: str, p: float, name: str) -> DataFrame:
+    """The same percentile from counts per (group, value) and their running sum, without gathering a group."""
+    n = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    n = n.withColumn("_upto", F.sum("_n").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    totals = n.groupBy(key).agg(F.sum("_n").alias("_all"))
+    return n.join(totals, key).where(F.col("_upto") > F.bround((F.col("_all") - 1) * p, 0)).groupBy(key).agg(F.min(value).alias(name))
+
+
 def failure_streaks(df: DataFrame, key: str, order: list[Column], failed: Column, cooldown: int = 3, disable: int = 5) -> DataFrame:
     """Running streak of failures per key, reset by a success, with the flags at ``cooldown`` and ``disable``."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -37,19 +46,34 @@ def failure_streaks(df: DataFrame, key: str, order: list[Column], failed: Column
     return rows.withColumn("streak", streak).withColumn("cooling", F.col("streak") >= cooldown).withColumn("disabled", F.col("streak") >= disable).drop("_failed", "_island")
 
 
-def clamped_fold(df: DataFrame, key: str, order: str, step: Column, start: int = 100, low: int = 0, high: int = 100) -> DataFrame:
-    """Running value per key that is held within bounds after each step. The fold needs a key's steps in order, so
-    they are gathered per key; keys are entities with a bounded log (one lease history)."""
-    a = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), step.alias("s"))))
-    return df.groupBy(key).agg(F.aggregate(a, F.lit(start), lambda acc, x: F.greatest(F.lit(low), F.least(F.lit(high), acc + x["s"]))).alias("value"))
-
-
-def running_mean(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Mean updated one value at a time and rounded (half to even) at each step."""
-    a = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+def clamped_fold(df: DataFrame, key: str, order: str, step: Column, start: int = 100, low: int = 0, high: int = 100, chunk: int = 4096) -> DataFrame:
+    """Running value per key that is held within bounds after each step.
+
+    Clamped steps compose: any run of them is a shift, then a low and a high bound. Rows are range-partitioned by key and
+    order, so a key of many rows spreads; every ``chunk`` rows become one such triple, and a key's triples are combined.
+    """
+    wide = 1 << 60
+    clamp = lambda x: F.greatest(F.lit(low).cast("long"), F.least(F.lit(high).cast("long"), x))
+    rows = df.select(F.col(key), F.col(order).alias("o"), step.cast("long").alias("s")).repartitionByRange(key, "o", "s").withColumn("_part", F.spark_partition_id())
+    rows = rows.withColumn("_chunk", F.floor((F.row_number().over(Window.partitionBy(key, "_part").orderBy("o", "s")) - 1) / chunk))
+    none = F.struct(F.lit(0).cast("long").alias("s"), F.lit(-wide).cast("long").alias("low"), F.lit(wide).cast("long").alias("high"))
+    add = lambda acc, x: F.struct((acc["s"] + x["s"]).alias("s"), clamp(acc["low"] + x["s"]).alias("low"), clamp(acc["high"] + x["s"]).alias("high"))
+    steps = F.array_sort(F.collect_list(F.struct("o", "s")))
+    triples = rows.groupBy(key, "_part", "_chunk").agg(F.aggregate(steps, none, add).alias("t"))
+    at = lambda acc, x: F.greatest(x["t"]["low"], F.least(x["t"]["high"], acc + x["t"]["s"]))
+    last = F.aggregate(F.array_sort(F.collect_list(F.struct("_part", "_chunk", "t"))), F.lit(start).cast("long"), at)
+    return triples.groupBy(key).agg(last.cast("int").alias("value"))
+
+
+def running_mean(df: DataFrame, key: str, order: str, value: str, limit: int = 100_000) -> DataFrame:
+    """Mean updated one value at a time and rounded (half to even) at each step. Rounded steps do not compose, so a key's
+    values are gathered; a key of more than ``limit`` values is an error, and no more than one above it are gathered."""
+    rows = top_per_group(df.select(key, F.col(order).alias("o"), F.col(value).alias("v")), [key], [F.col("o"), F.col("v")], limit + 1)
+    a = F.array_sort(F.collect_list(F.struct("o", "v")))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("m"))
     step = lambda acc, x: F.struct((acc["n"] + 1).alias("n"), F.bround((acc["m"] * acc["n"] + x["v"]) / (acc["n"] + 1), 0).cast("int").alias("m"))
-    return df.groupBy(key).agg(F.aggregate(a, start, step, lambda acc: acc["m"]).alias("mean"))
+    over = F.raise_error(F.lit(f"running_mean: a key has more than {limit} values")).cast("int")
+    return rows.groupBy(key).agg(a.alias("a")).select(key, F.when(F.size("a") > limit, over).otherwise(F.aggregate("a", start, step, lambda acc: acc["m"])).alias("mean"))
 
 
 def early_stop(df: DataFrame, site: str, order: list[Column], useless: Column, limit: int = 3) -> DataFrame:

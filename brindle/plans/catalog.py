@@ -420,7 +420,7 @@ query("a32_dominant_market", "run_stats", "variants", "regions", sql="select str
     lambda s, v, r: ranking.top_per_group(s.join(v.select("variant_id", "strategy"), "variant_id").join(r.select("region_id", "country_code"), "region_id").groupBy("strategy", "country_code").agg(F.count(F.lit(1)).alias("n")), ["strategy"], [F.desc("n"), c("country_code")]).select("strategy", "country_code")
 )
 query("a35_nearest_rank", "variants", sql="select strategy, list_sort(list(production_score))[cast(round_even((count(*) - 1) * 0.55::double, 0) as int) + 1] as p55, cast(round_even(median(validation_score), 0) as int) as median from v_variants group by strategy")(
-    lambda v: v.groupBy("strategy").agg(ranking.nearest_rank(c("production_score"), 0.55).alias("p55"), F.bround(F.percentile("validation_score", F.lit(0.5)), 0).cast("int").alias("median"))
+    lambda v: v.groupBy("strategy").agg(F.bround(F.percentile("validation_score", F.lit(0.5)), 0).cast("int").alias("median")).join(ranking.nearest_rank_by_counts(v, "strategy", "production_score", 0.55, "p55"), "strategy", "left").select("strategy", "p55", "median")
 )
 query(
     "a37_scoreboard", "audits",

@@ -141,3 +141,25 @@ def test_due_dates(spark):
     rows = [(None, "completed", "2024-01-01", False), ("u", "pending", "2024-01-09", True), ("u", "completed", None, True), ("u", "completed", "2024-01-01", True), ("u", "completed", "2024-01-09", False)]
     df = spark.createDataFrame(rows, "w string, s string, l string, want boolean")
     assert all(r.got == r.want for r in df.withColumn("got", runs.recrawl_due(F.col("w"), F.col("s"), F.col("l"), F.lit("2024-01-10"), 72)).collect())
+
+
+def test_folds_gather_no_group(spark):
+    import random
+
+    rng = random.Random(6)
+    log = [(rng.choice("aab"), i, rng.choice([-20, -7, 5, 5, 5, 9])) for i in range(900)]
+    want = {k: 100 for k in "ab"}
+    for k, _, s in log:
+        want[k] = max(0, min(100, want[k] + s))
+    df = spark.createDataFrame(rng.sample(log, len(log)), "k string, i int, s int").repartition(4)
+    for chunk in (1, 7, 4096):
+        assert {r.k: r.value for r in ranking.clamped_fold(df, "k", "i", F.col("s"), chunk=chunk).collect()} == want
+    for p in (0.0, 0.5, 0.55, 1.0):
+        got = {r.k: r.x for r in ranking.nearest_rank_by_counts(df, "k", "s", p, "x").collect()}
+        for k in "ab":
+            v = sorted(s for key, _, s in log if key == k)
+            assert got[k] == v[round((len(v) - 1) * p)]
+    few = spark.createDataFrame([("k", 1, 1), ("k", 2, 2), ("k", 3, 5)], "k string, i int, v int")
+    assert ranking.running_mean(few, "k", "i", "v", limit=3).first().mean == 3
+    with pytest.raises(Exception, match="more than 2 values"):
+        ranking.running_mean(few, "k", "i", "v", limit=2).collect()
