@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", finish: i
     Each round hangs every node under the smallest neighbour known so far; a hub's edges are only ever
     reduced with ``min`` (map-side combined) and joined back, so no node's neighbours meet in one task.
     Once no more than ``finish`` edges are left, which is counted, one task ends the work. Null ends and self-loops are
-    ignored. Returns (node, root): every node of a non-loop edge, with root the smallest node of its component.
+    ignored; labels still changing after ``max_rounds`` are an error. Returns (node, root): every node of a non-loop edge, with root the smallest node of its component.
     """
     cur = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
     cur = materialize(cur, "edges")
@@ -72,4 +72,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", finish: i
         if before == now:
             break
         before = now
+    else:
+        raise RuntimeError(f"connected_components: no fixed point after {max_rounds} rounds")
     return cur.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(cur.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

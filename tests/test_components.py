@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from brindle.operators.components import connected_components
 
 
@@ -32,3 +34,9 @@ def test_string_nodes(spark):
     df = spark.createDataFrame([("c", "b"), ("b", "a"), ("x", "y")], "p string, q string")
     for finish in (0, 100):
         assert {(r.node, r.root) for r in connected_components(df, "p", "q", finish=finish).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+
+
+def test_unfinished_labels_are_an_error(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError, match="no fixed point"):
+        connected_components(df, finish=0, max_rounds=1)
