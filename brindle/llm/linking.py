@@ -77,6 +77,49 @@ def block_pairs(rows: DataFrame, size: str, blocks: str, by: str) -> DataFrame:
     return rows.withColumn("b", b).withColumn("o", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int")))).withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("o", size, blocks)
 
 
+def cross_pairs(rows: DataFrame, group: str, kind: str, by: str) -> DataFrame:
+    """Like :func:`block_pairs`, for pairs of different ``kind`` only: rows of a group's most frequent kind never meet each
+    other, so a group of one large kind and few other rows costs in proportion to its rows times these few."""
+    kinds = rows.groupBy(group, kind).agg(F.count(F.lit(1)).alias("n"))
+    large = kinds.groupBy(group).agg(F.max(F.struct("n", kind)).alias("top"), F.sum("n").alias("all"))
+    ceil = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    large = large.select(group, F.col(f"top.{kind}").alias("major"), ceil(F.col("all") - F.col("top.n")).alias("few"), ceil(F.col("top.n")).alias("many"))
+    own = F.xxhash64(by)
+    is_major = F.col(kind) == F.col("major")
+    dealt = rows.join(large, group).withColumn("b", F.when(is_major, F.col("few") + F.pmod(own, F.col("many"))).otherwise(F.pmod(own, F.col("few"))).cast("int"))
+    met = F.when(is_major, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    return dealt.withColumn("o", F.explode(F.sequence(F.lit(0), met))).withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("o", "major", "few", "many")
+
+
+class Roots:
+    """Union-find over the distinct roots that one task meets; each joined pair of roots leaves the task once."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, v: int) -> int:
+        top = v
+        while (up := self.parent.get(top, top)) != top:
+            top = up
+        while v != top:
+            self.parent[v], v = top, self.parent.get(v, v)
+        return top
+
+    def tops(self, roots: np.ndarray) -> np.ndarray:
+        each, at = np.unique(roots, return_inverse=True)
+        return np.asarray([self.find(v) for v in each.tolist()], np.int64)[at]
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> None:
+        for a, b in set(zip(left.tolist(), right.tolist())):
+            a, b = self.find(a), self.find(b)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+
+    def edges(self) -> tuple[list[int], list[int]]:
+        below = [v for v in self.parent if self.find(v) != v]
+        return below, [self.find(v) for v in below]
+
+
 def in_play(bi: int, bj: int, b: np.ndarray) -> np.ndarray:
     """Pairs of rows that are this place's to compare: across its two blocks, or within its only one."""
     pairs = np.triu(np.ones((len(b), len(b)), bool), 1)
@@ -87,10 +130,11 @@ def components_of_shared(paths: DataFrame, payload: DataFrame, compare: Compare)
     """(node, root): components of items that share a path and are alike. paths: path, alias; payload: alias, data.
 
     First each path's items are compared with its least one only, which links groups of copies at a cost in
-    proportion to their rows. Only paths whose items then lie in several components are compared in full: at once where
-    they are few, in pairs of blocks where they are many.
+    proportion to their rows. Only paths whose items then lie in several components are compared in full, across
+    components: at once where they are few, in pairs of blocks where they are many. A task joins components as it finds
+    them, compares no pair it has joined already, and gives each component it has hung under another once.
     """
-    shared = paths.groupBy("path").agg(F.min("alias").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = paths.groupBy("path").agg(F.min("alias").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("path", "pivot")
     members = materialize(paths.join(shared, "path"), "members")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,30 +147,31 @@ def components_of_shared(paths: DataFrame, payload: DataFrame, compare: Compare)
     stars = members.where("alias <> pivot").select("alias", "pivot").distinct().join(payload, "alias").join(payload.select(F.col("alias").alias("pivot"), F.col("data").alias("pivot_data")), "pivot")
     stars = stars.select("alias", "pivot", "data", "pivot_data").mapInArrow(near, "alias long, pivot long")
     first = materialize(connected_components(stars, "alias", "pivot"), "first")
-    placed = members.join(first.withColumnRenamed("node", "alias"), "alias", "left").select("path", "alias", "n", F.coalesce("root", "alias").alias("root"))
+    placed = members.join(first.withColumnRenamed("node", "alias"), "alias", "left").select("path", "alias", F.coalesce("root", "alias").alias("root"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("path")
-    rows = placed.join(mixed, "path").join(payload, "alias").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)))
-    rows = block_pairs(rows, "n", "blocks", "alias").repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj")
+    rows = cross_pairs(placed.join(mixed, "path"), "path", "root", "alias").join(payload, "alias")
+    rows = rows.repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Roots()
         for groups in batched(grouped(batches, ["path", "bi", "bj"])):
+            tops = known.tops(np.asarray([r["root"] for g in groups for r in g]))
             left, right, path, n = [], [], [], 0
             for g in groups:
-                own = np.asarray([r["root"] for r in g])
+                own = tops[n : n + len(g)]
                 i, j = np.nonzero(in_play(g[0]["bi"], g[0]["bj"], np.asarray([r["b"] for r in g])) & (own[:, None] != own[None, :]))
                 left.append(i + n)
                 right.append(j + n)
                 path.append(np.full(len(i), g[0]["path"]))
                 n += len(g)
             i, j, path = map(np.concatenate, (left, right, path))
-            if not len(i):
-                continue
-            root = np.asarray([r["root"] for g in groups for r in g])
-            ok = compare.pairs(compare.prepare([r["data"] for g in groups for r in g]), i, j, path)
-            tops = forest(n, i[ok], j[ok])
-            at = np.flatnonzero(tops != np.arange(n))
-            yield pa.RecordBatch.from_arrays([pa.array(root[at], pa.int64()), pa.array(root[tops[at]], pa.int64())], names=["a", "b"])
+            if len(i):
+                ok = compare.pairs(compare.prepare([r["data"] for g in groups for r in g]), i, j, path)
+                known.join(tops[i[ok]], tops[j[ok]])
+        a, b = known.edges()
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     more = rows.select("path", "bi", "bj", "b", "alias", "root", "data").mapInArrow(link, "a long, b long")
     joined = materialize(connected_components(more, "a", "b"), "second").select(F.col("node").alias("root"), F.col("root").alias("top"))

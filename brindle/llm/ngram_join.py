@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.text import mix, text_blocks, word_shingles
-from brindle.llm.linking import BLOCK, block_pairs, components_of_shared, forest, grouped, in_play
+from brindle.llm.linking import block_pairs, components_of_shared, forest, grouped, in_play
 from brindle.operators.components import connected_components
 from brindle.storage import materialize
 
 DEPTH = 3
 SKETCH = 64
+#: Sets, and shingles, of one block in verification; a place holds two blocks.
+SETS, WEIGHT = 1024, 1 << 20
 _NO_ID = -(1 << 63)
 _SKETCH = np.random.default_rng(31).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -147,7 +149,7 @@ def _verify(texts: DataFrame, k: int, threshold: float) -> DataFrame:
     return rows.select("root", "bi", "bj", "b", "set_id", "copies", "text").mapInArrow(run, "set_id binary, linked long, near binary")
 
 
-def ngram_join(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, recall: float = 0.999, sketch_least: float = 0.5) -> DataFrame:
+def ngram_join(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, recall: float = 0.999, sketch_least: float = 0.6) -> DataFrame:
     """All documents, with their links: (doc_id, class_id, copy_id, n_links, n_shingles).
 
     docs: doc_id, text; other columns are ignored. A text's set is its distinct runs of ``k`` words
@@ -157,7 +159,7 @@ def ngram_join(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, recall: f
 
     Sets are collapsed first, so copies are never paired. Chosen paths of ``recall`` propose, sketches thin the
     proposals out, and every pair within a proposed component is verified on whole texts; a large component is verified
-    in pairs of blocks, of at most 2 * BLOCK sets. Groups are only ever reduced by count and least, or dealt into blocks.
+    in pairs of blocks, of at most 2 * SETS sets. Groups are only ever reduced by count and least, or dealt into blocks.
 
     Null and empty texts have no set: no links, a class of their own row's doc_id. A null doc_id takes part and stays null.
     Repeated rows are copies. An empty table gives an empty result.
@@ -172,7 +174,7 @@ def ngram_join(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, recall: f
     sets = sets.withColumn("copy_id", F.col("one.doc_id"))
     cand = sets.select("set_id", "alias", "copies", "one.*", "n").join(comps.withColumnRenamed("node", "alias"), "alias").select("set_id", "copies", "doc_id", "text_id", "n", "root")
     sizes = cand.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("weight"))
-    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("sets") / BLOCK), F.least(F.col("sets"), F.ceil(F.col("weight") / F.lit(1 << 20))))).drop("weight")
+    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("sets") / SETS), F.least(F.col("sets"), F.ceil(F.col("weight") / F.lit(WEIGHT))))).drop("weight")
     texts = cand.join(sizes, "root").join(docs, ["doc_id", "text_id"]).select("root", "sets", "blocks", "set_id", "copies", "text")
     links = materialize(_verify(texts, k, threshold), "links")
     top = connected_components(links.select("set_id", "near"), "set_id", "near").withColumnRenamed("node", "set_id")

@@ -99,10 +99,10 @@ def word_shingles(data: np.ndarray, off: np.ndarray, k: int = 5) -> list[np.ndar
         if b - a >= k:
             out.append(np.unique(run[a : b - k + 1]))
         elif b > a:
-            v = np.uint64(b - a)
+            v = np.asarray([b - a], np.uint64)
             for x in h[a:b]:
-                v = mix(np.asarray([v * np.uint64(31) + x]))[0]
-            out.append(np.asarray([v], np.uint64))
+                v = mix(v * np.uint64(31) + x)
+            out.append(v)
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -1,7 +1,7 @@
 import random
 
 from llm import brute
-from brindle.llm import ngram_join
+from brindle.llm import linking, ngram_join
 
 
 def truth(rows):
@@ -54,7 +54,8 @@ def test_edited_copies_and_odd_texts(spark, monkeypatch):
                 t[rng.randrange(len(t))] = rng.choice(vocab)
             rows.append((len(rows), " ".join(t)))
     rows += [(9000, None), (9001, ""), (9002, " \n"), (9003, "one"), (9004, "one"), (9005, "ab " * 5000), (9006, "ab " * 6000), (None, rows[0][1]), (3, rows[9][1]), (3, rows[9][1])]
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "SETS", 8)
+    monkeypatch.setattr(linking, "BLOCK", 4)
     have, want = got(spark, rows), truth(rows)
     assert [h[0] for h in have] == [w[0] for w in want]
     assert sum(w[2] for w in want) - sum(h[2] for h in have) <= 0.002 * sum(w[2] for w in want)
