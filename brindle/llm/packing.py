@@ -11,29 +11,50 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.text import runs
 from brindle.llm.tokens import encoder
 from brindle.storage import materialize
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of ids that one task packs, about.
+TASK = 16 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _places(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A locality key for each text: the least hash of its runs of three ids, or of single ids where it has fewer."""
+    out = np.zeros(len(off) - 1, np.uint64)
+    n = np.diff(off)
+    v = ids.astype(np.uint64)
+    if len(v) > 2:
+        three = (v[:-2] * np.uint64(1 << 40) + v[1:-1] * np.uint64(1 << 20) + v[2:]) * _SPREAD
+        last = np.zeros(len(v) + 1, bool)  # runs that would cross into the next text
+        for back in (1, 2):
+            last[np.maximum(off[1:] - back, 0)] = True
+        three[last[: len(three)]] = np.iinfo(np.uint64).max
+        some = np.flatnonzero(n > 2)
+        out[some] = np.minimum.reduceat(three, off[some]) if len(some) else 0
+    for k in np.flatnonzero((n > 0) & (n < 3)).tolist():
+        out[k] = (v[off[k] : off[k + 1]] * _SPREAD).min()
+    return (out >> np.uint64(1)).astype(np.int64)
+
+
 def _tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, ids, place): ids as bytes of 16 or 32 bits, and a locality key, the least hash of a three-id run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        encode = encoder(tokenizer)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids, places = [], []
-                for data in encode(part.column("text").to_pylist()):
-                    v = np.frombuffer(data, "<u4").astype(np.uint64)
-                    runs = v if len(v) < 3 else v[:-2] * np.uint64(1 << 40) + v[1:-1] * np.uint64(1 << 20) + v[2:]
-                    places.append(int((runs * _SPREAD).min() >> np.uint64(1)) if len(v) else 0)
-                    whole = np.frombuffer(data + end, "<u4")
-                    ids.append(whole.astype("<u2").tobytes() if whole.max() < 1 << 16 else b"\0" + whole.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(places, pa.int64())], names=["doc_id", "ids", "place"])
+            for i, j, ids, off in encode.blocks(batch.column("text")):
+                places = _places(ids, off)
+                whole = np.insert(ids, off[1:], end_id)
+                at = off + np.arange(len(off))
+                if not len(whole) or whole.max() < 1 << 16:
+                    raw = whole.astype("<u2")
+                    rows = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((2 * at).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+                else:
+                    rows = pa.array([b"\0" + whole[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), rows, pa.array(places)], names=["doc_id", "ids", "place"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, place long")
 
@@ -51,13 +72,13 @@ def document_frequencies(tokens: DataFrame, vocabulary: int) -> tuple[int, float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(vocabulary + 1, np.int64), 0, 0
-        seen = np.zeros(vocabulary + 1, bool)
+        last = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 v = _unpack(data)
-                seen[v] = True
-                df += seen
-                seen[v] = False
+                at = np.arange(len(v))
+                last[v] = at  # of an id's places one stays, and only that one counts
+                df[v[last[v] == at]] += 1
                 n, total = n + 1, total + len(v)
         df[vocabulary] = n
         at = np.flatnonzero(df)
@@ -86,7 +107,9 @@ class Index:
         doc, term, count = [], [], []
         self.terms = []
         for i, d in enumerate(docs):
-            t, c = np.unique(d[:-1], return_counts=True)
+            t = np.sort(d[:-1].astype(np.uint16) if len(self.idf) <= 1 << 16 else d[:-1], kind="stable")  # a radix sort
+            first, stop = runs(t)
+            t, c = t[first].astype(np.int64), stop - first
             keep = self.idf[np.minimum(t, len(self.idf) - 1)] > 0
             t, c = t[keep], c[keep]
             self.terms.append(t)
@@ -157,8 +180,8 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, window: int = 2048
     """Cut all documents into pieces and lay them into sequences of ``window`` ids.
 
     docs: doc_id, text; other columns are ignored. Documents are tokenised once (a null text is only the end id), then
-    range-partitioned by a locality key, so that copies and near copies meet; ties are split by doc_id, so a hot key
-    spreads. Runs of ``shard_docs`` documents are the shards of the index, weighted by the document frequencies of all
+    range-partitioned by a locality key, so that copies and near copies meet; ties are split by doc_id and then by row, so a
+    hot key or id spreads; the number of partitions follows the number of ids. Runs of ``shard_docs`` documents are the shards of the index, weighted by the document frequencies of all
     documents (an array of the vocabulary's size, the only thing sent to all). Neighbours in other shards are not found;
     the README lists the share that is. A shard fills every sequence but its last.
     Repeated rows are packed one by one; an empty table gives no piece. Returns PIECES; sequence_id is unique over shards.
@@ -196,4 +219,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, window: int = 2048
         if held:
             yield flush()
 
-    return tokens.repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id", F.xxhash64("ids")).drop("place").mapInArrow(run, PIECES)
+    tasks = max(1, -(-int(n * mean) * 2 // TASK))
+    order = ["place", "doc_id", "row"]
+    rows = tokens.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    return rows.select("doc_id", "ids").mapInArrow(run, PIECES)

@@ -7,12 +7,14 @@ the document index (doc ids and starts) and the public seekable-format table (si
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -30,64 +32,127 @@ SEEK_MAGIC = 0x8F92EAB1
 SEEK_CHECKSUMS = 0x80
 
 
+#: Symbols at a chunk's end, but for the apostrophe, which can begin a contraction.
+_TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~]+$")
+#: Bytes as the characters that stand for them in byte-level vocabularies: printable ones themselves, the others from 256 on.
+_UNPRINTED = [*range(33), *range(127, 161), 173]
+_AS_CHARACTER = {b: 256 + k for k, b in enumerate(_UNPRINTED)}
+
+
+def spread(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all half-open spans, one after another."""
+    n = end - start
+    stop = np.cumsum(n)
+    return np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - (stop - n), n)
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, each distinct chunk between ASCII white space encoded once.
 
     For a tokenizer that lower-cases, drops white space and never joins across it, the ids of a text are those of its
-    chunks; this is tested against whole texts. Unseen chunks go to the library many at a time, joined by spaces, and
-    their ids are told apart by offsets. A point or comma that ends a chunk after an ASCII letter is a token of its own, so
-    such chunks are put together. The store of known chunks falls back to those just met when it is large; that bounds
-    memory, not results.
+    chunks; this is tested against whole texts. Blocks of texts are split and their distinct chunks found by Arrow; only
+    these are looked up, and ids are put together by one gather. A chunk of ASCII letters is one word to the library's
+    model. A point or comma that ends a chunk after an ASCII letter is a token of its own, so such chunks are put together.
+    Other unseen chunks go to the library many at a time, joined by spaces, and their ids are told apart by offsets. The
+    store of known chunks falls back to those just met when it is large; that bounds memory, not results.
     """
 
     LARGEST = 700_000
+    BLOCK = 1 << 22
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, new: list[bytes]) -> None:
-        texts = [w.decode("utf-8") for w in new]
-        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.asarray(got.ids, "<u4").tobytes()
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        cut = 4 * np.searchsorted([a for a, _ in got.offsets], ends)
-        at = 0
-        for w, end in zip(new, cut.tolist()):
-            self.known[w] = ids[at:end]
-            at = end
-
-    def _learn(self, new: set[bytes]) -> None:
-        known = self.known
-        stopped = [w for w in new if len(w) > 1 and w[-1] in b".," and w[-2:-1].isalpha()]
-        plain = new.difference(stopped)
-        plain.update(w[:-1] for w in stopped)
-        plain.update((b".", b","))
-        plain = list(plain.difference(known))
-        for k in range(0, len(plain), 512):
-            self._encode(plain[k : k + 512])
-        for w in stopped:
-            known[w] = known[w[:-1]] + known[w[-1:]]
-
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers. A null text is empty."""
-        known = self.known
-        for k in range(0, len(texts), 256):
-            chunks = []
-            for t in texts[k : k + 256]:
-                t = (t or "").encode("utf-8")
-                t = t if b"<|" in t else t.lower()  # a special token is matched in its own case
-                chunks.append(t.split())
-            met = set().union(*chunks)
-            if len(known) > self.LARGEST:
-                kept = {w: known[w] for w in met if w in known}
-                known.clear()
-                known.update(kept)
-            self._learn(met.difference(known))
-            for c in chunks:
-                yield b"".join(map(known.__getitem__, c))
+        self.model = self.tokenizer.model
+        self.place: dict[bytes, int] = {}
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _store(self, words: list[bytes], ids: np.ndarray, lengths: list[int] | np.ndarray) -> None:
+        n = len(self.place)
+        self.place.update(zip(words, range(n, n + len(words))))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths, dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _spans(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        return self.ends[at], self.ends[at + 1]
+
+    def _learn(self, new: list[bytes]) -> None:
+        cut, plain = [], {}
+        for w in new:
+            m = _TAIL.search(w)
+            last = w[: m.start()].decode()[-1:] if m and b"<|" not in w else ""
+            if last.isalpha() and last <= "\u017f" and last != "\u0130":
+                cut.append((w, w[: m.start()], m.group()))
+                plain[cut[-1][1]] = plain[cut[-1][2]] = None
+            else:
+                plain[w] = None
+        words, others, ids, lengths = [], [], [], []
+        for w in plain:
+            if w in self.place:
+                continue
+            t = w.decode()
+            if not t.isascii():
+                t = t.lower() if max(t) <= "\u017f" and "\u0130" not in t else ""
+            if t.isalpha() and t == t.lower():
+                found = self.model.tokenize(t if t.isascii() else t.encode().decode("latin-1").translate(_AS_CHARACTER))
+                words.append(w)
+                ids += [x.id for x in found]
+                lengths.append(len(found))
+            else:
+                others.append(w)
+        self._store(words, np.asarray(ids, "<u4"), lengths)
+        for k in range(0, len(others), 512):
+            texts = [w.decode() for w in others[k : k + 512]]
+            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ends = np.searchsorted([a for a, _ in got.offsets], np.cumsum([0, *(len(t) + 1 for t in texts)]))
+            ends[-1] = len(got.ids)
+            self._store(others[k : k + 512], np.asarray(got.ids, "<u4"), np.diff(ends).tolist())
+        if cut:
+            both = [x for _, head, tail in cut for x in (head, tail)]
+            a, b = self._spans(both)
+            self._store([w for w, _, _ in cut], self.ids[spread(a, b)], (b - a).reshape(-1, 2).sum(1))
+
+    def _forget(self, met: list[bytes]) -> None:
+        kept = [w for w in met if w in self.place]
+        a, b = self._spans(kept)
+        ids = self.ids[spread(a, b)]
+        self.place, self.ids, self.ends = {}, np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self._store(kept, ids, b - a)
+
+    def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        low = pc.ascii_lower(texts)
+        special = pc.match_substring(texts, "<|")  # a special token is matched in its own case
+        if pc.any(special).as_py():
+            low = pc.if_else(special, texts, low)
+        chunks = pc.ascii_split_whitespace(low)
+        each = chunks.flatten().dictionary_encode()
+        words = each.dictionary.cast(pa.large_binary()).to_pylist()
+        if len(self.place) > self.LARGEST:
+            self._forget(words)
+        new = [w for w in words if w not in self.place]
+        if new:
+            self._learn(new)
+        start, end = (x[each.indices.to_numpy()] for x in self._spans(words))
+        docs = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
+        return self.ids[spread(start, end)], np.concatenate([[0], np.cumsum(end - start)])[docs]
+
+    def blocks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Parts (first row, end row, ids, offsets) of an Arrow array of texts; a null text is empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(size, size[i] + self.BLOCK, side="right")) - 1)
+            yield i, j, *self._block(texts.slice(i, j - i))
+            i = j
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        for i, j, ids, off in self.blocks(texts):
+            for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+                yield ids[a:b].tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -192,7 +257,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     """Tokenise every whole text, append ``end_id``, and write shards in ascending doc_id order.
 
     docs: doc_id, text; other columns are ignored. Texts are range-partitioned by doc_id and sorted within a partition
-    (null ids first; repeated ids by text hash); each partition streams into one shard. Null texts have only the end id.
+    (null ids first; repeated ids by text hash, repeated rows by a row number, so many rows of one id spread over
+    shards); each partition streams into one shard. Null texts have only the end id.
     A retried task writes the same bytes under a name of its own and renames. Returns the manifest (shard, path, n_docs,
     n_tokens): one row per shard, in order of shard.
     """
@@ -209,10 +275,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
                 fs.create_dir(top, recursive=True)
                 out = fs.open_output_stream(temp)
                 writer = ShardWriter(out, level)
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for k in range(0, len(ids), 256):
-                for i, data in zip(ids[k : k + 256], encode(texts.slice(k, 256).to_pylist())):
-                    writer.add(i, data + end)
+            for i, data in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
+                writer.add(i, data + end)
         if writer is None:
             return
         writer.close()
@@ -220,7 +284,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         fs.move(temp, f"{top}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([name]), pa.array([len(writer.ids)], pa.int64()), pa.array([writer.total], pa.int64())], names=["shard", "path", "n_docs", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ["doc_id", "text_hash", "row"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return rows.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long")
 
 
