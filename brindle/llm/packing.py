@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.text import runs
+from brindle.llm.text import mix, runs
 from brindle.llm.tokens import encoder
 from brindle.storage import materialize
 
@@ -36,7 +36,8 @@ def _places(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
         out[some] = np.minimum.reduceat(three, off[some]) if len(some) else 0
     for k in np.flatnonzero((n > 0) & (n < 3)).tolist():
         out[k] = (v[off[k] : off[k + 1]] * _SPREAD).min()
-    return (out >> np.uint64(1)).astype(np.int64)
+    # long texts have smaller minima: mixed again, so that they lie among all others
+    return (mix(out) >> np.uint64(1)).astype(np.int64)
 
 
 def _tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -136,6 +137,16 @@ class Index:
         self.doc, self.weight = self.doc[keep], self.weight[keep]
 
 
+def _best_first(free: np.ndarray, score: np.ndarray, head: int = 16) -> Iterator[int]:
+    """Documents by descending score, ties to the earlier one; the few first ones, mostly all that are needed, without a whole sort."""
+    if len(free) > 4 * head:
+        least = np.partition(score, len(score) - head)[-head]
+        at = np.flatnonzero(score > least)
+        yield from free[at[np.argsort(-score[at], kind="stable")]].tolist()
+        free, score = (x[score <= least] for x in (free, score))
+    yield from free[np.argsort(-score, kind="stable")].tolist()
+
+
 def _pack(lengths: list[int], index: Index, window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset): a seed starts each window, its best unused neighbours fill it, and
     what is cut off the last one seeds the next window. Only the last window can be short."""
@@ -168,8 +179,7 @@ def _pack(lengths: list[int], index: Index, window: int) -> Iterator[tuple[int,
                 if len(free) < 0.8 * listed:
                     index.drop(used)
                     listed = len(free)
-                s = index.scores(first)[free]
-                neighbours = iter(free[np.argsort(-s, kind="stable")].tolist())
+                neighbours = _best_first(free, index.scores(first)[free])
             doc, at = next((d for d in neighbours if not used[d]), None), 0
             if doc is not None:
                 used[doc] = True

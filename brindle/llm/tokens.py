@@ -7,6 +7,7 @@ the document index (doc ids and starts) and the public seekable-format table (si
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import zlib
@@ -43,7 +44,21 @@ def spread(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The numbers of all half-open spans, one after another."""
     n = end - start
     stop = np.cumsum(n)
-    return np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - (stop - n), n)
+    if not len(stop):
+        return stop
+    kind = np.int32 if max(stop[-1], end.max()) < 1 << 31 else np.int64
+    out = np.repeat((start - (stop - n)).astype(kind), n)
+    out += np.arange(stop[-1], dtype=kind)
+    return out
+
+
+def binary_list(column: pa.Array) -> list[bytes]:
+    """The values of a large string array without nulls, as bytes."""
+    if not len(column):
+        return []
+    off = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8).tolist()
+    data = column.buffers()[2].to_pybytes() if column.buffers()[2] else b""
+    return [data[a:b] for a, b in zip(off, off[1:])]
 
 
 class Encoder:
@@ -58,7 +73,7 @@ class Encoder:
     """
 
     LARGEST = 700_000
-    BLOCK = 1 << 22
+    BLOCK = 1 << 23
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -128,13 +143,16 @@ class Encoder:
             low = pc.if_else(special, texts, low)
         chunks = pc.ascii_split_whitespace(low)
         each = chunks.flatten().dictionary_encode()
-        words = each.dictionary.cast(pa.large_binary()).to_pylist()
+        words = binary_list(each.dictionary)
         if len(self.place) > self.LARGEST:
             self._forget(words)
-        new = [w for w in words if w not in self.place]
+        at = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0).tolist()
         if new:
-            self._learn(new)
-        start, end = (x[each.indices.to_numpy()] for x in self._spans(words))
+            self._learn([words[k] for k in new])
+            at[new] = [self.place[words[k]] for k in new]
+        at = at[each.indices.to_numpy()]
+        start, end = self.ends[at], self.ends[at + 1]
         docs = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
         return self.ids[spread(start, end)], np.concatenate([[0], np.cumsum(end - start)])[docs]
 
