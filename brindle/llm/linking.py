@@ -57,12 +57,12 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list
         yield rows
 
 
-def batched(groups: Iterator[list[dict]], rows: int = 2048, size: int = 1 << 22) -> Iterator[list[list[dict]]]:
+def batched(groups: Iterator[list[dict]], rows: int = 2048, size: int = 1 << 22, data: str = "data") -> Iterator[list[list[dict]]]:
     """Groups put together until they have so many rows or bytes of data."""
     held, n, total = [], 0, 0
     for g in groups:
         held.append(g)
-        n, total = n + len(g), total + sum(len(r["data"]) for r in g)
+        n, total = n + len(g), total + sum(len(r[data]) for r in g)
         if n >= rows or total >= size:
             yield held
             held, n, total = [], 0, 0
