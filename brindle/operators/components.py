@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 from brindle.storage import materialize
 
-#: So few edges (counted first) are finished in one task; it is a few MB. More go through the rounds.
-FINISH = 1 << 18
+#: Edges that a task's union-find holds at once; a few MB.
+CHUNK = 1 << 18
 
 
-def _finish(edges: DataFrame) -> DataFrame:
-    """Union-find over a counted, small edge table."""
+def _contracted(edges: DataFrame, chunk: int) -> DataFrame:
+    """The edges of each task as stars: a union-find over ``chunk`` of them at a time, its least node the centre."""
     kind = edges.schema["hi"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stars(pairs: list[tuple], types: pa.DataType) -> pa.RecordBatch:
         parent: dict = {}
 
         def find(v):
@@ -29,34 +29,49 @@ def _finish(edges: DataFrame) -> DataFrame:
                 parent[v], v = top, parent[v]
             return top
 
-        types = None
+        for hi, lo in pairs:
+            hi, lo = find(hi), find(lo)
+            if hi != lo:
+                parent[max(hi, lo)] = min(hi, lo)
+        nodes = [v for v in parent if find(v) != v]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, types), pa.array([find(v) for v in nodes], types)], names=["hi", "lo"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, types = [], None
         for batch in batches:
             types = batch.schema.field(0).type
-            for hi, lo in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hi, lo = find(hi), find(lo)
-                if hi != lo:
-                    parent[max(hi, lo)] = min(hi, lo)
-        if parent:
-            nodes = list(parent)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, types), pa.array([find(v) for v in nodes], types)], names=["node", "root"])
+            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            while len(held) >= chunk:
+                yield stars(held[:chunk], types)
+                held = held[chunk:]
+        if held:
+            yield stars(held, types)
+
+    return edges.mapInArrow(run, f"hi {kind}, lo {kind}")
+
 
-    return edges.coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Every node hangs under one node only, and none of these hangs itself."""
+    ends = edges.select(F.col("hi").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select(F.col("lo").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").limit(1).count()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", finish: int = FINISH, max_rounds: int = 60) -> DataFrame:
-    """Distributed union-find by alternating large-star and small-star steps.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, chunk: int = CHUNK) -> DataFrame:
+    """Distributed union-find: contraction within tasks, between alternating large-star and small-star steps.
 
-    Each round hangs every node under the smallest neighbour known so far; a hub's edges are only ever
-    reduced with ``min`` (map-side combined) and joined back, so no node's neighbours meet in one task.
-    Once no more than ``finish`` edges are left, which is counted, one task ends the work. Null ends and self-loops are
-    ignored; labels still changing after ``max_rounds`` are an error. Returns (node, root): every node of a non-loop edge, with root the smallest node of its component.
+    Each task first contracts its own edges to stars, ``chunk`` edges at a time; a small graph, which Spark reads in one
+    task, is then done. Each round hangs every node under the smallest neighbour known so far; a hub's edges are only ever
+    reduced with ``min`` (map-side combined) and joined back, so no node's neighbours meet in one task. Rounds end when
+    the edges are a forest of stars. Null ends and self-loops are ignored; edges that are none after ``max_rounds`` are an
+    error. Returns (node, root): every node of a non-loop edge, with root the smallest node of its component.
     """
     cur = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
-    cur = materialize(cur, "edges")
-    if cur.count() <= finish:
-        return _finish(cur)
-    before = None
-    for _ in range(max_rounds):
+    cur = materialize(_contracted(cur, chunk), "edges")
+    rounds = 0
+    while not _is_forest_of_stars(cur):
+        if rounds == max_rounds:
+            raise RuntimeError(f"connected_components: no fixed point after {max_rounds} rounds")
+        rounds += 1
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(cur.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: every larger neighbour of u goes under u's smallest neighbour
@@ -66,12 +81,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", finish: i
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi")
         small = small.select(F.col("lo").alias("x"), "m").unionAll(low.select(F.col("hi").alias("x"), "m"))
-        cur = materialize(small.where("x <> m").select(F.col("x").alias("hi"), F.col("m").alias("lo")).distinct(), "edges")
-        # a forest of stars whose centres are no leaves is the answer; its digest no longer changes
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if before == now:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"connected_components: no fixed point after {max_rounds} rounds")
+        cur = materialize(_contracted(small.where("x <> m").select(F.col("x").alias("hi"), F.col("m").alias("lo")).distinct(), chunk), "edges")
     return cur.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(cur.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -24,19 +24,19 @@ def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000 + rng.randrange(300), 5000 + rng.randrange(300)) for _ in range(200)] + [(7, 7), (None, 3), (3, None)]
     df = spark.createDataFrame(edges, "a long, b long")
-    for finish in (0, 1 << 18):
-        rows = connected_components(df, finish=finish).collect()
+    for chunk in (1, 50, 1 << 18):
+        rows = connected_components(df, chunk=chunk).collect()
         assert {r.node: r.root for r in rows} == truth(edges) and len(rows) == len({r.node for r in rows})
     assert connected_components(df.limit(0)).count() == 0
 
 
 def test_string_nodes(spark):
     df = spark.createDataFrame([("c", "b"), ("b", "a"), ("x", "y")], "p string, q string")
-    for finish in (0, 100):
-        assert {(r.node, r.root) for r in connected_components(df, "p", "q", finish=finish).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+    for chunk in (1, 100):
+        assert {(r.node, r.root) for r in connected_components(df, "p", "q", chunk=chunk).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
 
 
 def test_unfinished_labels_are_an_error(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
     with pytest.raises(RuntimeError, match="no fixed point"):
-        connected_components(df, finish=0, max_rounds=1)
+        connected_components(df, chunk=1, max_rounds=1)
