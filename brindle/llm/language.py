@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.text import mix, text_blocks
+from brindle.llm.sample import bounded_sample
+from brindle.llm.text import mix
 
 ORDERS = (1, 2, 3, 4)
 #: Small samples are gone over until so many mini-batches have been seen.
@@ -98,18 +99,13 @@ def _train(rows, n_buckets: int, dim: int, epochs: int, rate: float, seed: int,
 
 
 def train_language_model(docs: DataFrame, *, max_rows_per_lang: int = 600, n_buckets: int = 1 << 15, dim: int = 16, epochs: int = 12, rate: float = 3.0, keep: float = 0.999, seed: int = 11) -> Model:
-    """Fit on a bounded sample: about ``max_rows_per_lang`` labelled documents of each language (the documented bound),
-    chosen by a hash of doc_id, whole texts. docs: doc_id, text, lang; null langs and texts are left out.
+    """Fit on a bounded sample: at most ``max_rows_per_lang`` labelled documents of each language (the documented bound),
+    chosen by a hash of the row, whole texts. docs: doc_id, text, lang; null langs and texts are left out.
 
     ``keep`` is the share of calibration documents that must not be rejected; the bound is at most 0.5.
     """
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = {r.lang: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pick = F.lit(False)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    for lang, n in counts.items():
-        pick = pick | ((F.col("lang") == lang) & (draw < max_rows_per_lang / n))
-    rows = sorted(labelled.where(pick).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.text, r.lang))
+    rows = sorted(bounded_sample(labelled, max_rows_per_lang, seed, "lang"), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text, r.lang))
     return _train(rows, n_buckets, dim, epochs, rate, seed, keep)
 
 

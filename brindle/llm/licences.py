@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.sample import bounded_sample
 from brindle.llm.text import mix, prefix, runs, span_hash, text_blocks, words
 
 # Notices and leading passages of public licences, by family.
@@ -170,15 +171,13 @@ def _examples(rng: np.random.Generator, copies: int) -> tuple[list[str], list[in
 def train_licence_model(docs: DataFrame, *, max_negative_docs: int = 300, copies: int = 12, n_buckets: int = 1 << 16, epochs: int = 25, rate: float = 1.0, false_rate: float = 0.001, seed: int = 13) -> Model:
     """Fit by stochastic gradient descent on edited templates, and on unlabelled paragraphs as the unknown class.
 
-    These come from a bounded sample of about ``max_negative_docs`` documents chosen by a hash of doc_id (whole texts), without
+    These come from a bounded sample of at most ``max_negative_docs`` documents chosen by a hash of the row (whole texts), without
     paragraphs that resemble a template. A fifth of all examples sets the temperature, and the least probability at which
     at most ``false_rate`` of the unknown ones would pass.
     """
     rng = np.random.default_rng(seed)
-    n = docs.where("text is not null").count()
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = docs.where("text is not null").where(draw < max_negative_docs / max(1, n)).select("doc_id", "text").collect()
-    other = [x for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.text)) for x in r.text.split("\n") if any(map(str.isalnum, x))]
+    rows = bounded_sample(docs.where("text is not null").select("doc_id", "text"), max_negative_docs, seed)
+    other = [x for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text)) for x in r.text.split("\n") if any(map(str.isalnum, x))]
     block = _block(other) if other else None
     other = [other[block.doc[k]] for k in range(len(block.first)) if max(template_similarity(block, k, f) for f in TEMPLATES) < 0.5] if other else []
     texts, labels = _examples(rng, copies)

@@ -31,9 +31,10 @@ _ODD = np.random.default_rng(41).integers(1, 1 << 62, PASSES, dtype=np.uint64) *
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line): every line with a word, by place; ``line`` is a 64-bit hash of it, trimmed."""
-    at = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t")).where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
-    return at.select("doc_id", "line_no", F.xxhash64(F.btrim("t", F.lit(_SPACES))).alias("line"))
+    """(doc_id, line_no, line, text_id): every line with a word, by place; ``line`` is a 64-bit hash of it, trimmed, and
+    ``text_id`` one of its document."""
+    at = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "t")).where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
+    return at.select("doc_id", "line_no", F.xxhash64(F.btrim("t", F.lit(_SPACES))).alias("line"), "text_id")
 
 
 def find_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,12 +271,11 @@ def _with_signatures(texts: DataFrame) -> DataFrame:
 
 
 def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(alias, data): the trimmed text of each wanted line (alias, doc_id, line_no), taken from the document it first stands in."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "alias")).alias("take"))
-    got = docs.join(per_doc, "doc_id").select(F.split("text", "\n").alias("lines"), F.explode("take").alias("x"))
-    got = got.select(F.col("x.alias").alias("alias"), F.btrim(F.get("lines", F.col("x.line_no")), F.lit(_SPACES)).alias("data"))
-    # a repeated doc_id may stand for several texts; the hash tells the line that is meant
-    return got.where(F.xxhash64("data") == F.col("alias"))
+    """(alias, data): the trimmed text of each wanted line (alias, text_id, line_no), taken from a document it first stands in.
+    Rows that share a null or repeated doc_id have text_ids of their own; only copies of a row take its lines again."""
+    per_doc = wanted.groupBy("text_id").agg(F.collect_list(F.struct("line_no", "alias")).alias("take"))
+    got = docs.withColumn("text_id", F.xxhash64("doc_id", "text")).join(per_doc, "text_id").select(F.split("text", "\n").alias("lines"), F.explode("take").alias("x"))
+    return got.select(F.col("x.alias").alias("alias"), F.btrim(F.get("lines", F.col("x.line_no")), F.lit(_SPACES)).alias("data"))
 
 
 def line_classes(docs: DataFrame, *, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -283,12 +283,12 @@ def line_classes(docs: DataFrame, *, threshold: float = 0.8) -> tuple[DataFrame,
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
     lines = materialize(line_table(docs), "lines")
-    each = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    each = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no", "text_id")).alias("first"), F.count(F.lit(1)).alias("n"))
     each = materialize(each, "distinct-lines")
     # a bucket is read by one task: about two million (key, line) pairs at most
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-each.count() * BANDS // (1 << 21)))
     shared = materialize(_shared_bands(_band_blobs(docs, buckets)), "bands")
-    wanted = shared.select("alias").distinct().join(each.select(F.col("line").alias("alias"), "first.*"), "alias")
+    wanted = shared.select("alias").distinct().join(each.select(F.col("line").alias("alias"), "first.line_no", "first.text_id"), "alias")
     texts = materialize(_with_signatures(_candidate_texts(docs, wanted).dropDuplicates(["alias"])), "line-texts")
     comps = components_of_shared(shared, texts, Lines(threshold)).withColumnRenamed("node", "line")
     placed = each.join(comps, "line", "left").withColumn("root", F.coalesce("root", "line")).where("n > 1 or root <> line or first is not null")

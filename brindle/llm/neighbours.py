@@ -29,8 +29,9 @@ def _usable(column: pa.Array) -> list[np.ndarray | None]:
 
 
 def build_index(vectors: DataFrame, **options) -> DataFrame:
-    """:func:`encode`, written once, so a search and the choice of its queries read the same codes."""
-    return materialize(encode(vectors, **options), "codes")
+    """:func:`encode` with a number for each row, written once, so a search and the choice of its queries read the same
+    codes and numbers."""
+    return materialize(encode(vectors, **options).withColumn("row", F.monotonically_increasing_id()), "codes")
 
 
 def encode(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 5) -> DataFrame:
@@ -61,8 +62,8 @@ def _cosines(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (rows * q).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((q * q).sum()))
 
 
-def _search_block(ids, vecs, codes, fit, qids, qvecs, turn, k: int, eps: float):
-    """The k best of one block of rows for each query of one block.
+def _search_block(ids, own, vecs, codes, fit, qown, qvecs, turn, k: int, eps: float, part: int = 256):
+    """The k best of one block of rows for each query of one block: (query's number in ``qown``, vec_ids, scores).
 
     A code estimates <q, x> as <q', sign> / (sqrt(D) fit), off by more than eps * sqrt((1 - fit^2) / (D - 1)) / fit
     with vanishing probability. The rows of best estimates are scored exactly; of the others only those whose upper
@@ -72,53 +73,55 @@ def _search_block(ids, vecs, codes, fit, qids, qvecs, turn, k: int, eps: float):
     sign = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
     unit = qvecs / np.abs(qvecs).max(1, keepdims=True)
     unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)) @ turn.T
-    est = (unit.astype(np.float32) @ sign.T) / (np.sqrt(dim) * fit)
     err = eps * np.sqrt(np.maximum(0, 1 - fit * fit) / max(1, dim - 1)) / fit + 1e-5
-    for q in range(len(qids)):
-        others = ids != qids[q]
+    for q in range(len(qown)):
+        if q % part == 0:
+            est = (unit[q : q + part].astype(np.float32) @ sign.T) / (np.sqrt(dim) * fit)
+        others = own != qown[q]
         cand = np.flatnonzero(others)
         if len(cand) > 8 * k:
-            first = cand[np.argpartition(-est[q][cand], 4 * k)[: 4 * k]]
+            first = cand[np.argpartition(-est[q % part][cand], 4 * k)[: 4 * k]]
             bound = np.sort(_cosines(vecs[first], qvecs[q]))[-k]
-            cand = np.flatnonzero((est[q] + err >= bound - 1e-9) & others)
+            cand = np.flatnonzero((est[q % part] + err >= bound - 1e-9) & others)
         if not len(cand):
             continue
         score = _cosines(vecs[cand], qvecs[q])
         best = np.lexsort((ids[cand], -score))[:k]
-        yield qids[q], ids[cand[best]], score[best]
+        yield q, ids[cand[best]], score[best]
 
 
-def search(index: DataFrame, queries: DataFrame, *, k: int = 5, eps: float = 4.0, rows_per_block: int = 4096, queries_per_block: int = 2048, seed: int = 5) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, *, k: int = 5, eps: float = 4.0, rows_per_block: int = 4096, queries_per_block: int = 8192, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of the whole index for each query, in blocks.
 
     Rows and queries, both as from :func:`build_index`, are dealt into blocks; a block of rows meets each block of queries
     once and gives at most k rows a query, which are ranked after one shuffle by query. Nearest first, ties to the smaller
-    vec_id; a query's own row is no candidate. Only vectors of the query's dimension are compared. Fewer rows than k
+    vec_id; a query's own row, not another of its vec_id, is no candidate, and rows that repeat a query are queries of their own. Only vectors of the query's dimension are compared. Fewer rows than k
     give fewer ranks; equal vectors are all reranked, so copies never hide one another.
     """
     n_rows, n_queries = index.count(), queries.count()
     dims = F.length("vec")
     row_blocks, query_blocks = max(1, -(-n_rows // rows_per_block)), max(1, -(-n_queries // queries_per_block))
-    q = queries.select(F.lit(True).alias("is_query"), "vec_id", "vec", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("fit"), dims.alias("dim"),
-                       F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb"))
-    r = index.select(F.lit(False).alias("is_query"), "vec_id", "vec", "code", "fit", dims.alias("dim"),
-                     F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(row_blocks)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
+    q = queries.select(F.lit(True).alias("is_query"), "row", "vec_id", "vec", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("fit"), dims.alias("dim"),
+                       F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"), F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int").alias("qb"))
+    r = index.select(F.lit(False).alias("is_query"), "row", "vec_id", "vec", "code", "fit", dims.alias("dim"),
+                     F.pmod(F.xxhash64("row", F.lit(1)), F.lit(row_blocks)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         dim = key[2].as_py() // 8
         is_query = table.column("is_query").to_numpy()
-        take = lambda t: (t.column("vec_id").to_numpy(), np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float64).reshape(-1, dim))
-        (qids, qvecs), rows = take(table.filter(pa.array(is_query))), table.filter(pa.array(~is_query))
-        ids, vecs = take(rows)
-        out = [[], [], []]
+        take = lambda t: (t.column("vec_id").to_numpy(), t.column("row").to_numpy(), np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float64).reshape(-1, dim))
+        (qids, qown, qvecs), rows = take(table.filter(pa.array(is_query))), table.filter(pa.array(~is_query))
+        ids, own, vecs = take(rows)
+        out = [[], [], [], []]
         if len(qids) and len(ids):
             codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            for qid, found, score in _search_block(ids, vecs, codes, rows.column("fit").to_numpy(), qids, qvecs, rotation(dim, seed), k, eps):
-                out[0] += [qid] * len(found)
-                out[1] += found.tolist()
-                out[2] += score.tolist()
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    found = q.unionByName(r).groupBy("rb", "qb", "dim").applyInArrow(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for q, found, score in _search_block(ids, own, vecs, codes, rows.column("fit").to_numpy(), qown, qvecs, rotation(dim, seed), k, eps):
+                out[0] += [int(qids[q])] * len(found)
+                out[1] += [int(qown[q])] * len(found)
+                out[2] += found.tolist()
+                out[3] += score.tolist()
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "query_row", "vec_id", "score"), out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))})
+
+    found = q.unionByName(r).groupBy("rb", "qb", "dim").applyInArrow(run, "query_id long, query_row long, vec_id long, score double")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
