@@ -1,7 +1,7 @@
 from collections import defaultdict
 
 from llm import brute
-from brindle.llm.mixing import mix_sources
+from brindle.llm.mixing import apply_mix, mix_sources
 
 
 def targets(sizes):
@@ -46,3 +46,33 @@ def test_odd_rows(spark):
     out = mix_sources(docs).collect()
     assert len(out) == 6 and all(r.taken in (0, r["size"], 2 * r["size"]) for r in out)
     assert mix_sources(docs.limit(0)).collect() == []
+
+
+def test_thousands_of_null_and_repeated_ids(spark):
+    rows = [(None, f"w{i} " * (1 + i % 7), "ab"[i % 2], i) for i in range(4000)] + [(7, f"x{i}", "c", i) for i in range(3000)] + [(9, "same words here", "d", 0)] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    out = mix_sources(docs, chunk=64).collect()
+    assert len(out) == len(rows) and all(r.taken in (0, r["size"], 2 * r["size"]) for r in out)
+    taken = defaultdict(int)
+    for r in out:
+        taken[r.source] += r.taken
+    want = {r.source: r.target for r in out}
+    assert all(abs(taken[s] - want[s]) <= 8 for s in want)
+    kept, applied = apply_mix(docs, chunk=64), defaultdict(int)
+    assert kept.columns == docs.columns
+    for r in kept.collect():
+        applied[r.source] += len(brute.words(r.text))
+    assert all(abs(applied[s] - want[s]) <= 8 for s in want)
+
+
+def test_production_parameters(spark, sf):
+    from brindle.llm import queries
+
+    rows = queries.op2_source_mix(spark, sf).collect()
+    by, taken, largest = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in rows:
+        by[r.source] += r["size"]
+        taken[r.source] += r.taken
+        largest[r.source] = max(largest[r.source], r["size"])
+    want = targets(by)
+    assert all(abs(taken[s] - want[s]) <= largest[s] for s in want)

@@ -38,3 +38,12 @@ def test_odd_vectors(spark):
     want = brute(rows)
     assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {(q, k + 1): i for q, best in want.items() for k, (i, _) in enumerate(best)}
     assert neighbours.search(index.limit(0), index.limit(0)).count() == 0
+
+
+def test_repeated_query_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(1, 30)] + [(50, [1.0] * 6), (50, [1.0] * 6), (50, [-1.0, 1.0] * 3)]
+    index = neighbours.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted((r["rank"], r.vec_id, round(r.score, 9)) for r in neighbours.search(index, index.where("vec_id = 50")).collect())
+    assert len(got) == 15 and [g[0] for g in got] == [r for r in range(1, 6) for _ in range(3)]
+    assert got.count((1, 50, 1.0)) == 2
