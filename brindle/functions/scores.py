@@ -133,7 +133,7 @@ def retry_delay_ms(base_seconds: Column, attempt: Column) -> Column:
 
 
 def greylist_delay_s(attempt: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in (300, 900, 3600, 14400)]), F.least(F.greatest(attempt, F.lit(1)), F.lit(4)))
+    return F.element_at(F.array(*[F.lit(x) for x in (300, 900, 3600, 14400)]), F.least(F.greatest(attempt, F.lit(1)), F.lit(4)).cast("int"))
 
 
 def dead_host(message: Column, no_route: bool = True) -> Column:
@@ -156,4 +156,44 @@ def challenge(status: Column, text: Column) -> Column:
 
 
 def size_label(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", n / 1048576), F.lit(" MB")))
+    in_unit = lambda size, unit: F.concat(F.format_string("%.1f", F.bround(n / size, 1)), F.lit(f" {unit}"))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, in_unit(1024, "KB")).otherwise(in_unit(1048576, "MB"))
+
+
+def cluster_bonus(score: Column, runs: Column) -> Column:
+    return F.when(runs <= 0, 0).otherwise(F.bround(score * 0.15 * (F.least(runs, F.lit(8)) / 8), 0).cast("int"))
+
+
+def fit_score(e: Mapping[str, Column], rank_bonus: Column) -> Column:
+    """Fit of a proposal: its template and prompt scores, nine bonuses from history, and the recommendation's bonus.
+    Keys: EVIDENCE, template_score, prompt_match_score, cluster_score, cluster_runs, adopted, cluster_adopted."""
+    terms = (
+        e["prompt_match_score"], capped_bonus(e["validation_score"], e["validation_count"], 0.4, 5), cluster_bonus(e["cluster_score"], e["cluster_runs"]), adoption_bonus(e["adopted"], e["cluster_adopted"]),
+        conversion_bonus(e["planner_selected"], e["planner_drafted"], e["planner_activated"]), conversion_bonus(e["market_selected"], e["market_drafted"], e["market_activated"], market=True),
+        capped_bonus(e["production_score"], e["production_runs"], 0.3, 5), capped_bonus(e["market_score"], e["market_runs"], 0.25, 4), capped_bonus(e["strategy_score"], e["strategy_runs"], 0.2, 6), rank_bonus,
+    )
+    out = e["template_score"]
+    for t in terms:
+        out = out + t
+    return out
+
+
+def suggested_thresholds(now: Mapping[str, Column], seen: Mapping[str, Column], factor: Column) -> dict[str, Column]:
+    """Thresholds from observed percentiles, blended with the present ones by ``factor`` and clamped twice: before and
+    after the blend. now: rec_val, trust_val, rec_prod, trust_prod, sup_val, sup_prod, rec_act, trust_act; seen: the
+    percentile for each, null where nothing was observed."""
+
+    def clamped(v: Mapping[str, Column]) -> dict[str, Column]:
+        lit, out = F.lit, {}
+        out["rec_val"] = F.greatest(lit(25), F.least(lit(95), v["rec_val"]))
+        out["trust_val"] = F.greatest(out["rec_val"] + 5, F.least(lit(100), v["trust_val"]))
+        out["rec_prod"] = F.greatest(lit(5), F.least(lit(95), v["rec_prod"]))
+        out["trust_prod"] = F.greatest(out["rec_prod"] + 5, F.least(lit(100), v["trust_prod"]))
+        out["sup_val"] = F.greatest(lit(0), F.least(out["rec_val"] - 5, v["sup_val"]))
+        out["sup_prod"] = F.greatest(lit(0), F.least(out["rec_prod"] - 3, v["sup_prod"]))
+        out["rec_act"] = F.greatest(lit(0), F.least(lit(3), v["rec_act"]))
+        out["trust_act"] = F.greatest(out["rec_act"] + 1, F.least(lit(5), v["trust_act"]))
+        return out
+
+    first = clamped({k: F.coalesce(seen[k], now[k]) for k in now})
+    return clamped({k: F.greatest(F.lit(0), now[k] + F.bround((first[k] - now[k]) * factor, 0).cast("int")) for k in now})

@@ -167,3 +167,12 @@ def replace_name(current: Column, incoming: Column) -> Column:
     mine, new = is_placeholder(current), is_placeholder(incoming)
     longer = F.length(F.btrim(incoming)) > F.length(F.btrim(F.coalesce(current, F.lit(""))))
     return F.coalesce((incoming != "") & F.when(mine & ~new, True).when(mine == new, longer).otherwise(False), F.lit(False))
+
+
+def in_scope(rows: DataFrame, regions: DataFrame, region_id: int | None = None, country_code: str | None = None) -> DataFrame:
+    """Rows of one region, else of one country's regions, else all: the filter is chosen when the plan is made."""
+    if region_id is not None:
+        return rows.where(F.col("region_id") == region_id)
+    if country_code is not None:
+        return rows.join(regions.where(F.col("country_code") == country_code).select("region_id"), "region_id", "left_semi")
+    return rows

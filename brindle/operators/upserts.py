@@ -43,3 +43,8 @@ def next_version(versions: DataFrame, key: str) -> DataFrame:
 def merge_provenance(sources: Column, entry: Column) -> Column:
     """Adds an entry to a provenance list unless it is there."""
     return F.array_union(F.coalesce(sources, F.array(entry)), F.array(entry))
+
+
+def promotion(target: Column, lint_passed: Column, gate_passed: Column) -> Column:
+    """Why a recipe may not move to ``target`` (lint, unsupported, gate), or ok; only an activation passes the gate."""
+    return F.when(~lint_passed, "lint").when(~target.isin("candidate", "active", "deprecated"), "unsupported").when((target == "active") & ~gate_passed, "gate").otherwise("ok")

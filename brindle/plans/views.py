@@ -47,6 +47,18 @@ select o_custkey as plan_id, o_orderkey % 50 as variant_key, case when o_custkey
 select s_suppkey as seq, concat(' ', case when s_suppkey % 9 = 0 then '' else s_name end) as name, case when s_suppkey % 6 = 0 then null else concat('kw', cast(s_suppkey % 7 as string)) end as keyword,
   case when s_suppkey % 10 = 0 then '' else concat('pid', cast(s_suppkey % 60 as string)) end as place_id, concat('shop', cast((s_suppkey * 4) % 400 as string), '.example.com') as website, concat('1,', lpad(cast(s_suppkey as string), 3, '0'), '.5') as reviews,
   concat('+66', lpad(cast(s_suppkey % 700 as string), 9, '0')) as phone, cast(s_nationkey as bigint) as region_id from {supplier}""",
+    "crawled": """
+select event_id as page_id, event_id % 97 as site_id, concat('https://site', cast(event_id % 97 as string), '.example.com/p', cast(event_id as string)) as url, case event_id % 97 % 6 when 0 then 'blocked_by_robots' when 1 then 'failed' when 2 then 'robots_bypassed' else 'completed' end as crawl_status,
+  cast(case event_id % 23 when 0 then 403 when 1 then 503 when 2 then 404 when 3 then 502 when 4 then null when 5 then 521 when 6 then 401 else 200 end as int) as status_code,
+  case when event_id % 97 % 5 = 0 then null when event_id % 31 = 0 then 'anti_bot_challenge' when event_id % 29 = 0 then 'js_shell' when event_id % 19 = 0 then 'cross_domain_redirect_after_ssl_fallback' end as error,
+  event_id % 97 % 4 = 1 and event_id % 3 = 0 as has_contact, event_id % 4 = 0 as has_social, cast(event_id % 400 as int) as text_length, event_id % 13 = 0 as tried_headers,
+  case event_id % 17 when 0 then 'Attention Required' when 1 then 'Just a moment' else 'Shop' end as title,
+  concat('Call us: ', lpad('', cast(event_id % 60 as int), '.'), ' +66 81 234 5678 ', lpad('', cast(event_id % 50 as int), '.'), case event_id % 9 when 0 then ' phone' when 1 then ' captcha' when 2 then ' NO_HOST_CONNECTION' when 3 then ' whatsapp' else ' end' end) as body,
+  case event_id % 8 when 0 then 'No_Host Connection' when 1 then 'Bad Gateway' else 'OK' end as reason,
+  case event_id % 10 when 0 then 'Tunnel connection failed: 407' when 1 then 'timed out' when 2 then 'cannot reach Relay3.example.net' when 3 then 'No route to host' when 4 then 'getaddrinfo failed' else 'read error' end as message,
+  case when event_id % 2 = 0 then 'relay3.example.net' else '' end as relay_host, concat(case event_id % 4 when 0 then 'info@' when 1 then 'me@www.' else 'x@' end, case event_id % 5 when 0 then 'gmail.com' when 1 then 'site1.example.com' when 2 then 'example.com' when 3 then 'other.org' else 'mail.site4.example.com' end) as asset_email,
+  concat('site', cast(event_id % 7 as string), '.example.com') as host, case event_id % 5 when 0 then 'https://wa.me/66812345678' when 1 then 'https://api.whatsapp.com/send?phone=+66 81-234-5678&text=hi' when 2 then 'https://t.me/Some_Shop/' when 3 then '@Handle' else 'https://wa.me/message' end as href, ts as crawled_at from {events}""",
+    "recipes": "select p_partkey as recipe_id, concat('recipe-', cast(p_partkey % 40 as string)) as slug, p_brand as category, cast(p_partkey % 5 + 1 as int) as version, case p_size % 5 when 0 then 'draft' when 1 then 'candidate' when 2 then 'validated' when 3 then 'active' else 'deprecated' end as status, p_size % 7 <> 0 as lint_passed, p_size % 3 <> 0 as gate_passed, case p_partkey % 4 when 0 then 'active' when 1 then 'candidate' when 2 then 'deleted' else 'deprecated' end as target, p_type as tags, p_partkey % 30 as template_key, p_partkey as seq from {part}",
     "replies": "select event_id as id, cast(case event_id % 11 when 0 then 250 when 1 then 251 when 2 then 550 when 3 then 252 when 4 then 421 when 5 then 499 when 6 then 500 when 7 then 554 when 8 then 450 when 9 then 220 else 451 end as int) as code, case event_id % 7 when 0 then 'Greylisted, try again' when 1 then 'OK' when 2 then null when 3 then 'Temporarily rejected' else 'user unknown' end as message from {events}",
     "prompts": "select p_partkey as prompt_id, concat(case p_partkey % 6 when 0 then 'Rent a car in ' when 1 then 'Best nails & lashes in ' when 2 then 'Complete wellness experience - ' when 3 then 'Lawyers/real estate agencies of ' when 4 then 'ATV tours, scuba courses in ' else 'the local bakeries for ' end, p_type) as prompt from {part}",
 }
