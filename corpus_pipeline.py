@@ -13,27 +13,32 @@ from brindle.storage import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those no language is sure enough for."""
+    """Drops documents without a letter (null and empty texts too), and those no language is sure enough for. Repeated rows
+    share one verdict; extra columns pass; an empty table stays empty."""
     return language.keep_identified(docs, language.train_language_model(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one line of each class of alike lines; a document left without any line goes."""
+    """Keeps one line of each class of alike lines; a document left without any line goes. Texts without a word stay as they
+    are. Rows that repeat a doc_id are one document: lines go by number. Whole texts of any length; an empty table stays empty."""
     return lines.dedup_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates."""
+    """Keeps one document of each class of near duplicates, that of the least doc_id; texts without words stay. Rows that repeat
+    its doc_id share its fate; rows of a null doc_id stay. An empty table stays empty."""
     return ngram_join.keep_one(docs)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document."""
+    """A row for each time the mix takes a document. Null texts have no words and may be taken or not; a null source is a source; rows
+    equal in all columns are one unit, others are drawn one by one. An empty table stays empty."""
     return mixing.apply_mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
+    """Pieces of the documents in sequences, a repeated row (the mix makes them) packed once for each time; a null text is only
+    its end id. An empty table gives no piece."""
     return packing.pack(docs, queries.tokenizer_path())
 
 
