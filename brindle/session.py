@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -17,4 +21,13 @@ def session(app: str = "brindle", **more: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     for key, value in {**SETTINGS, **more}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package where it is not installed on them: Spark sends each a copy."""
+    package = Path(__file__).resolve().parent
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='brindle-')}/brindle", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(made)
