@@ -96,3 +96,26 @@ def test_lines_hash_as_in_the_line_table(spark):
     s, e = lines.find_lines(data, np.asarray([0, len(data)]))
     h = {int(np.uint64(xxhash.xxh64_intdigest(data.tobytes()[a:b], 42)).astype(np.int64)) for a, b in zip(s, e)}
     assert t == h and len(t) == 3
+
+
+def test_recall_by_length_with_and_without_the_signature_bound():
+    """Pairs at similarities 0.80 to 0.83: how many share a band, and how many of these the bound on agreeing minima lets through."""
+    rng = np.random.default_rng(12)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    for low, high in ((11, 17), (18, 60), (61, 250), (251, 900)):
+        pairs = []
+        while len(pairs) < 1500:
+            n = int(rng.integers(low - 7, high - 6))
+            more = next((t for t in range(1, n) if 0.80 <= n / (n + t) <= 0.83), 0)
+            if more:
+                a = rng.choice(letters, n + 7)
+                pairs.append((a.tobytes(), a.tobytes() + rng.choice(letters, more).tobytes()))
+        flat = [x for p in pairs for x in p]
+        off = np.cumsum([0, *map(len, flat)])
+        h, char = lines.char_shingles(np.frombuffer(b"".join(flat), np.uint8))
+        signature = lines.signatures(h, char[off[:-1]], char[off[1:]] - lines.SHINGLE + 1, np.zeros(len(flat), np.uint64))
+        keys, sketch = lines.band_keys(signature), (signature >> np.uint32(12)).astype(np.uint8)
+        banded = (keys[::2] == keys[1::2]).any(1)
+        passed = (sketch[::2] == sketch[1::2]).sum(1) >= lines.LEAST_AGREEING * lines.SLOTS
+        print(low, high, banded.mean(), (banded & passed).mean())
+        assert banded.mean() > 0.99 and (banded & passed).mean() > 0.985
