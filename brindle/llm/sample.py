@@ -17,8 +17,9 @@ def bounded_sample(rows: DataFrame, most: int, seed: int, by: str | None = None)
     counts = [(r["_by"], r["n"]) for r in rows.groupBy("_by").agg(F.count(F.lit(1)).alias("n")).collect()]
     if not counts:
         return []
-    counts = rows.sparkSession.createDataFrame(counts, "_by string, _n long")
+    # values of ``by`` are classes of a model, so few; a map of their counts needs no join, and no shuffle of texts
+    total = F.create_map(*[F.lit(x) for pair in counts for x in pair])[F.col("_by")]
     place = F.pmod(F.col("_draw"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.join(counts, "_by").where(place < 2.0 * most / F.col("_n")).dropDuplicates(["_by", "_draw"])
+    picked = rows.where(place < 2.0 * most / total).dropDuplicates(["_by", "_draw"])
     least = Window.partitionBy("_by").orderBy("_draw")
     return picked.withColumn("_rank", F.row_number().over(least)).where(F.col("_rank") <= most).select(*columns).collect()
