@@ -61,7 +61,9 @@ TEMPLATES = {
 }
 FAMILIES = ["unknown", *TEMPLATES]
 ORDERS = 3
-MATCHES = "doc_id long, n_paragraphs long, matches array<struct<line_no:int,family:string,probability:double,similarity:double>>"
+#: Lines of a wrapped notice that are read together.
+WRAP = 4
+MATCHES = "doc_id long, n_paragraphs long, matches array<struct<line_no:int,end_line:int,family:string,probability:double,similarity:double>>"
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[10] = 10
 _PLAIN[np.arange(128, 256)] = np.arange(128, 256)
@@ -81,10 +83,11 @@ class Model:
 
 @dataclass
 class Paragraphs:
-    """n-gram hashes of all paragraphs (lines with a word) of a block of texts."""
+    """n-gram hashes of all paragraphs of a block of texts: lines with a word, or several such lines in a row."""
 
     doc: np.ndarray
     line_no: np.ndarray
+    end_line: np.ndarray
     first: np.ndarray
     end: np.ndarray
     grams: list[np.ndarray]
@@ -104,7 +107,19 @@ def paragraphs(data: np.ndarray, off: np.ndarray) -> Paragraphs:
     for k in range(1, ORDERS):
         acc = mix(acc[:-1] * np.uint64(0x100000001B3) + one[k:]) if len(acc) else acc
         grams.append(acc)
-    return Paragraphs(doc[a] if len(a) else doc, line_no, a, b, grams)
+    return Paragraphs(doc[a] if len(a) else doc, line_no, line_no, a, b, grams)
+
+
+def wrapped(p: Paragraphs, wrap: int = WRAP) -> Paragraphs:
+    """The runs of 2 to ``wrap`` lines of one text that follow each other without an empty line; n-grams cross their line ends."""
+    at, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in range(1, wrap):
+        i = np.arange(max(0, len(p.doc) - n))
+        i = i[(p.doc[i] == p.doc[i + n]) & (p.line_no[i + n] - p.line_no[i] == n)]
+        at.append(i)
+        to.append(i + n)
+    i, j = np.concatenate(at), np.concatenate(to)
+    return Paragraphs(p.doc[i], p.line_no[i], p.line_no[j], p.first[i], p.end[j], p.grams)
 
 
 def logits(p: Paragraphs, model_weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -171,13 +186,16 @@ def _examples(rng: np.random.Generator, copies: int) -> tuple[list[str], list[in
 def train_licence_model(docs: DataFrame, *, max_negative_docs: int = 300, copies: int = 12, n_buckets: int = 1 << 16, epochs: int = 25, rate: float = 1.0, false_rate: float = 0.001, seed: int = 13) -> Model:
     """Fit by stochastic gradient descent on edited templates, and on unlabelled paragraphs as the unknown class.
 
-    These come from a bounded sample of at most ``max_negative_docs`` documents chosen by a hash of the row (whole texts), without
-    paragraphs that resemble a template. A fifth of all examples sets the temperature, and the least probability at which
+    These are the lines, and the lines taken WRAP at a time, of a bounded sample of at most ``max_negative_docs`` documents chosen by
+    a hash of the row (whole texts), without paragraphs that resemble a template. A fifth of all examples sets the temperature, and the least probability at which
     at most ``false_rate`` of the unknown ones would pass.
     """
     rng = np.random.default_rng(seed)
     rows = bounded_sample(docs.where("text is not null").select("doc_id", "text"), max_negative_docs, seed)
-    other = [x for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text)) for x in r.text.split("\n") if any(map(str.isalnum, x))]
+    other = []
+    for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text)):
+        found = r.text.split("\n")
+        other += [x for x in found + ["\n".join(found[k : k + WRAP]) for k in range(0, len(found) - 1, WRAP)] if any(map(str.isalnum, x))]
     block = _block(other) if other else None
     other = [other[block.doc[k]] for k in range(len(block.first)) if max(template_similarity(block, k, f) for f in TEMPLATES) < 0.5] if other else []
     texts, labels = _examples(rng, copies)
@@ -215,33 +233,68 @@ def train_licence_model(docs: DataFrame, *, max_negative_docs: int = 300, copies
     return Model(w, bias, t, float(np.clip(wrong[int((1 - false_rate) * (len(wrong) - 1))], 0.5, 0.9)))
 
 
-def scan_licences(docs: DataFrame, model: Model, *, least_similarity: float = 0.6) -> DataFrame:
+def _licensed(p: Paragraphs, model: Model, least_similarity: float, skip: np.ndarray | None = None) -> list[tuple[int, int, float, float]]:
+    """(paragraph, family, probability, similarity) of those that the model names and a template confirms."""
+    z = logits(p, model.weights, model.bias) / model.temperature
+    q = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
+    q /= q.sum(1, keepdims=True)
+    best, sure = q.argmax(1), q.max(1, initial=0)
+    named = (best > 0) & (sure >= model.least)
+    out = []
+    for k in np.flatnonzero(named if skip is None else named & ~skip).tolist():
+        alike = template_similarity(p, k, FAMILIES[best[k]])
+        if alike >= least_similarity:
+            out.append((k, int(best[k]), float(sure[k]), float(alike)))
+    return out
+
+
+def _matches(p: Paragraphs, model: Model, least_similarity: float, wrap: int) -> dict[int, list[dict]]:
+    """Matches of each document of a block, in order of lines: single lines first, then runs of lines that meet no other
+    match, the surest first, of equals the shorter and the earlier."""
+    found: dict[int, list[dict]] = {}
+    taken = np.zeros(len(p.doc) + 1, np.int64)
+
+    def add(q: Paragraphs, hit: tuple[int, int, float, float]) -> None:
+        k, family, sure, alike = hit
+        found.setdefault(int(q.doc[k]), []).append({"line_no": int(q.line_no[k]), "end_line": int(q.end_line[k]), "family": FAMILIES[family], "probability": sure, "similarity": alike})
+
+    for hit in _licensed(p, model, least_similarity):
+        taken[hit[0]] = 1
+        add(p, hit)
+    several = wrapped(p, wrap)
+    if len(several.doc):
+        upto = np.concatenate([[0], np.cumsum(taken)])
+        i, j = np.searchsorted(p.first, several.first), np.searchsorted(p.end, several.end)
+        hits = _licensed(several, model, least_similarity, upto[j + 1] > upto[i])
+        for hit in sorted(hits, key=lambda h: (-h[2], j[h[0]] - i[h[0]], i[h[0]])):
+            lines = slice(i[hit[0]], j[hit[0]] + 1)
+            if not taken[lines].any():
+                taken[lines] = 1
+                add(several, hit)
+    return {d: sorted(m, key=lambda x: x["line_no"]) for d, m in found.items()}
+
+
+def scan_licences(docs: DataFrame, model: Model, *, least_similarity: float = 0.6, wrap: int = WRAP) -> DataFrame:
     """Licence paragraphs of every whole text: (doc_id, n_paragraphs, matches), a map without a shuffle.
 
-    docs: doc_id, text; other columns are ignored. A paragraph is a line with a letter or digit. One whose best family
-    passes the model's bound is a match if its word pairs also agree with a template of that family by ``least_similarity``; all else
-    is unknown. Null and empty texts have no paragraph. Repeated rows each get a row. The model is of a fixed size.
+    docs: doc_id, text; other columns are ignored. A paragraph is a line with a letter or digit; where no such line is enough, also
+    2 to ``wrap`` of them in a row, for notices wrapped at line ends. One whose best family passes the model's bound is a
+    match if its word pairs also agree with a template of that family by ``least_similarity``; all else is unknown. Matches carry their first and last
+    line and do not overlap; of a longer notice several runs may match. n_paragraphs counts lines. Null and empty texts have none.
+    Repeated rows each get a row. The model is of a fixed size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             counts, found = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
             for i, j, data, off in text_blocks(batch):
                 p = paragraphs(data, off)
-                if not len(p.first):
-                    continue
-                counts[i:j] = np.bincount(p.doc, minlength=j - i)
-                z = logits(p, model.weights, model.bias) / model.temperature
-                q = np.exp(z - z.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                best = q.argmax(1)
-                for k in np.flatnonzero((best > 0) & (q.max(1) >= model.least)).tolist():
-                    alike = template_similarity(p, k, FAMILIES[best[k]])
-                    if alike >= least_similarity:
-                        found[i + int(p.doc[k])].append({"line_no": int(p.line_no[k]), "family": FAMILIES[best[k]], "probability": float(q[k, best[k]]), "similarity": float(alike)})
-            kind = pa.list_(pa.struct([("line_no", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())]))
+                if len(p.first):
+                    counts[i:j] = np.bincount(p.doc, minlength=j - i)
+                    for d, matches in _matches(p, shared.value, least_similarity, wrap).items():
+                        found[i + d] = matches
+            kind = pa.list_(pa.struct([("line_no", pa.int32()), ("end_line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(found, kind)], names=["doc_id", "n_paragraphs", "matches"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MATCHES)

@@ -35,7 +35,7 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan_licences(docs, licences.train_licence_model(docs))
     return found.select(
         "doc_id", "n_paragraphs", F.array_sort(F.array_distinct("matches.family")).alias("families"), F.size("matches").cast("long").alias("n_matches"),
-        "matches.line_no", F.round(F.array_min("matches.probability"), 6).alias("least_probability"), F.round(F.array_min("matches.similarity"), 6).alias("least_similarity"),
+        "matches.line_no", "matches.end_line", F.round(F.array_min("matches.probability"), 6).alias("least_probability"), F.round(F.array_min("matches.similarity"), 6).alias("least_similarity"),
     )
 
 

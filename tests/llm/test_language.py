@@ -1,4 +1,5 @@
 import zlib
+from dataclasses import replace
 
 from brindle.llm import language, queries
 
@@ -26,10 +27,17 @@ def test_odd_rows(spark, sf):
     assert language.predict_languages(docs, empty).count() == 6
 
 
-def test_unlike_text_is_rejected(spark):
+def test_like_text_is_told_unlike_rejected(spark):
     en = ["the thing and that other with heath", "then they were here and there with the rest", "this is the one that rather mattered"]
     fr = ["le les une eau des aux beaux", "elle est la reine des eaux", "une autre que les vieux cadeaux"]
     docs = spark.createDataFrame([(k, f"{en[k % 3]} {en[(k // 3) % 3]}" if k % 2 else f"{fr[k % 3]} {fr[(k // 3) % 3]}", "en" if k % 2 else "fr") for k in range(120)], "doc_id long, text string, lang string")
     model = language.train_language_model(docs)
     got = {r.doc_id: r.lang_pred for r in language.predict_languages(docs, model).collect()}
     assert all(got[k] == ("en" if k % 2 else "fr") for k in got)
+    assert not any(r.rejected for r in language.predict_languages(docs, model).collect())
+    mixed = spark.createDataFrame([(k, f"{en[k % 3]} {fr[k % 3]}", None) for k in range(3)] + [(9, "qx zv wk jj", None)], docs.schema)
+    strict = replace(model, reject_below=0.999)
+    rows = {r.doc_id: r for r in language.predict_languages(mixed, strict).collect()}
+    assert all(r.rejected == (r.score < 0.999) and r.lang_pred in ("en", "fr") for r in rows.values()) and any(r.rejected for r in rows.values())
+    kept = {r.doc_id for r in language.keep_identified(mixed, strict).collect()}
+    assert kept == {k for k, r in rows.items() if not r.rejected}

@@ -30,6 +30,36 @@ def test_edited_notices_and_lookalikes(spark, model):
     assert not any(r.matches for r in rows)
 
 
+def _wrap(text, width):
+    out = [""]
+    for w in text.split():
+        if out[-1] and len(out[-1]) + 1 + len(w) > width:
+            out.append("")
+        out[-1] = f"{out[-1]} {w}".strip()
+    return out
+
+
+@pytest.mark.parametrize("width", [24, 40, 60])
+def test_wrapped_notices(spark, model, width):
+    notices = [(f, t) for f, texts in licences.TEMPLATES.items() for t in texts if len(t) > width]
+    docs = spark.createDataFrame([(k, "\n".join(["a walk to the old river", "and back", "", *_wrap(t, width), "", "the rest of the day"])) for k, (f, t) in enumerate(notices)], "doc_id long, text string")
+    rows = {r.doc_id: r.matches for r in licences.scan_licences(docs, model).collect()}
+    found = [any(m.family == f and m.line_no >= 3 and m.end_line < 3 + len(_wrap(t, width)) for m in rows[k]) for k, (f, t) in enumerate(notices)]
+    lines = {r.doc_id: r.matches for r in licences.scan_licences(docs, model, wrap=1).collect()}
+    single = [any(m.family == f for m in lines[k]) for k, (f, t) in enumerate(notices)]
+    assert np.mean(found) >= max(0.9, np.mean(single)) and (width > 24 or np.mean(found) > np.mean(single))
+    for matches in rows.values():
+        assert all(a.end_line < b.line_no for a, b in zip(matches, matches[1:]))
+
+
+def test_runs_of_lines():
+    p = licences.paragraphs(np.frombuffer(b"a b\nc\n\nd\ne f\nghi\nj", np.uint8), np.asarray([0, 13, 18]))
+    q = licences.wrapped(p, 3)
+    words = lambda x: sorted(zip(x.doc.tolist(), x.line_no.tolist(), x.end_line.tolist(), (x.end - x.first).tolist()))
+    assert words(p) == [(0, 0, 0, 2), (0, 1, 1, 1), (0, 3, 3, 1), (0, 4, 4, 2), (1, 0, 0, 1), (1, 1, 1, 1)]
+    assert words(q) == [(0, 0, 1, 3), (0, 3, 4, 3), (1, 0, 1, 2)]
+
+
 def test_odd_rows(spark, model):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (None, "\n \n", 1), (3, "...", 1), (4, "x " * 100000 + "\nReleased under the MIT License.", 1), (4, "Released under the MIT License.", 1)], "doc_id long, text string, matches int")
     rows = sorted(licences.scan_licences(docs, model).collect(), key=lambda r: (r.doc_id or 0, r.n_paragraphs))
