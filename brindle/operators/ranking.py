@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.storage import materialize
+
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """The first ``k`` rows of each group. Spark limits each group before the shuffle (window group limit)."""
@@ -16,6 +18,18 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "ran
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def numbered(df: DataFrame, key: str, order: list[str], name: str = "n") -> DataFrame:
+    """Number of each row in its group, as :func:`ranked` gives, for groups too large for one task: rows are dealt by ranges of
+    key and order, numbered within a range, and moved on by the counts of the group's earlier ranges. ``order`` tells rows of a group apart."""
+    rows = materialize(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(key).orderBy("_part")) - F.col("_rows")
+    sizes = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_range"), before.alias("_before"))
+    within = rows.withColumn("_in", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)))
+    both = within.join(sizes, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_range")))
+    return both.select(*df.columns, (F.col("_in") + F.col("_before")).cast("int").alias(name))
+
+
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """One page by ``TakeOrdered``, with ``has_more``: whether a row follows."""
     rows = df.orderBy(*order).limit(offset + limit + 1)
@@ -77,10 +91,18 @@ def running_mean(df: DataFrame, key: str, order: str, value: str, limit: int = 1
 
 
 def early_stop(df: DataFrame, site: str, order: list[Column], useless: Column, limit: int = 3) -> DataFrame:
-    """Pages a crawl would still read: those before ``limit`` useless pages in a row from the site's start."""
-    before = Window.partitionBy(site).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    n_useless, n_useful = F.coalesce(F.sum(useless.cast("int")).over(before), F.lit(0)), F.coalesce(F.sum((~useless).cast("int")).over(before), F.lit(0))
-    return df.withColumn("_useless", n_useless).withColumn("_useful", n_useful).withColumn("visited", ~((F.col("_useful") == 0) & (F.col("_useless") >= limit))).drop("_useless", "_useful")
+    """Pages a crawl would still read: those before ``limit`` useless pages in a row from the site's start.
+
+    A page is left if it comes after the site's ``limit``-th useless page and no useful page comes before it. Both places are
+    found by aggregates, so no task holds a site; a page without a verdict counts as neither.
+    """
+    rows = df.withColumn("_at", F.struct(*order)).withColumn("_useless", useless)
+    third = top_per_group(rows.where("_useless"), [site], [F.col("_at")], limit).groupBy(F.col(site).alias("_site")).agg(F.max("_at").alias("_third"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= limit)
+    useful = rows.where("not _useless").groupBy(F.col(site).alias("_where")).agg(F.min("_at").alias("_useful"))
+    places = third.join(useful, F.col("_site").eqNullSafe(F.col("_where")), "left")
+    left = (F.col("_at") > F.col("_third")) & (F.col("_useful").isNull() | (F.col("_at") <= F.col("_useful")))
+    rows = rows.join(places, F.col(site).eqNullSafe(F.col("_site")), "left")
+    return rows.select(*df.columns, (~F.coalesce(left, F.lit(False))).alias("visited"))
 
 
 def ambiguous(df: DataFrame, key: str, score: str, tie: str, margin: int = 25) -> DataFrame:

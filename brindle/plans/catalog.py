@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import contacts, html, prompts, scores, urls
@@ -60,6 +60,20 @@ def _host_key(u: str) -> str:
     return f"regexp_replace(regexp_replace(lower(regexp_extract({x}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', ''), ':(80|443)$', '')"
 
 
+def made_form(n: Column) -> Column:
+    """HTML of a page with a form in one of several shapes; every sixth page has none."""
+    action, method = F.when(n % 3 != 0, F.concat(F.lit(' action="/send'), (n % 5).cast("string"), F.lit('"'))).otherwise(""), F.when(n % 2 == 0, " METHOD='Post'").otherwise("")
+    message, captcha = F.when(n % 7 != 0, '<textarea name="message" placeholder="Text"></textarea>').otherwise(""), F.when(n % 4 == 0, '<div class="G-Recaptcha"></div>').otherwise("")
+    form = F.concat(F.lit("<div><form class='x'"), action, method, F.lit('>\n<input type="EMAIL" name="email"'), F.when(n % 5 != 0, " required").otherwise(""), F.lit('><input type="submit">'), message, captcha, F.lit("</form></div>"))
+    return F.when(n % 6 == 1, "<p>no form</p>").otherwise(form)
+
+
+def contact_forms(p: DataFrame) -> DataFrame:
+    """A row for each form: its action, method, captcha flag, names of its fields and whether the first is required."""
+    rows = p.select("page_id", F.explode(html.forms(c("html"))).alias("form"))
+    return rows.select("page_id", "form.action_url", "form.method", "form.has_captcha", F.array_join(c("form.fields.name"), ",").alias("fields"), F.element_at("form.fields", 1)["required"].alias("required"))
+
+
 _SUMMARY = "count(*) as n, cast(round_even(avg(duration_ms), 0) as int) as mean_ms, max(duration_ms) as max_ms, count(error) as errors"
 
 
@@ -107,6 +121,11 @@ table_query(
 table_query("s10_links", "pages")(lambda p: p.select("page_id", "url", F.posexplode(html.links(c("html"))).alias("pos", "href")).select("page_id", "pos", "href", urls.absolute_url(c("url"), c("href")).alias("target"), urls.is_contact_path(c("href")).alias("is_contact"), urls.is_social_or_chat(c("href")).alias("is_social")))
 table_query("s08_visible_text", "pages")(lambda p: p.withColumn("text", html.visible_text(c("html"))).select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"), html.script_shell(c("html"), F.length("text")).alias("is_shell")))
 table_query("s13_forms", "pages")(lambda p: p.select("page_id", F.explode(html.forms(c("html"))).alias("form")).select("page_id", "form.*"))
+query(
+    "s13_contact_forms", "crawled",
+    sql="""select page_id, case when page_id % 3 = 0 then '' else '/send' || page_id % 5 end as action_url, case when page_id % 2 = 0 then 'post' else 'get' end as method, page_id % 4 = 0 as has_captcha,
+  case when page_id % 7 = 0 then 'email' else 'email,message' end as fields, page_id % 5 <> 0 as required from v_crawled where page_id % 6 <> 1""",
+)(lambda p: contact_forms(p.select("page_id", made_form(c("page_id")).alias("html"))))
 table_query("p23_site_flags", "pages", sql=f"select {_host_key('url')} as host, count(*) as pages, max(length(html)) as longest from pages group by 1")(lambda p: p.groupBy(urls.host_key(c("url")).alias("host")).agg(F.count(F.lit(1)).alias("pages"), F.max(F.length("html")).cast("long").alias("longest")))
 table_query("p15_page_urls", "pages", sql=f"select page_id, {_website_key('url')} as website_key, {_host_key('url')} as host, regexp_extract(url, '^[^:]+://[^/?#]*', 0) || '/' as root from pages")(
     lambda p: p.select("page_id", urls.website_key(c("url")).alias("website_key"), urls.host_key(c("url")).alias("host"), urls.absolute_url(c("url"), F.lit("/")).alias("root"))
@@ -344,7 +363,7 @@ query(
 query(
     "a41_query_counts", "places", sql=f"select coalesce(nullif(trim(keyword), ''), 'google_maps') as query_text, count(*) as n, count(nullif(trim(name), '')) as named, sum(cast(trunc(cast(replace(reviews, ',', '') as double)) as bigint))::bigint as reviews from {_STAGED} group by 1"
 )(lambda p: co.stage_places(p).groupBy("query_text").agg(F.count(F.lit(1)).alias("n"), F.count("name").alias("named"), F.sum("reviews").alias("reviews")))
-query("j16_missing_companies", "emails", "companies", sql="select distinct company_id from v_emails where company_id not in (select company_id from v_companies)")(lambda e, k: e.select("company_id").distinct().join(k, "company_id", "left_anti"))
+query("j16_missing_companies", "emails", "companies", sql="select distinct company_id from v_emails where company_id not in (select company_id from v_companies where crawl_status <> 'pending')")(lambda e, k: e.select("company_id").distinct().join(k.where("crawl_status <> 'pending'"), "company_id", "left_anti"))
 query(
     "u13_result_fan_out", "emails",
     sql="select email_id, coalesce(s.status, 'unknown') as status from v_emails e left join (select email, case when max(seq) % 2 = 0 then 'valid' else 'risky' end as status from v_emails where seq % 3 = 0 group by email) s using (email)",
@@ -432,7 +451,7 @@ query("t03_top_variants", "variants", sql="select variant_id, label, production_
     lambda v: v.orderBy(F.desc("production_score"), F.desc("validation_score"), F.desc("priority"), "variant_id").limit(8).select("variant_id", "label", "production_score", "validation_score")
 )
 query("w05_topk_per_cluster", "variants", sql="select cluster_slug, variant_id from v_variants qualify row_number() over (partition by cluster_slug order by priority desc, variant_id) <= 6")(lambda v: ranking.top_per_group(v, ["cluster_slug"], [F.desc("priority"), c("variant_id")], 6).select("cluster_slug", "variant_id"))
-query("w08_first_seen", "emails", sql="select email, min(seq) as seq from v_emails group by email")(lambda e: ranking.top_per_group(e, ["email"], [c("seq")]).select("email", "seq"))
+query("w08_first_seen", "emails", sql="select email, min(seq) as seq from v_emails group by email")(lambda e: e.groupBy("email").agg(F.min("seq").alias("seq")))
 
 
 def compare_plans(outcomes: DataFrame) -> DataFrame:

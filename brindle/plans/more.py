@@ -140,7 +140,7 @@ query("w04_rank_positions", "variants", sql="select variant_id, row_number() ove
 query("t11_job_page", "replies", sql="select id, code from v_replies where code = 250 order by id limit 100 offset 200")(lambda r: r.where("code = 250").orderBy("id").offset(200).limit(100).select("id", "code"))
 query("t12_capped_lists", "emails", sql="select company_id, array_to_string(list_sort(list(distinct email))[1:10], ',') as emails from v_emails group by company_id")(lambda e: e.groupBy("company_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("email")), 1, 10), ",").alias("emails")))
 query("t13_primary_host", "requests", sql="select provider, arg_min(url, (duration_ms, id)) as first_url from v_requests where duration_ms is not null group by provider")(lambda r: r.where("duration_ms is not null").groupBy("provider").agg(F.min_by("url", F.struct("duration_ms", "id")).alias("first_url")))
-query("t16_round_robin", "requests", sql="select id, (row_number() over (partition by provider order by id) - 1) % 4 as slot from v_requests where used_proxy")(lambda r: ranking.ranked(r.where("used_proxy"), ["provider"], [c("id")], "n").select("id", ((c("n") - 1) % 4).alias("slot")))
+query("t16_round_robin", "requests", sql="select id, (row_number() over (partition by provider order by id) - 1) % 4 as slot from v_requests where used_proxy")(lambda r: ranking.numbered(r.where("used_proxy").select("provider", "id"), "provider", ["id"]).select("id", ((c("n") - 1) % 4).alias("slot")))
 query("x01_contact_ids", "emails", "phones", "channels", sql="select company_id from v_emails union select company_id from v_phones union select company_id from v_channels")(lambda e, p, ch: e.select("company_id").union(p.select("company_id")).union(ch.select("company_id")).distinct())
 query("x04_blocklist", "emails", sql="select distinct split_part(email, '@', 2) as domain from v_emails where split_part(email, '@', 2) not in ('yopmail.com') union select 'added.example' as domain")(
     lambda e: upserts.insert_absent(upserts.remove_keys(e.select(F.substring_index("email", "@", -1).alias("domain")).distinct(), e.sparkSession.createDataFrame([("yopmail.com",)], "domain string"), ["domain"]), e.sparkSession.createDataFrame([("added.example",)], "domain string"), ["domain"])
@@ -187,8 +187,16 @@ query("u12_counters", "outcomes", sql="select plan_id, variant_key, sum(selected
     lambda o: o.groupBy("plan_id", "variant_key").agg(*[F.sum(c(x).cast("int")).alias(x) for x in ("selected", "drafted", "activated")])
 )
 query("u15_next_version", "audits", sql="select policy, max(audit_id % 50) + 1 as version from v_audits group by policy")(lambda a: upserts.next_version(a.select("policy", (c("audit_id") % 50).alias("version")), "policy"))
-query("u16_absent_slugs", "variants", sql="select distinct slug from (select trim(regexp_replace(lower(label), '[^a-z0-9]+', '-', 'g'), '-') as slug, variant_id from v_variants) where slug not in (select trim(regexp_replace(lower(label), '[^a-z0-9]+', '-', 'g'), '-') from v_variants where variant_id % 40 = 0)")(
-    lambda v: v.select(prompts.slugify(c("label")).alias("slug")).distinct().join(v.where("variant_id % 40 = 0").select(prompts.slugify(c("label")).alias("slug")), "slug", "left_anti")
+
+
+def absent_slugs(v: DataFrame) -> DataFrame:
+    """Slugs to draft: those that no existing recipe, here every fortieth variant, has."""
+    return v.select("slug").distinct().join(v.where("variant_id % 40 = 0").select("slug"), "slug", "left_anti")
+
+
+_SLUG = "trim(regexp_replace(lower(cluster_slug || ' ' || label), '[^a-z0-9]+', '-', 'g'), '-')"
+query("u16_absent_slugs", "variants", sql=f"select distinct {_SLUG} as slug from v_variants where {_SLUG} not in (select {_SLUG} from v_variants where variant_id % 40 = 0)")(
+    lambda v: absent_slugs(v.withColumn("slug", prompts.slugify(F.concat_ws(" ", "cluster_slug", "label"))))
 )
 query("u17_clamped_policies", "audits", sql="select policy, greatest(0, least(100, cast(50 + sum(delta) as int))) as score, count(*) as changes from v_audits group by policy")(lambda a: a.groupBy("policy").agg(F.greatest(F.lit(0), F.least(F.lit(100), (50 + F.sum("delta")).cast("int"))).alias("score"), F.count(one).alias("changes")))
 query("st02_state_table", "runs", sql="select region_id, max(started_at) filter (status = 'completed') as fresh_at, count(*) filter (status = 'running') as running from v_runs group by region_id")(
@@ -203,7 +211,7 @@ def suppression(r: DataFrame) -> DataFrame:
 
 
 query("st01_suppressed_hosts", "requests")(suppression)
-query("st08_first_seen", "requests", sql="select url, min(id) as id from v_requests group by url")(lambda r: ranking.top_per_group(r, ["url"], [c("id")]).select("url", "id"))
+query("st08_first_seen", "requests", sql="select url, min(id) as id from v_requests group by url")(lambda r: r.groupBy("url").agg(F.min("id").alias("id")))
 
 
 def email_pipeline(e: DataFrame) -> DataFrame:

@@ -29,6 +29,19 @@ def test_nearest_rank_and_streaks(spark):
     assert ranking.running_mean(spark.createDataFrame([("k", 1, 1), ("k", 2, 2), ("k", 3, 5)], "k string, i int, v int"), "k", "i", "v").first().mean == 3
 
 
+def test_numbers_of_large_groups_and_early_stop(spark):
+    df = spark.createDataFrame([(k, i) for k, m in (("a", 900), (None, 70), ("b", 1)) for i in range(m)], "g string, i int").repartition(5)
+    want = {(r.g, r.i, r.i + 1) for r in df.collect()}
+    assert {tuple(r) for r in ranking.numbered(df, "g", ["i"]).collect()} == want
+    assert ranking.numbered(df.limit(0), "g", ["i"]).count() == 0
+    sites = {"u": "xxxxx", "v": "xxxoxx", "w": "oxxxx", None: "xxxx", "z": "xx"}
+    pages = spark.createDataFrame([(s, i, x == "x") for s, xs in sites.items() for i, x in enumerate(xs)], "site string, i int, bad boolean")
+    seen = {}
+    for r in ranking.early_stop(pages, "site", [F.col("i")], F.col("bad")).collect():
+        seen[r.site] = seen.get(r.site, 0) + r.visited
+    assert seen == {"u": 3, "v": 5, "w": 5, None: 3, "z": 2}
+
+
 def test_page_flags_more(spark):
     df = spark.range(30).withColumnRenamed("id", "x")
     rows = ranking.page(df, [F.desc("x")], 10, 10).orderBy(F.desc("x")).collect()
