@@ -26,8 +26,28 @@ ROLE_LOCALS = (
     "registration", "reply", "root", "sales", "security", "service", "services", "spam", "sso", "subscribe", "support", "sysadmin", "tech", "techsupport",
     "test", "unsubscribe", "usenet", "uucp", "webmaster", "www",
 )
-#: Part of the seed list of throwaway domains; a full list is a table (see sources.blocklist).
-DISPOSABLE_SEED = ("mailinator.com", "guerrillamail.com", "trashmail.com", "10minutemail.com", "tempmail.com", "temp-mail.org", "yopmail.com", "maildrop.cc", "getnada.com", "fakeinbox.com", "dispostable.com", "spamgourmet.com", "discard.email", "throwaway.email", "sharklasers.com", "mailnesia.com")
+# The seed list of throwaway domains; a full list is a table (see sources.blocklist).
+DISPOSABLE_SEED = (
+    "mailinator.com", "guerrillamail.com", "guerrillamail.net", "guerrillamail.org", "guerrillamail.de", "guerrillamail.info", "guerrillamailblock.com", "grr.la", "sharklasers.com", "spam4.me",
+    "trashmail.com", "trashmail.at", "trashmail.io", "trashmail.me", "trashmail.net", "trashmail.org", "trashmail.xyz", "trashmailer.com", "10minutemail.com", "10minutemail.net",
+    "10minutemail.org", "10minutemail.de", "10minutemail.co.za", "10minutemail.ru", "tempmail.com", "tempmail.net", "tempmail.org", "temp-mail.org", "temp-mail.io", "tempmail.de",
+    "tempinbox.com", "tempr.email", "throwam.com", "throwam.net", "throwaway.email", "dispostable.com", "discard.email", "discardmail.com", "discardmail.de", "spamgourmet.com",
+    "spamgourmet.net", "spamgourmet.org", "spamoff.de", "spamspot.com", "yopmail.com", "yopmail.fr", "yopmail.net", "cool.fr.nf", "jetable.fr.nf", "nospam.ze.tc", "nomail.xl.cx", "mega.zik.dj",
+    "speed.1s.fr", "courriel.fr.nf", "moncourrier.fr.nf", "monemail.fr.nf", "monmail.fr.nf", "jetable.net", "jetable.org", "mailnull.com", "maildrop.cc", "mailnew.com", "mailcatch.com",
+    "mailnesia.com", "mailexpire.com", "mailme.lv", "mailme24.com", "mailmetrash.com", "mailmoat.com", "mailscrap.com", "mailseal.de", "mailtemp.info", "mailtome.de", "mailtothis.com",
+    "mailzilla.com", "spamfree24.org", "spamfree24.de", "spamfree24.eu", "spamfree24.info", "spamfree24.net", "spamfree.eu", "spamgob.com", "spamhereplease.com", "spamhole.com", "spamify.com",
+    "spamkill.info", "spaml.com", "spaml.de", "spammotel.com", "spammotels.com", "spammy.host", "spamok.com", "spampa.com", "spamslicer.com", "spamstack.net", "spamthis.co.uk",
+    "spamthisplease.com", "spamtrail.com", "spamtroll.net", "spamwc.de", "spamwc.cf", "spamwc.ga", "spamwc.gq", "fakeinbox.com", "fake-box.com", "fakedemail.com", "fakemailz.com",
+    "fakeemails.com", "getnada.com", "getnada.me", "getairmail.com", "getonemail.com", "disposableaddress.com", "disposableemailaddresses.com", "disposableemailaddresses.emailmiser.com",
+    "dispomail.eu", "dodgit.com", "dodgit.org", "dontreg.com", "dontsendmespam.de", "drdrb.com", "drdrb.net", "dumpmail.de", "dumpyemail.com", "e4ward.com", "easytrashmail.com", "einrot.com",
+    "emailgo.de", "emailias.com", "emaillime.com", "emailmiser.com", "emailsensei.com", "emailtemporanea.com", "emailtemporanea.net", "emailtemporanea.org", "emailthe.net", "emailtmp.com",
+    "emailwarden.com", "emailx.at.hm", "emailxfer.com", "emz.net", "enterto.com", "ephemail.net", "etranquil.com", "etranquil.net", "etranquil.org", "evopo.com", "explodemail.com",
+    "eyepaste.com", "f4k.es", "fast-email.com", "fast-mail.fr", "fastem.com", "fastemail.us", "fastemailer.com", "faster-email.com", "fastimap.com", "fastmazda.com", "fastmessaging.com",
+    "fastsfwmail.com", "fastswift.com", "fastyandex.com", "fightallspam.com", "fiifke.de", "filzmail.com", "fixmail.tk", "fizmail.com", "fleckens.hu", "flurred.com", "flyspam.com",
+    "frapmail.com", "friendlymail.co.uk", "front14.org", "fudgerub.com", "fun2.biz", "furzauflunge.de", "fux0ringduh.com", "fw2.me", "getmails.eu", "getnowtoday.cf", "gishpuppy.com",
+    "gmailom.co", "goemailgo.com", "gotmail.com", "gotmail.net", "gotmail.org", "anonaddy.com", "anonaddy.me", "33mail.com", "guerrillamail.biz", "spam.la", "binkmail.com", "bob.email",
+    "bofthew.com", "boun.cr", "bouncr.com", "breakthru.com", "brefmail.com", "brn.ee", "bspamfree.org", "bugmenot.com", "bumpymail.com",
+)
 POPULAR_DOMAINS = (
     "gmail.com", "googlemail.com", "yahoo.com", "yahoo.co.uk", "yahoo.co.in", "yahoo.com.br", "yahoo.com.ar", "yahoo.com.mx", "yahoo.com.au", "yahoo.fr", "yahoo.de", "yahoo.it", "yahoo.es",
     "hotmail.com", "hotmail.co.uk", "hotmail.fr", "hotmail.de", "hotmail.it", "hotmail.es", "hotmail.com.br", "outlook.com", "live.com", "live.co.uk", "live.fr", "live.de", "msn.com",

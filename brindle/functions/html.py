@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
+
+from brindle.functions import contacts, crawl
 
 CAPTCHA_HINTS = ("captcha", "g-recaptcha", "hcaptcha", "cf-turnstile")
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&eacute;": "é", "&#64;": "@", "&#46;": ".", "&#x40;": "@", "&amp;": "&"}
@@ -75,6 +81,51 @@ def json_ld_values(block: Column, key: str) -> Column:
     return F.when(F.try_parse_json(block).isNotNull(), values).otherwise(F.array().cast("array<string>"))
 
 
+def _leaves(block: str | None) -> list[dict]:
+    try:
+        todo = [json.loads(block)] if block else []
+    except (ValueError, RecursionError):
+        return []
+    out = []
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append({"kind": "text", "value": node})
+        elif isinstance(node, list):
+            todo.extend(node)
+        elif isinstance(node, dict):
+            for key, value in node.items():
+                low = key.lower()
+                if low in ("email", "telephone") and isinstance(value, str):
+                    out.append({"kind": low, "value": value})
+                elif low == "sameas":
+                    out.extend({"kind": low, "value": v} for v in (value if isinstance(value, list) else [value]) if isinstance(v, str))
+                else:
+                    todo.append(value)
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType().add("kind", StringType()).add("value", StringType())))
+def json_ld_leaves(blocks: pd.Series) -> pd.Series:
+    """String leaves of a page's JSON-LD blocks at any depth, in no order: email, telephone and sameAs by their key, all
+    others as text. Broken blocks have none."""
+    return blocks.map(lambda bs: [] if bs is None else [x for b in bs for x in _leaves(b)])
+
+
+def structured_contacts(leaves: Column) -> dict[str, Column]:
+    """Sorted emails, phones, telegram and whatsapp handles in leaves of a page's JSON-LD: addresses in e-mail and text leaves,
+    numbers that are a whole telephone or text leaf (as written), handles of sameAs links."""
+    of = lambda *kinds: F.transform(F.filter(leaves, lambda x: x["kind"].isin(*kinds)), lambda x: x["value"])
+    tidy = lambda xs: F.array_sort(F.array_distinct(F.filter(xs, lambda x: x.isNotNull())))
+    emails = F.flatten(F.transform(of("email", "text"), lambda v: contacts.extract_emails(v)))
+    phone = lambda v: F.coalesce(contacts.normalize_phone(v).isNotNull() & ~contacts.is_noise_phone(contacts.normalize_phone(v)), F.lit(False))
+    chat = lambda v: v.contains("wa.me") | v.contains("whatsapp")
+    return {
+        "emails": tidy(F.filter(emails, lambda e: ~contacts.is_noise_email(e))), "phones": tidy(F.transform(F.filter(of("telephone", "text"), phone), lambda v: F.btrim(v))),
+        "telegram": tidy(F.transform(of("sameas"), lambda v: contacts.telegram_handle(v))), "whatsapp": tidy(F.transform(F.filter(of("sameas"), chat), lambda v: crawl.messenger_digits(v))),
+    }
+
+
 def decode_protected_email(code: Column) -> Column:
     """An address hidden as hex bytes, each combined with the first by exclusive or."""
     byte = lambda k: F.conv(F.substring(code, k, 2), 16, 10).cast("int")

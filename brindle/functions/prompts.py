@@ -57,3 +57,23 @@ def to_number(text: Column, kind: str = "double") -> Column:
 def cache_key(**parts: Column) -> Column:
     """SHA-256 of the parts as JSON in order of name."""
     return F.sha2(F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)])), 256)
+
+
+def title_case(text: Column) -> Column:
+    """Every run of letters with its first in upper case and the rest in lower case."""
+    parts = F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), "")
+
+
+def draft_taxonomy(prompt: Column, vertical: Column, cluster: Column, cluster_vertical: Column, cluster_label: Column) -> Column:
+    """Array of three draft templates (vertical, cluster, template_key, label, sub_intent, template_score) of a prompt. The slug of an
+    existing vertical in focus, or the slug, vertical and label of an existing cluster, stand in for what is made from the prompt."""
+    named = lambda slug, default: F.when(slug != "", slug).otherwise(default)
+    v = F.coalesce(cluster_vertical, vertical, named(slugify(F.element_at(F.split(prompt, " in ", 2), 1), "_", 64), "draft"))
+    k = F.coalesce(cluster, named(slugify(prompt, "_", 64), "draft"))
+    label = F.coalesce(cluster_label, F.substring(title_case(F.btrim(prompt)), 1, 128))
+    template = lambda i, word: F.struct(
+        v.alias("vertical"), k.alias("cluster"), slugify(F.concat(k, F.lit(f"-{word}")), "-", 96).alias("template_key"), F.substring(F.concat(label, F.lit(f" {word.title()}")), 1, 128).alias("label"),
+        F.lit(word).alias("sub_intent"), F.lit(max(40, 70 - 5 * i)).alias("template_score"),
+    )
+    return F.array(*[template(i, w) for i, w in enumerate(("core", "premium", "specialty"), start=1)])

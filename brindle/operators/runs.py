@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import scores
@@ -60,3 +60,51 @@ def draft_counts(generations: DataFrame, **children: DataFrame) -> DataFrame:
     for name, rows in children.items():
         out = out.join(rows.groupBy("generation_id").agg(F.count(F.lit(1)).alias(name)), "generation_id", "left")
     return out.select(*generations.columns, *[F.coalesce(n, F.lit(0)).alias(n) for n in children])
+
+
+def discovery(states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(category rows, run rows) of discovery over the categories of each run, in order of ``category_id``.
+
+    states: run_id, category_id, slug, force, due (its last scan is too old), error (of the scan, else null), found, last_count, remaining
+    (scans the day still allows the run). A category that is forced or due is scanned while scans remain; the first that finds
+    none left ends the run, those after it are untouched. A failed scan uses no unit. A run has as many rows as categories.
+    """
+    w = Window.partitionBy("run_id").orderBy("category_id").rowsBetween(Window.unboundedPreceding, -1)
+    scan = F.col("force") | F.col("due")
+    used = F.coalesce(F.sum((scan & F.col("error").isNull()).cast("int")).over(w), F.lit(0))
+    rows = states.withColumn("_scan", scan).withColumn("_over", scan & (used >= F.col("remaining")))
+    rows = rows.withColumn("_ended", F.coalesce(F.max("_over").over(w), F.lit(False)))
+    fresh = F.when(F.col("force"), "fresh_forced").otherwise("fresh")
+    status = F.when(F.col("_ended"), "untouched").when(F.col("_over"), "rate_limited").when(~F.col("_scan"), "cached").when(F.col("error").isNotNull(), "failed").otherwise(fresh)
+    rows = rows.withColumn("status", status)
+    ok = F.col("status").isin("fresh", "fresh_forced")
+    count = F.when(ok, F.col("found")).when(F.col("status") == "cached", F.col("last_count")).otherwise(0)
+    failed = F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.struct("category_id", F.concat("slug", F.lit(": "), F.substring("error", 1, 300)).alias("t"))))), lambda x: x["t"])
+    limited, any_ok = F.bool_or(F.col("status") == "rate_limited"), F.bool_or(ok | (F.col("status") == "cached"))
+    t = rows.groupBy("run_id").agg(F.sum(count).alias("discovered"), F.count_if(ok).alias("queries_used"), failed.alias("errors"), limited.alias("limited"), any_ok.alias("any_ok"), F.max("remaining").alias("cap"))
+    none = (F.size("errors") > 0) & ~F.col("any_ok")
+    joined = F.array_join("errors", " ; ")
+    note = (
+        F.when(none, joined).when(F.size("errors") > 0, F.concat(F.lit("Discovery completed. Partial category failures: "), joined))
+        .when(F.col("limited"), F.concat(F.lit("Daily cap reached ("), F.col("queries_used").cast("string"), F.lit("/"), F.col("cap").cast("string"), F.lit(").")))
+        .otherwise("Discovery completed.")
+    )
+    outcome = F.when(none, "failed").when(F.col("limited"), "skipped").otherwise("running")
+    return rows.select("run_id", "category_id", "status"), t.select("run_id", "discovered", "queries_used", outcome.alias("status"), F.substring(note, 1, 2000).alias("note"))
+
+
+def validate_recipes(recipes: DataFrame, cached: DataFrame, elements: DataFrame) -> DataFrame:
+    """Validation of recipes (recipe_id, status) without a valid cached one, from elements (recipe_id, name, website) of the sampled
+    regions: figures, score, the version's status, and the recipe's, which only a draft or a validated result changes."""
+    todo = recipes.select("recipe_id", F.col("status").alias("old_status")).join(cached.select("recipe_id"), "recipe_id", "left_anti")
+    per = elements.groupBy("recipe_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("website") != "").alias("with_website"), F.countDistinct(F.when(F.col("name") != "", F.lower(F.btrim("name")))).alias("names"),
+    )
+    zero = lambda n: F.coalesce(n, F.lit(0))
+    t = todo.join(per, "recipe_id", "left").select("recipe_id", "old_status", zero("n").alias("total_results"), zero("with_website").alias("with_website"), zero("names").alias("distinct_names"))
+    rate = lambda n: F.coalesce(F.bround(F.try_divide(n, "total_results"), 4), F.lit(0.0))
+    t = t.select("*", rate("with_website").alias("website_rate"), rate("distinct_names").alias("name_rate"))
+    t = t.withColumn("score", scores.validation_score(F.col("total_results"), F.col("website_rate"), F.col("name_rate")))
+    t = t.withColumn("version_status", scores.validation_status(F.col("total_results"), F.col("score")))
+    moves = (F.col("old_status") == "draft") | (F.col("version_status") == "validated")
+    return t.withColumn("recipe_status", F.when(moves, F.col("version_status")).otherwise(F.col("old_status"))).drop("old_status")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions import prompts, scores
+from brindle.functions import outcomes, prompts, scores
 from brindle.operators import companies as co
 from brindle.operators import ranking, runs, upserts
 from brindle.plans.catalog import _CANON, ORACLE_SQL, _website_key, cascade, query
@@ -100,14 +100,11 @@ query(
     "s57_host_failover", "replies",
     sql="select probe, coalesce(min(pos) filter (not u), max(pos)) as pos, coalesce(arg_min(code, pos) filter (not u), 0) as code from (select id // 2 as probe, id % 2 as pos, code, code = 220 as u from v_replies) group by probe",
 )(fail_over)
-# Recorded probe errors.
-PROBE_ERRORS = {"connect": True, "disconnected": True, "protocol": False, "timeout": True, "os": True}
 
 
 def probe_errors(r: DataFrame) -> DataFrame:
-    kind = F.element_at(F.array(*[F.lit(k) for k in PROBE_ERRORS]), (c("id") % 5 + 1).cast("int"))
-    retry = F.element_at(F.create_map(*[F.lit(x) for kv in PROBE_ERRORS.items() for x in kv]), kind)
-    return r.select("id", F.lit("unknown").alias("verdict"), retry.alias("can_retry"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in outcomes.PROBE_ERRORS]), (c("id") % 5 + 1).cast("int"))
+    return r.select("id", outcomes.probe_error(kind, F.lit("")).alias("x")).select("id", "x.verdict", "x.can_retry")
 
 
 query("s58_probe_errors", "replies", sql="select id, 'unknown' as verdict, id % 5 <> 2 as can_retry from v_replies")(probe_errors)
@@ -115,9 +112,8 @@ query("s58_probe_errors", "replies", sql="select id, 'unknown' as verdict, id %
 
 def source_status(v: DataFrame) -> DataFrame:
     """Stage of a map source from which of its files are there."""
-    stage = F.when(~c("mounted"), "unknown").when(c("pbf") & c("bz2"), "converting").when(c("bz2"), "importing").otherwise("downloading")
     t = v.select("variant_id", (c("variant_id") % 5 != 0).alias("mounted"), (c("variant_id") % 2 == 0).alias("pbf"), (c("variant_id") % 3 == 0).alias("bz2"))
-    return t.select("variant_id", F.when(c("mounted"), "bootstrapping").otherwise("unreachable").alias("summary"), stage.alias("stage"))
+    return t.select("variant_id", outcomes.source_status(F.lit(None).cast("int"), F.lit(""), c("mounted"), c("pbf"), c("bz2")).alias("x")).select("variant_id", "x.summary", "x.stage")
 
 
 query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions import prompts, scores, urls
+from brindle.functions import outcomes, prompts, scores, urls
 from brindle.operators import companies as co
 from brindle.operators import ranking, runs, upserts
 from brindle.plans.catalog import FLOORS, query
@@ -130,7 +130,7 @@ query("a40_job_counters", "replies", sql="select id % 20 as job_id, count(*) fil
 )
 query("a44_last_crawl", "run_companies", sql="select company_id, max(queued_at) as last from v_run_companies where status = 'completed' group by company_id")(lambda r: r.where("status = 'completed'").groupBy("company_id").agg(F.max("queued_at").alias("last")))
 query("a46_site_status", "requests", sql="select regexp_extract(url, '^[^:]+://([^/?#]*)', 1) as site, bool_or(error is null) as reached, case when bool_or(error is null) then 'completed' else 'failed' end as status from v_requests group by 1")(
-    lambda r: r.groupBy(F.regexp_extract("url", "^[^:]+://([^/?#]*)", 1).alias("site")).agg(F.bool_or(c("error").isNull()).alias("reached")).withColumn("status", F.when(c("reached"), "completed").otherwise("failed"))
+    lambda r: r.groupBy(F.regexp_extract("url", "^[^:]+://([^/?#]*)", 1).alias("site")).agg(F.bool_or(c("error").isNull()).alias("reached")).withColumn("status", outcomes.site_status(c("reached"), F.lit(False)))
 )
 query("a47_quota_snapshot", "requests", sql="select provider, count(*) as used, greatest(5000 - count(*), 0) as remaining from v_requests group by provider")(lambda r: r.groupBy("provider").agg(F.count(one).alias("used"), F.greatest(5000 - F.count(one), F.lit(0)).alias("remaining")))
 
@@ -162,7 +162,7 @@ query("s45_thresholds", "variants", sql="select variant_id, greatest(40, " + "ca
     lambda v: v.select("variant_id", F.greatest(F.lit(40), F.coalesce(*[F.when(c("strategy") == s, x[0]) for s, x in FLOORS.items()])).alias("floor"))
 )
 query("s47_cluster_bonus", "outcomes", sql="select variant_key, least(count(*) filter (selected), 5) * 3 + least(count(*) filter (selected and region_id = 3), 5) * 4 as bonus from v_outcomes group by variant_key")(
-    lambda o: o.groupBy("variant_key").agg((F.least(F.count_if("selected"), F.lit(5)) * 3 + F.least(F.count_if(c("selected") & (c("region_id") == 3)), F.lit(5)) * 4).alias("bonus"))
+    lambda o: o.groupBy("variant_key").agg(outcomes.cluster_history_bonus(F.count_if("selected"), F.count_if(c("selected") & (c("region_id") == 3))).alias("bonus"))
 )
 query("s49_name_scores", "companies", sql="select company_id, length(trim(name)) as n, city is not null as has_city, crawl_status not in ('pending', 'failed', 'no_website') as crawled from v_companies")(
     lambda k: k.select("company_id", F.length(F.btrim("name")).alias("n"), c("city").isNotNull().alias("has_city"), (~c("crawl_status").isin("pending", "failed", "no_website")).alias("crawled"))

@@ -55,6 +55,14 @@ def phone_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(first.alias("original")).where((F.col("original") != "") & ~F.lower("original").startswith("phone"))
 
 
+def number_list(spark: SparkSession, path: str) -> DataFrame:
+    """Numbers of recorded list jobs (JSON objects with ``job_id`` and ``phone_numbers``): trimmed, blanks dropped. ``position`` counts
+    from 0 over the whole list and ``total_numbers`` counts the blanks too."""
+    jobs = spark.read.schema("job_id string, phone_numbers array<string>").option("multiLine", True).json(path)
+    rows = jobs.select("job_id", F.size("phone_numbers").alias("total_numbers"), F.posexplode("phone_numbers").alias("position", "raw"))
+    return rows.select("job_id", "total_numbers", "position", F.btrim("raw").alias("phone")).where("phone <> ''")
+
+
 def blocklist(spark: SparkSession, path: str, least: int = 1000) -> DataFrame:
     """Throwaway domains: lower case, no blanks or comments. A list of fewer than ``least`` is taken for broken: the seed list stands in."""
     d = F.lower(F.btrim("value"))
