@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.linking import components_of_shared
+from brindle.llm.rows import NO_ID, id_key, one_of_copies
 from brindle.llm.text import mix, powers, runs, text_blocks, words
 from brindle.storage import materialize
 
@@ -24,16 +25,20 @@ SLOTS = ROWS * BANDS
 #: Bytes before a line in its payload: one of each minimum, four of each band key.
 HEAD = SLOTS + 4 * BANDS
 _EMPTY = np.iinfo(np.uint32).max
-_NO_ID = -(1 << 63)
 _SPACES = " \t\n\x0b\x0c\r"
 _CODE = np.random.default_rng(40).integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
 _ODD = np.random.default_rng(41).integers(1, 1 << 62, PASSES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def text_id(doc: str) -> Column:
+    """One number for an id (as from ``id_key``) and a text."""
+    return F.xxhash64(doc, "text")
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, text_id): every line with a word, by place; ``line`` is a 64-bit hash of it, trimmed, and
     ``text_id`` one of its document."""
-    at = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "t")).where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
+    at = docs.select("doc_id", text_id("doc_id").alias("text_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "t")).where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
     return at.select("doc_id", "line_no", F.xxhash64(F.btrim("t", F.lit(_SPACES))).alias("line"), "text_id")
 
 
@@ -274,14 +279,14 @@ def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(alias, data): the trimmed text of each wanted line (alias, text_id, line_no), taken from a document it first stands in.
     Rows that share a null or repeated doc_id have text_ids of their own; only copies of a row take its lines again."""
     per_doc = wanted.groupBy("text_id").agg(F.collect_list(F.struct("line_no", "alias")).alias("take"))
-    got = docs.withColumn("text_id", F.xxhash64("doc_id", "text")).join(per_doc, "text_id").select(F.split("text", "\n").alias("lines"), F.explode("take").alias("x"))
+    got = docs.withColumn("text_id", text_id("doc_id")).join(per_doc, "text_id").select(F.split("text", "\n").alias("lines"), F.explode("take").alias("x"))
     return got.select(F.col("x.alias").alias("alias"), F.btrim(F.get("lines", F.col("x.line_no")), F.lit(_SPACES)).alias("data"))
 
 
 def line_classes(docs: DataFrame, *, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """The line table, and (line, keep_doc, keep_line) of every line that is not alone in its class."""
+    """The line table, and (line, keep_doc, keep_line, keep_text) of every line that is not alone in its class."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
+    docs = docs.select(id_key().alias("doc_id"), "text")
     lines = materialize(line_table(docs), "lines")
     each = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no", "text_id")).alias("first"), F.count(F.lit(1)).alias("n"))
     each = materialize(each, "distinct-lines")
@@ -293,36 +298,50 @@ def line_classes(docs: DataFrame, *, threshold: float = 0.8) -> tuple[DataFrame,
     comps = components_of_shared(shared, texts, Lines(threshold)).withColumnRenamed("node", "line")
     placed = each.join(comps, "line", "left").withColumn("root", F.coalesce("root", "line")).where("n > 1 or root <> line or first is not null")
     keep = placed.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("size")).where("size > 1")
-    kept = placed.join(keep, "root").select("line", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
+    kept = placed.join(keep, "root").select("line", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"), F.col("keep.text_id").alias("keep_text"))
     return lines, kept
 
 
 def removed_lines(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, n_lines, n_removed, removed): per document with a word, the numbers (from 0) of the lines to remove.
+    """(doc_id, n_lines, n_removed, removed, copies): per document with a word, the numbers (from 0) of the lines to remove.
 
     docs: doc_id, text; other columns are ignored. Lines are trimmed of ASCII white space; blank ones are left alone. Two lines
     are alike if the Jaccard similarity of their sets of SHINGLE-character runs is ``threshold`` or more (a shorter line
     is one run). Of each component of alike lines the one of the least (doc_id, line_no) stays in the whole corpus.
 
     Exact copies are collapsed by hash first. Banding keeps a pair at the threshold with probability
-    1 - (1 - 0.8^5)^16 = 0.998; every proposal is verified on the lines themselves. A null doc_id comes first in order;
-    rows that repeat a doc_id are one document. Null, blank and empty texts have no row.
+    1 - (1 - 0.8^5)^16 = 0.998; every proposal is verified on the lines themselves. A null doc_id comes first in order.
+    Rows that share an id, or have none, are documents of their own if their texts differ (the order goes on by line number and a hash of the text).
+    Rows equal in both are ``copies`` of one document: it has one row, and all lines of the others go. Null, blank and empty texts have no row.
     """
+    out = _removals(docs, threshold)
+    return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", "n_removed", "removed", "copies")
+
+
+def _removals(docs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, text_id, n_lines, n_removed, removed, copies) of each document: an id, NO_ID for null, and a text with a word."""
     lines, kept = line_classes(docs, threshold=threshold)
-    gone = lines.join(kept, "line").where("doc_id <> keep_doc or line_no <> keep_line").groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    out = lines.groupBy("doc_id").agg(F.countDistinct("line_no").alias("n_lines")).join(gone, "doc_id", "left")
+    gone = lines.join(kept, "line").where("doc_id <> keep_doc or line_no <> keep_line or text_id <> keep_text").groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    each = lines.groupBy("doc_id", "text_id").agg(F.countDistinct("line_no").alias("n_lines"), F.count(F.lit(1)).alias("n"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    out = each.join(gone, ["doc_id", "text_id"], "left").withColumn("removed", removed)
+    return out.select("doc_id", "text_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", (F.col("n") / F.col("n_lines")).cast("long").alias("copies"))
 
 
 def dedup_lines(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without the lines that :func:`removed_lines` names; n_chars, where it is there, follows.
 
-    A document that loses its last line with a word goes; one that had none stays as it is.
+    A document that loses its last line with a word goes, and so do all copies of one but one; a text that had no word stays as it is.
     """
-    drop = removed_lines(docs, threshold=threshold).where("n_removed > 0").select(F.col("doc_id").alias("drop_id"), "removed", (F.col("n_removed") == F.col("n_lines")).alias("all_gone"))
+    drop = _removals(docs, threshold).where("n_removed > 0 or copies > 1")
+    drop = materialize(drop.select(F.col("doc_id").alias("_brindle_doc"), F.col("text_id").alias("_brindle_text"), F.col("removed").alias("_brindle_removed"), (F.col("n_removed") == F.col("n_lines")).alias("_brindle_gone"), F.col("copies").alias("_brindle_copies")), "removals")
     at, schema = docs.columns.index("text"), docs.schema
-    rows = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").where("all_gone is null or not all_gone").select(*[docs[c] for c in docs.columns], "removed")
+    keyed = docs.withColumn("_brindle_id", id_key()).withColumn("_brindle_key", text_id("_brindle_id"))
+    same, columns = (F.col("_brindle_id") == F.col("_brindle_doc")) & (F.col("_brindle_key") == F.col("_brindle_text")), [*docs.columns, "_brindle_removed"]
+    rows = keyed.join(drop, same, "left").where("(_brindle_gone is null or not _brindle_gone) and coalesce(_brindle_copies, 1) = 1").select(*columns)
+    several = drop.where("_brindle_copies > 1 and not _brindle_gone")
+    if not several.isEmpty():
+        rows = rows.unionAll(one_of_copies(keyed.join(several, same), ["_brindle_id", "_brindle_key"], columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

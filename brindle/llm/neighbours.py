@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.llm.blocks import against_all
 from brindle.storage import materialize
 
 CODES = "vec_id long, vec binary, code binary, fit float"
@@ -46,7 +47,7 @@ def encode(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
                 if x is None or i is None:
                     continue
                 turn = turns.setdefault(len(x), rotation(len(x), seed)) if len(x) not in turns else turns[len(x)]
-                scaled = x / np.abs(x).max()
+                scaled = scaled_rows(x[None, :])[0]
                 y = turn @ (scaled / np.linalg.norm(scaled))
                 ids.append(i)
                 vecs.append(x.tobytes())
@@ -57,71 +58,88 @@ def encode(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vec")).mapInArrow(run, CODES)
 
 
+def scaled_rows(rows: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component to 0.5 up to 1: no square over- or underflows, and no digit
+    of a cosine changes."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(1, keepdims=True))[1])
+
+
 def _cosines(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """In double precision and one fixed order of additions, so equal vectors have equal scores."""
+    """Of scaled vectors, in double precision and one fixed order of additions, so equal vectors have equal scores."""
     return (rows * q).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((q * q).sum()))
 
 
-def _search_block(ids, own, vecs, codes, fit, qown, qvecs, turn, k: int, eps: float, part: int = 256):
-    """The k best of one block of rows for each query of one block: (query's number in ``qown``, vec_ids, scores).
-
-    A code estimates <q, x> as <q', sign> / (sqrt(D) fit), off by more than eps * sqrt((1 - fit^2) / (D - 1)) / fit
-    with vanishing probability. The rows of best estimates are scored exactly; of the others only those whose upper
-    bound reaches the k-th best of these scores are.
-    """
-    dim = vecs.shape[1]
-    sign = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    unit = qvecs / np.abs(qvecs).max(1, keepdims=True)
-    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)) @ turn.T
-    err = eps * np.sqrt(np.maximum(0, 1 - fit * fit) / max(1, dim - 1)) / fit + 1e-5
-    for q in range(len(qown)):
-        if q % part == 0:
-            est = (unit[q : q + part].astype(np.float32) @ sign.T) / (np.sqrt(dim) * fit)
-        others = own != qown[q]
-        cand = np.flatnonzero(others)
-        if len(cand) > 8 * k:
-            first = cand[np.argpartition(-est[q % part][cand], 4 * k)[: 4 * k]]
-            bound = np.sort(_cosines(vecs[first], qvecs[q]))[-k]
-            cand = np.flatnonzero((est[q % part] + err >= bound - 1e-9) & others)
-        if not len(cand):
-            continue
-        score = _cosines(vecs[cand], qvecs[q])
-        best = np.lexsort((ids[cand], -score))[:k]
-        yield q, ids[cand[best]], score[best]
+class _Queries:
+    """Queries of one dimension of a block, and the k best of the rows each has met."""
+
+    def __init__(self, block: pa.Table, at: np.ndarray, dim: int, seed: int, k: int, eps: float):
+        own = block.take(pa.array(at))
+        self.ids, self.rows = own.column("vec_id").to_numpy(), own.column("row").to_numpy()
+        self.vecs = scaled_rows(np.frombuffer(b"".join(own.column("vec").to_pylist()), np.float64).reshape(-1, dim))
+        unit = self.vecs / np.linalg.norm(self.vecs, axis=1, keepdims=True)
+        self.unit, self.dim, self.k, self.eps = (unit @ rotation(dim, seed).T).astype(np.float32), dim, k, eps
+        self.found, self.score = np.zeros((len(at), k), np.int64), np.full((len(at), k), -np.inf)
+
+    def meet(self, table: pa.Table, part: int = 256) -> None:
+        """A code estimates <q, x> as <q', sign> / (sqrt(D) fit), off by more than eps * sqrt((1 - fit^2) / (D - 1)) / fit with
+        vanishing probability. The rows of best estimates are scored exactly; of the others only those whose upper bound
+        reaches the k-th best of all scores so far are."""
+        ids, own, fit = table.column("vec_id").to_numpy(), table.column("row").to_numpy(), table.column("fit").to_numpy()
+        vecs = scaled_rows(np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float64).reshape(-1, self.dim))
+        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+        sign, k = np.unpackbits(codes, axis=1, count=self.dim).astype(np.float32) * 2 - 1, self.k
+        err = self.eps * np.sqrt(np.maximum(0, 1 - fit * fit) / max(1, self.dim - 1)) / fit + 1e-5
+        where = {r: n for n, r in enumerate(own.tolist())}
+        for c in range(0, len(self.ids), part):
+            est = (self.unit[c : c + part] @ sign.T) / (np.sqrt(self.dim) * fit)
+            high = est + err
+            for q in range(c, min(c + part, len(self.ids))):
+                if (self_row := where.get(int(self.rows[q]))) is not None:
+                    high[q - c, self_row] = -np.inf
+                    est[q - c, self_row] = -np.inf
+                least = self.score[q, -1]
+                if len(ids) > 8 * k:
+                    first = np.argpartition(-est[q - c], 4 * k)[: 4 * k]
+                    first = first[est[q - c][first] > -np.inf]
+                    least = np.sort(np.concatenate([self.score[q], _cosines(vecs[first], self.vecs[q])]))[-k]
+                cand = np.flatnonzero((high[q - c] >= least - 1e-9) & (high[q - c] > -np.inf))
+                if len(cand):
+                    score = np.concatenate([self.score[q], _cosines(vecs[cand], self.vecs[q])])
+                    found = np.concatenate([self.found[q], ids[cand]])
+                    best = np.lexsort((found, -score))[:k]
+                    self.found[q], self.score[q] = found[best], score[best]
+
+    def best(self) -> pa.RecordBatch:
+        q, r = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(self.rows[q]), pa.array(self.found[q, r]), pa.array(self.score[q, r])], names=["query_id", "query_row", "vec_id", "score"])
 
 
 def search(index: DataFrame, queries: DataFrame, *, k: int = 5, eps: float = 4.0, rows_per_block: int = 4096, queries_per_block: int = 8192, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of the whole index for each query, in blocks.
 
-    Rows and queries, both as from :func:`build_index`, are dealt into blocks; a block of rows meets each block of queries
-    once and gives at most k rows a query, which are ranked after one shuffle by query. Nearest first, ties to the smaller
-    vec_id; a query's own row, not another of its vec_id, is no candidate, and rows that repeat a query are queries of their own. Only vectors of the query's dimension are compared. Fewer rows than k
-    give fewer ranks; equal vectors are all reranked, so copies never hide one another.
+    Rows and queries are both as from :func:`build_index`. Rows stay where they are: each task reads its own once for each block of queries
+    (``queries_per_block`` at most, and a bounded number of bytes), ``rows_per_block`` at a time, and gives at most k rows a query, which are
+    ranked after one shuffle by query. Nearest first, ties to the smaller vec_id; a query's own row, not another of its vec_id,
+    is no candidate, and rows that repeat a query are queries of their own. Only vectors of the query's dimension are compared; their
+    length does not matter, from the least double to the largest. Fewer rows than k give fewer ranks; equal vectors are all reranked, so copies
+    never hide one another.
     """
-    n_rows, n_queries = index.count(), queries.count()
-    dims = F.length("vec")
-    row_blocks, query_blocks = max(1, -(-n_rows // rows_per_block)), max(1, -(-n_queries // queries_per_block))
-    q = queries.select(F.lit(True).alias("is_query"), "row", "vec_id", "vec", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("fit"), dims.alias("dim"),
-                       F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"), F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int").alias("qb"))
-    r = index.select(F.lit(False).alias("is_query"), "row", "vec_id", "vec", "code", "fit", dims.alias("dim"),
-                     F.pmod(F.xxhash64("row", F.lit(1)), F.lit(row_blocks)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        dim = key[2].as_py() // 8
-        is_query = table.column("is_query").to_numpy()
-        take = lambda t: (t.column("vec_id").to_numpy(), t.column("row").to_numpy(), np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float64).reshape(-1, dim))
-        (qids, qown, qvecs), rows = take(table.filter(pa.array(is_query))), table.filter(pa.array(~is_query))
-        ids, own, vecs = take(rows)
-        out = [[], [], [], []]
-        if len(qids) and len(ids):
-            codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            for q, found, score in _search_block(ids, own, vecs, codes, rows.column("fit").to_numpy(), qown, qvecs, rotation(dim, seed), k, eps):
-                out[0] += [int(qids[q])] * len(found)
-                out[1] += [int(qown[q])] * len(found)
-                out[2] += found.tolist()
-                out[3] += score.tolist()
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "query_row", "vec_id", "score"), out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))})
-
-    found = q.unionByName(r).groupBy("rb", "qb", "dim").applyInArrow(run, "query_id long, query_row long, vec_id long, score double")
+
+    def run(block: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dims = np.asarray([len(v) // 8 for v in block.column("vec").to_pylist()])
+        met = {d: _Queries(block, np.flatnonzero(dims == d), d, seed, k, eps) for d in np.unique(dims).tolist()}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            own = np.asarray([len(v) // 8 for v in table.column("vec").to_pylist()])
+            for d in np.unique(own).tolist():
+                rows = table.filter(pa.array(own == d)) if d in met else table.slice(0, 0)
+                for c in range(0, rows.num_rows, rows_per_block):
+                    met[d].meet(rows.slice(c, rows_per_block))
+        for q in met.values():
+            yield q.best()
+
+    queries = queries.select("row", "vec_id", "vec")
+    size = queries.agg(F.max(F.length("vec"))).first()[0] or 1
+    found = against_all(index, queries, run, "query_id long, query_row long, vec_id long, score double", query_bytes=4 * size, name="nearest", most=queries_per_block)
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.rows import NO_ID, id_key, one_of_copies, text_key
 from brindle.llm.text import mix, text_blocks, word_shingles
 from brindle.llm.linking import block_pairs, components_of_shared, forest, grouped, in_play
 from brindle.operators.components import connected_components
@@ -19,7 +20,6 @@ DEPTH = 3
 SKETCH = 64
 #: Sets, and shingles, of one block in verification; a place holds two blocks.
 SETS, WEIGHT = 1024, 1 << 20
-_NO_ID = -(1 << 63)
 _SKETCH = np.random.default_rng(31).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -164,14 +164,20 @@ def ngram_join(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, recall: f
     Null and empty texts have no set: no links, a class of their own row's doc_id. A null doc_id takes part and stays null.
     Repeated rows are copies. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_id"))
+    out = _classes(docs, k, threshold, recall, sketch_least)
+    real = lambda c: F.when(c != NO_ID, c)
+    return out.select(real(F.col("doc_id")).alias("doc_id"), real(F.col("class.doc_id")).alias("class_id"), real(F.col("copy.doc_id")).alias("copy_id"), "n_links", F.col("n").alias("n_shingles"))
+
+
+def _classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 0.999, sketch_least: float = 0.6) -> DataFrame:
+    """(doc_id, text_id, n, n_links, copy, class) of each row; ``copy`` and ``class`` are the least (doc_id, text_id) of its copies and of
+    its class, so documents of no id or one that others share are told apart by their texts."""
+    docs = docs.select(id_key().alias("doc_id"), "text", text_key().alias("text_id"))
     signed = materialize(_signatures(docs, k, runs_for(recall), threshold), "signatures")
     some = signed.where("n > 0")
     sets = materialize(some.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_id")).alias("one"), F.count(F.lit(1)).alias("copies"), F.min("alias").alias("alias"), F.min("n").alias("n"), F.min("paths").alias("paths"), F.min("sketch").alias("sketch")), "sets")
     paths = sets.select(F.explode("paths").alias("path"), "alias")
     comps = components_of_shared(paths, sets.select("alias", F.col("sketch").alias("data")), Sketches(sketch_least))
-    sets = sets.withColumn("copy_id", F.col("one.doc_id"))
     cand = sets.select("set_id", "alias", "copies", "one.*", "n").join(comps.withColumnRenamed("node", "alias"), "alias").select("set_id", "copies", "doc_id", "text_id", "n", "root")
     sizes = cand.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("weight"))
     sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("sets") / SETS), F.least(F.col("sets"), F.ceil(F.col("weight") / F.lit(WEIGHT))))).drop("weight")
@@ -179,16 +185,22 @@ def ngram_join(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, recall: f
     links = materialize(_verify(texts, k, threshold), "links")
     top = connected_components(links.select("set_id", "near"), "set_id", "near").withColumnRenamed("node", "set_id")
     linked = links.groupBy("set_id").agg(F.sum("linked").alias("linked"))
-    per_set = sets.select("set_id", "copy_id", "copies").join(linked, "set_id", "left").join(top, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    least = per_set.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    per_set = per_set.join(least, "root").select("set_id", "class_id", "copy_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    out = signed.select("doc_id", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"), "n").join(per_set, "set_id", "left")
-    real = lambda c: F.when(c != _NO_ID, c)
-    return out.select(real(F.col("doc_id")).alias("doc_id"), real(F.coalesce("class_id", "doc_id")).alias("class_id"), real(F.coalesce("copy_id", "doc_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n").alias("n_shingles"))
+    per_set = sets.select("set_id", F.col("one").alias("copy"), "copies").join(linked, "set_id", "left").join(top, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    least = per_set.groupBy("root").agg(F.min("copy").alias("class"))
+    per_set = per_set.join(least, "root").select("set_id", "class", "copy", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    own = F.struct("doc_id", "text_id")
+    out = signed.select("doc_id", "text_id", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"), "n").join(per_set, "set_id", "left")
+    return out.select("doc_id", "text_id", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copy", own).alias("copy"), F.coalesce("class", own).alias("class"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all their columns, one document of each class: that of the least doc_id. Documents without
-    words are classes of their own and stay. Rows that repeat a doc_id share its fate."""
-    classes = ngram_join(docs, **options).where("doc_id = class_id or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(classes, F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs``, all their columns, one row of each class: that of the least doc_id (null first), then the least hash of its text.
+    Rows without words are classes of their own and stay; rows that repeat an id are judged by their own texts, and of rows equal
+    in id and text one stays."""
+    own = (F.col("class.doc_id") == F.col("doc_id")) & (F.col("class.text_id") == F.col("text_id"))
+    kept = _classes(docs, **options).where(own).groupBy(F.col("doc_id").alias("_brindle_doc"), F.col("text_id").alias("_brindle_text")).agg(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("_brindle_copies"))
+    kept = materialize(kept, "kept")
+    keyed = docs.withColumn("_brindle_id", id_key()).withColumn("_brindle_key", text_key())
+    same = (F.col("_brindle_id") == F.col("_brindle_doc")) & (F.col("_brindle_key") == F.col("_brindle_text"))
+    rows, several = keyed.join(kept.where("_brindle_copies <= 1"), same).select(*docs.columns), kept.where("_brindle_copies > 1")
+    return rows if several.isEmpty() else rows.unionAll(one_of_copies(keyed.join(several, same), ["_brindle_id", "_brindle_key"], docs.columns))

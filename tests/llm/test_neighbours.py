@@ -47,3 +47,28 @@ def test_repeated_query_rows(spark):
     got = sorted((r["rank"], r.vec_id, round(r.score, 9)) for r in neighbours.search(index, index.where("vec_id = 50")).collect())
     assert len(got) == 15 and [g[0] for g in got] == [r for r in range(1, 6) for _ in range(3)]
     assert got.count((1, 50, 1.0)) == 2
+
+
+def test_components_from_least_to_largest(spark):
+    """Lengths from 1e-200 to 1e200 change neither neighbours nor scores, and subnormal vectors take part."""
+    rng = np.random.default_rng(6)
+    base = [(i, rng.normal(size=16)) for i in range(300)]
+    scales = [1e200, 1e-200, 1.0, 1e308 / 4, 1e-300]
+    rows = [(i, (x * scales[i % 5]).tolist()) for i, x in base] + [(1000, (base[50][1] * 1e200).tolist()), (1001, [5e-324] * 16)]
+    plain = {i: x for i, x in base} | {1000: base[50][1], 1001: np.ones(16)}
+    index = neighbours.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in neighbours.search(index, index.where("vec_id % 50 = 0"), queries_per_block=3).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert set(got) == {0, 50, 100, 150, 200, 250, 1000} and got[50][1][0] == 1000 and got[50][1][1] > 1 - 1e-12
+    for q, by in got.items():
+        cos = {i: float(plain[q] @ x / np.linalg.norm(plain[q]) / np.linalg.norm(x)) for i, x in plain.items() if i != q}
+        want = sorted(cos, key=lambda i: (-cos[i], i))[:5]
+        assert [by[r][0] for r in range(1, 6)] == want and all(abs(by[r][1] - cos[by[r][0]]) < 1e-9 for r in by)
+
+
+def test_rows_are_not_moved(spark, sf):
+    """The plan's only exchange is by query, of the k best of each task."""
+    index = neighbours.build_index(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    plan = neighbours.search(index, index.where("vec_id % 50 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "MapInArrow" not in plan

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -38,3 +39,30 @@ def test_empty_table(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, sf), "empty")
     assert docs.count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """Thousands of rows without an id or with one that others share: no unique line or text is lost, every copy goes."""
+    from brindle.llm import lines, ngram_join
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    unique = lambda n=12: " ".join(word() for _ in range(n))
+    header = "a shared header line that stands in very many texts"
+    rows = [(1, header + "\nfirst body of the first text"), (5, header + "\nquite another body here"), (5, "only here is this sentence to be found\nand this other one as well")]
+    rows += [(None, header + "\n" + unique()) for _ in range(1500)] + [(7, header + "\n" + unique() + "\n" + unique()) for _ in range(1500)]
+    again = [(None, unique(30)), (9, unique(30)), (9, unique(30))]
+    rows += again * 200 + [(11, again[1][1]), (2, again[0][1])] + [(None, None), (None, None), (3, " "), (3, " ")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], "doc_id long, text string, n_chars long, removed string").repartition(7)
+    out = [(r.doc_id, r.text) for r in lines.dedup_lines(df).collect()]
+    left = Counter(x.strip() for _, t in out for x in (t or "").split("\n") if x.strip())
+    assert set(left) == {x.strip() for _, t in rows for x in (t or "").split("\n") if x.strip()} and set(left.values()) == {1}
+    assert sum(t is None for _, t in out) == 2 and out.count((3, " ")) == 2
+    assert len(out) == len({r for r in rows if r[1] and r[1].strip()}) - 2 + 4
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(df).collect())
+    want = {}
+    for i, t in rows:
+        if t and t.strip():
+            want[t] = min(want.get(t, (i is not None, i or 0)), (i is not None, i or 0))
+    assert kept == Counter({(i if has else None, t): 1 for t, (has, i) in want.items()}) + Counter({(None, None): 2, (3, " "): 2})
