@@ -20,13 +20,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one line of each class of alike lines; a document left without any line goes. Texts without a word stay as they
-    are. Rows that repeat a doc_id are one document: lines go by number. Whole texts of any length; an empty table stays empty."""
+    are. Rows are told apart by id and text, so null and repeated ids lose no line of another; of rows equal in both one stays. Whole texts of any length; an empty table stays empty."""
     return lines.dedup_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates, that of the least doc_id; texts without words stay. Rows that repeat
-    its doc_id share its fate; rows of a null doc_id stay. An empty table stays empty."""
+    """Keeps one document of each class of near duplicates, that of the least doc_id (null first); texts without words stay. Rows
+    that share an id, or have none, are judged by their own texts; of rows equal in both one stays. An empty table stays empty."""
     return ngram_join.keep_one(docs)
 
 
