@@ -13,6 +13,7 @@ TRANSPORT_HINTS = (
     "proxy", "407", "proxy authentication", "tunnel connection failed", "socks", "tunneling", "connection reset by peer", "temporary failure in name resolution", "name or service not known",
     "network is unreachable", "no route to host", "econnreset", "connection aborted",
 )
+RETRY_HINTS = ("verify you're not a robot", "verify you are not a robot", "attention required", "please enable cookies", "cloudflare", "g-recaptcha-response")
 BLOCKED_STATUS = (401, 403, 429, 503)
 
 

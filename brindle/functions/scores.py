@@ -148,13 +148,6 @@ def dead_host_response(status: Column, reason: Column, body: Column) -> Column:
     return named | F.coalesce(status.isin(521, 522, 523, 530), F.lit(False)) | F.coalesce((status == 502) & (low.contains("no_host_connection") | low.contains("host connection")), F.lit(False))
 
 
-def challenge(status: Column, text: Column) -> Column:
-    """A page that asks for a check instead of answering (a label only)."""
-    low = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 4000))
-    words = low.rlike("verify you're not a robot|verify you are not a robot|attention required|please enable cookies|cloudflare|g-recaptcha-response")
-    return F.coalesce(status.isin(401, 403, 429, 503), F.lit(False)) | words
-
-
 def size_label(n: Column) -> Column:
     in_unit = lambda size, unit: F.concat(F.format_string("%.1f", F.bround(n / size, 1)), F.lit(f" {unit}"))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, in_unit(1024, "KB")).otherwise(in_unit(1048576, "MB"))
@@ -197,3 +190,18 @@ def suggested_thresholds(now: Mapping[str, Column], seen: Mapping[str, Column],
 
     first = clamped({k: F.coalesce(seen[k], now[k]) for k in now})
     return clamped({k: F.greatest(F.lit(0), now[k] + F.bround((first[k] - now[k]) * factor, 0).cast("int")) for k in now})
+
+
+# What an activation needs at least (validation score and runs, production score and runs), in all and by strategy.
+ACTIVATION_KINDS = ("validation_score", "validation_runs", "production_score", "production_runs")
+ACTIVATION_FLOOR = (55, 1, 0, 0)
+STRATEGY_FLOORS = {
+    "overpass_discovery_enrich": (55, 1, 0, 0), "hybrid_discovery": (58, 1, 5, 1), "website_first": (52, 1, 10, 1),
+    "browser_assisted_discovery": (65, 1, 15, 1), "directory_expansion": (60, 1, 10, 1),
+}
+
+
+def activation_floors(strategy: Column, settings: tuple[int, ...] = ACTIVATION_FLOOR) -> Column:
+    """Array of (kind, floor): the larger of the settings' floor and the strategy's own; a strategy without one has the settings'."""
+    own = lambda i: F.coalesce(*[F.when(strategy == s, f[i]) for s, f in STRATEGY_FLOORS.items()], F.lit(0))
+    return F.array(*[F.struct(F.lit(k).alias("kind"), F.greatest(F.lit(settings[i]), own(i)).alias("floor")) for i, k in enumerate(ACTIVATION_KINDS)])

@@ -23,8 +23,8 @@ _BLOCKED = "coalesce(status_code in (401, 403, 429, 503), false)"
 query("p19_challenges", "crawled", sql=f"select page_id, {_BLOCKED} or {_any('lower(title || chr(32) || substr(body, 1, 4000))', crawl.CHALLENGE_HINTS)} as is_challenge from v_crawled")(
     lambda p: p.select("page_id", crawl.challenge_page(c("status_code"), c("title"), c("body")).alias("is_challenge"))
 )
-query("p20_header_retries", "crawled", sql=f"select page_id, not tried_headers and coalesce(status_code in (401, 403), false) and {_any('lower(body)', crawl.CHALLENGE_HINTS)} as retry from v_crawled")(
-    lambda p: p.select("page_id", crawl.header_retry(c("status_code"), c("body"), crawl.CHALLENGE_HINTS, c("tried_headers")).alias("retry"))
+query("p20_header_retries", "crawled", sql=f"select page_id, not tried_headers and coalesce(status_code in (401, 403), false) and {_any('lower(body)', crawl.RETRY_HINTS)} as retry from v_crawled")(
+    lambda p: p.select("page_id", crawl.header_retry(c("status_code"), c("body"), crawl.RETRY_HINTS, c("tried_headers")).alias("retry"))
 )
 query("p18_transport_errors", "crawled", sql=f"select page_id, (relay_host <> '' and contains(lower(message), lower(relay_host))) or {_any('lower(message)', crawl.TRANSPORT_HINTS)} as is_transport from v_crawled")(
     lambda p: p.select("page_id", crawl.transport_error(c("message"), c("relay_host")).alias("is_transport"))
@@ -156,16 +156,20 @@ query(
 _NOW = {"rec_val": 60, "trust_val": 75, "rec_prod": 20, "trust_prod": 40, "sup_val": 35, "sup_prod": 10, "rec_act": 1, "trust_act": 2}
 
 
+_RANKS = {
+    "rec_val": ("validation_score", "validation_count", 0.55), "trust_val": ("validation_score", "validation_count", 0.8), "sup_val": ("validation_score", "validation_count", 0.2),
+    "rec_prod": ("production_score", "production_runs", 0.55), "trust_prod": ("production_score", "production_runs", 0.8), "sup_prod": ("production_score", "production_runs", 0.2), "trust_act": ("activations", None, 0.75),
+}
+
+
 def thresholds(v: DataFrame) -> DataFrame:
-    """Suggested thresholds per strategy; the percentiles are read from counts per value, so no group is gathered."""
-    seen = v.groupBy("strategy").agg(
-        *[F.percentile(F.when(c(n) > 0, c(s)), F.lit(p)).alias(k) for k, s, n, p in (
-            ("rec_val", "validation_score", "validation_count", 0.5), ("trust_val", "validation_score", "validation_count", 0.75), ("rec_prod", "production_score", "production_runs", 0.5),
-            ("trust_prod", "production_score", "production_runs", 0.75), ("sup_val", "validation_score", "validation_count", 0.25), ("sup_prod", "production_score", "production_runs", 0.25),
-        )],
-        F.percentile(c("planner_activated"), F.lit(0.5)).alias("rec_act"), F.percentile(c("planner_activated"), F.lit(0.75)).alias("trust_act"),
-    )
-    out = scores.suggested_thresholds({k: F.lit(n) for k, n in _NOW.items()}, {k: F.bround(c(k), 0).cast("int") for k in _NOW}, F.lit(0.5))
+    """Suggested thresholds per strategy: nearest ranks of the scores of variants that were tried, read from counts per value, and the median
+    of activations by planner and prompt; so no group is gathered."""
+    v = v.withColumns({"activations": F.greatest(F.lit(0), c("planner_activated") + c("prompt_activated")), **{s: F.greatest(F.lit(0), F.coalesce(s, F.lit(0))) for s in ("validation_score", "production_score")}})
+    seen = v.groupBy("strategy").agg(F.bround(F.percentile("activations", F.lit(0.5)), 0).cast("int").alias("rec_act"))
+    for name, (score, tried, p) in _RANKS.items():
+        seen = seen.join(ranking.nearest_rank_by_counts(v.where(c(tried) > 0) if tried else v, "strategy", score, p, name), "strategy", "left")
+    out = scores.suggested_thresholds({k: F.lit(n) for k, n in _NOW.items()}, {k: c(k).cast("int") for k in _NOW}, F.lit(0.5))
     return seen.select("strategy", *[e.alias(f"new_{k}") for k, e in out.items()])
 
 
@@ -174,12 +178,13 @@ def _clamps(v: str) -> str:
 from (select *, greatest(25, least(95, {v}rec_val)) as r_val, greatest(5, least(95, {v}rec_prod)) as r_prod, greatest(0, least(3, {v}rec_act)) as r_act from"""
 
 
-_SEEN = "select strategy, " + ", ".join(
-    f"coalesce(cast(round_even(quantile_cont({s}, {p}) filter ({n} > {least}), 0) as int), {_NOW[k]}) as o_{k}" for k, s, n, least, p in (
-        ("rec_val", "validation_score", "validation_count", 0, 0.5), ("trust_val", "validation_score", "validation_count", 0, 0.75), ("rec_prod", "production_score", "production_runs", 0, 0.5), ("trust_prod", "production_score", "production_runs", 0, 0.75),
-        ("sup_val", "validation_score", "validation_count", 0, 0.25), ("sup_prod", "production_score", "production_runs", 0, 0.25), ("rec_act", "planner_activated", "planner_activated", -1, 0.5), ("trust_act", "planner_activated", "planner_activated", -1, 0.75),
-    )
-) + " from v_variants group by strategy"
+def _rank(score: str, tried: str | None, p: float) -> str:
+    values = f"list(greatest(0, {score}) order by greatest(0, {score}))" + (f" filter ({tried} > 0)" if tried else "")
+    return f"list_extract({values}, cast(round_even((len({values}) - 1) * {p}::double, 0) as int) + 1)"
+
+
+_SEEN = "select strategy, " + ", ".join(f"coalesce({_rank(*of)}, {_NOW[k]}) as o_{k}" for k, of in {**_RANKS, "trust_act": ("planner_activated + prompt_activated", None, 0.75)}.items())
+_SEEN += ", cast(round_even(median(greatest(0, planner_activated + prompt_activated)), 0) as int) as o_rec_act from v_variants group by strategy"
 _SHORT = {"rec_val": "r_val", "trust_val": "t_val", "rec_prod": "r_prod", "trust_prod": "t_prod", "sup_val": "s_val", "sup_prod": "s_prod", "rec_act": "r_act", "trust_act": "t_act"}
 _BLEND = "select strategy, " + ", ".join(f"greatest(0, {_NOW[k]} + cast(round_even(({s} - {_NOW[k]}) * 0.5::double, 0) as int)) as b_{k}" for k, s in _SHORT.items())
 query("s51_thresholds", "variants", sql="select strategy, " + ", ".join(f"{s} as new_{k}" for k, s in _SHORT.items()) + f" from ({_clamps('b_')} ({_BLEND} from ({_clamps('o_')} ({_SEEN}))))))")(thresholds)
@@ -262,8 +267,13 @@ query("t19_regions", "regions", sql="select region_id, row_number() over (partit
 query("x05_selected_or_drafted", "outcomes", sql="select plan_id, list_sort(list_distinct(list(variant_key) filter (selected or drafted))) as keys from v_outcomes where selected or drafted group by plan_id")(
     lambda o: o.where("selected or drafted").groupBy("plan_id").agg(F.collect_set(F.when(c("selected"), c("variant_key"))).alias("a"), F.collect_set(F.when(c("drafted"), c("variant_key"))).alias("b")).select("plan_id", F.array_sort(F.array_union("a", "b")).alias("keys"))
 )
-query("s61_strategy_floors", "variants", sql="select distinct strategy, unnest(['validation', 'production']) as kind, unnest(case strategy when 'overpass' then [60, 20] when 'hybrid' then [55, 15] else [50, 10] end) as floor from v_variants")(
-    lambda v: v.select("strategy").distinct().select("strategy", F.posexplode(F.array(F.lit("validation"), F.lit("production"))).alias("k", "kind"), F.when(c("strategy") == "overpass", F.array(F.lit(60), F.lit(20))).when(c("strategy") == "hybrid", F.array(F.lit(55), F.lit(15))).otherwise(F.array(F.lit(50), F.lit(10))).alias("f")).select("strategy", "kind", F.get("f", c("k")).alias("floor"))
+#: Names of the views' strategies among those that have floors; one of the five has no recipes here.
+_FULL_NAMES = {"overpass": "overpass_discovery_enrich", "hybrid": "hybrid_discovery", "google_maps": "browser_assisted_discovery", "directory": "directory_expansion"}
+query(
+    "s61_strategy_floors", "variants",
+    sql="select distinct strategy, unnest(['validation_score', 'validation_runs', 'production_score', 'production_runs']) as kind, unnest(case strategy when 'overpass' then [55, 1, 0, 0] when 'hybrid' then [58, 1, 5, 1] when 'google_maps' then [65, 1, 15, 1] else [60, 1, 10, 1] end) as floor from v_variants",
+)(
+    lambda v: v.select("strategy").distinct().select("strategy", F.explode(scores.activation_floors(F.coalesce(*[F.when(c("strategy") == k, n) for k, n in _FULL_NAMES.items()]))).alias("f")).select("strategy", "f.*")
 )
 
 # --- writes: U-04, U-14, U-19, U-23, U-24

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.functions.numbering import read_plan
+
 VIEWS = {
     "regions": """
 select n_nationkey as region_id, n_name as name, upper(substr(n_name, 1, 2)) as country_code, n_regionkey as parent_id, 4 as level, n_nationkey % 7 <> 0 as is_active from {nation}""",
@@ -63,6 +65,33 @@ select event_id as page_id, event_id % 97 as site_id, concat('https://site', cas
     "prompts": "select p_partkey as prompt_id, concat(case p_partkey % 6 when 0 then 'Rent a car in ' when 1 then 'Best nails & lashes in ' when 2 then 'Complete wellness experience - ' when 3 then 'Lawyers/real estate agencies of ' when 4 then 'ATV tours, scuba courses in ' else 'the local bakeries for ' end, p_type) as prompt from {part}",
 }
 
+#: Region codes of the dialled numbers' countries, by nation.
+DIALLED = ("DZ", "AR", "BR", "CA", "EG", "ET", "FR", "DE", "IN", "ID", "IR", "IQ", "JP", "JO", "KE", "MA", "MZ", "PE", "CN", "RO", "SA", "VN", "RU", "GB", "US")
+_PLAN = {c.region: c for c in read_plan()}
+_BY_NATION = lambda f: "case c_nationkey " + " ".join(f"when {n} then '{f(_PLAN[r])}'" for n, r in enumerate(DIALLED)) + " end"
+VIEWS |= {
+    "dialled": f"""
+select number_id, case when number_id % 17 = 0 then null else region end as region, case number_id % 11 when 0 then concat('+', code, ' ', national) when 1 then concat(trunk, substr(national, 1, 3), '-', substr(national, 4))
+  when 2 then concat(idd, ' ', code, ' ', national) when 3 then concat('+', code, ' (', trunk, ') ', national) when 4 then national when 5 then concat('Tel: ', trunk, national, ' ext 12') when 6 then concat('www.example.com/', national)
+  when 7 then concat('open 10:30 ', national) when 8 then concat(code, national) when 9 then concat('00', code, '.', national) else concat(trunk, '/', substr(national, 1, 2), ' ', substr(national, 3, 3)) end as dialled
+from (select c_custkey as number_id, {_BY_NATION(lambda c: c.region)} as region, {_BY_NATION(lambda c: c.code)} as code, {_BY_NATION(lambda c: c.idd)} as idd, {_BY_NATION(lambda c: c.trunk)} as trunk,
+  substr(concat(cast(2 + c_custkey % 7 as string), lpad(cast((c_custkey * 104729 + 7) % 10000000000 as string), 10, '3')), 1, cast({_BY_NATION(lambda c: c.most)} as int)) as national from {{customer}})""",
+    "company_events": """
+select case when l_orderkey % 3 = 0 then 0 else l_orderkey % 200 end as run_id, l_suppkey as company_id, l_orderkey * 8 + l_linenumber as seq, l_shipdate as at,
+  case (l_partkey + l_linenumber) % 7 when 0 then 'queue' when 1 then 'start' when 2 then 'finish' when 3 then 'retry' when 4 then 'requeue' when 5 then 'queue' else 'start' end as kind,
+  case when (l_partkey + l_linenumber) % 7 = 2 then case l_partkey % 3 when 0 then 'completed' when 1 then 'failed' else 'skipped' end end as status,
+  case when (l_partkey + l_linenumber) % 7 in (2, 4) and l_quantity > 25 then concat('error ', cast(l_partkey % 9 as string)) end as error from {lineitem}""",
+    "run_events": """
+select case when o_orderkey % 3 = 0 then 0 else o_orderkey % 200 end as run_id, o_orderkey * 8 as seq, o_orderdate as at, 'close' as kind, case o_orderstatus when 'F' then 'failed' else 'skipped' end as status,
+  'Closed with its run.' as error from {orders} where o_orderkey % 211 = 0""",
+    "lookups": """
+select event_id as lookup_id, case when event_id % 3 = 0 then 'hot@example.com' when event_id % 29 = 1 then null else concat('user', cast(user_id as string), '@example.com') end as email, ts as at,
+  event_type in ('signup', 'purchase') as stores, case event_type when 'signup' then 'valid' else 'risky' end as verdict, cast(floor(value) as int) as score, case when event_id % 2 = 0 then 6 * 3600 else 24 * 3600 end as ttl from {events}""",
+    "job_events": """
+select case when user_id % 3 = 0 then 'job-hot' else concat('job-', cast(user_id % 40 as string)) end as job_id, event_id as seq, case event_type when 'purchase' then 'start' when 'signup' then 'keyword' else 'result' end as kind,
+  case when event_type = 'purchase' then cast(user_id % 50 as bigint) end as n, concat('place ', cast(event_id as string)) as result from {events}""",
+}
+
 
 def tables_of(text: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", text)))
@@ -75,4 +104,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ctes(*names: str) -> str:
     """``with`` clause of views for the oracle."""
-    return "with " + ", ".join(f"v_{n} as ({VIEWS[n].format(**{t: t for t in tables_of(VIEWS[n])})})" for n in names) + " "
+    return "with recursive " + ", ".join(f"v_{n} as ({VIEWS[n].format(**{t: t for t in tables_of(VIEWS[n])})})" for n in names) + " "
