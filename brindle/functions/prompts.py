@@ -15,6 +15,46 @@ REPLACEMENTS = (
 STOP_WORDS = ("a", "an", "and", "best", "business", "businesses", "complete", "company", "companies", "experience", "for", "full", "in", "local", "of", "service", "services", "the", "with")
 
 
+# Fixed values.
+PLACES = ("thailand", "phuket", "chiang mai", "pattaya", "samui", "bangkok", "bali", "berlin", "paris")
+LANGUAGES = ((("thailand", "thai", "phuket", "chiang mai", "pattaya", "samui", "bangkok"), ("en", "th")), (("germany", "berlin", "munich"), ("en", "de")), (("france", "paris"), ("en", "fr")))
+BROWSER_WORDS = ("experience", "luxury", "sanctuary", "wellness", "activity")
+WEBSITE_WORDS = ("service", "agency", "firm", "clinic", "studio")
+REASONS = {
+    "browser": "Prompt hints that richer browser-assisted discovery may pay off.", "website": "Prompt leans toward businesses that are better differentiated on their own websites.",
+    "hybrid": "Hybrid discovery keeps both map signals and website verification in play.",
+}
+
+
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
+
+
+def location_hint(text: Column) -> Column:
+    """What follows the last ``in`` up to the end, else the first known place in the text."""
+    tail = F.btrim(F.regexp_extract(text, r"\bin ([a-z][a-z\s-]+)$", 1))
+    return F.coalesce(F.when(tail != "", tail), *[F.when(text.contains(p), p) for p in PLACES])
+
+
+def language_hints(text: Column) -> Column:
+    out = None
+    for words, langs in LANGUAGES:
+        out = (F.when if out is None else out.when)(has_any(text, words), F.array(*[F.lit(x) for x in langs]))
+    return out.otherwise(F.array(F.lit("en")))
+
+
+def bonus(strategy: Column, browsing: Column, own_site: Column) -> Column:
+    """Points of a strategy; the flags say whether the prompt holds a word that speaks for browsing or for the firm's own site."""
+    return F.when(strategy == "browser", F.when(browsing, 4).otherwise(1)).when(strategy == "website", F.when(own_site, 3).otherwise(1)).when(strategy == "hybrid", 2).otherwise(0)
+
+
+def strategy_bonus(strategy: Column, text: Column) -> Column:
+    return bonus(strategy, has_any(text, BROWSER_WORDS), has_any(text, WEBSITE_WORDS))
+
+
 def normalize_prompt(prompt: Column) -> Column:
     """Lower case, plain words, ordered replacements (cascading, inside words too), no stop words, simple singulars."""
     t = F.lower(F.btrim(prompt))

@@ -6,43 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import outcomes, prompts, scores
+from brindle.functions.prompts import BROWSER_WORDS, LANGUAGES, PLACES, WEBSITE_WORDS, language_hints, location_hint, strategy_bonus
 from brindle.operators import companies as co
 from brindle.operators import ranking, runs, upserts
 from brindle.plans.catalog import _CANON, ORACLE_SQL, _website_key, cascade, query
 from brindle.plans.views import ctes
 
 c = F.col
-# Fixed values.
-PLACES = ("thailand", "phuket", "chiang mai", "pattaya", "samui", "bangkok", "bali", "berlin", "paris")
-LANGUAGES = ((("thailand", "thai", "phuket", "chiang mai", "pattaya", "samui", "bangkok"), ("en", "th")), (("germany", "berlin", "munich"), ("en", "de")), (("france", "paris"), ("en", "fr")))
-BROWSER_WORDS = ("experience", "luxury", "sanctuary", "wellness", "activity")
-WEBSITE_WORDS = ("service", "agency", "firm", "clinic", "studio")
-
-
-def has_any(text: Column, words: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | text.contains(w)
-    return out
-
-
-def location_hint(text: Column) -> Column:
-    """What follows the last ``in`` up to the end, else the first known place in the text."""
-    tail = F.btrim(F.regexp_extract(text, r"\bin ([a-z][a-z\s-]+)$", 1))
-    return F.coalesce(F.when(tail != "", tail), *[F.when(text.contains(p), p) for p in PLACES])
-
-
-def language_hints(text: Column) -> Column:
-    out = None
-    for words, langs in LANGUAGES:
-        out = (F.when if out is None else out.when)(has_any(text, words), F.array(*[F.lit(x) for x in langs]))
-    return out.otherwise(F.array(F.lit("en")))
-
-
-def strategy_bonus(strategy: Column, text: Column) -> Column:
-    return F.when(strategy == "browser", F.when(has_any(text, BROWSER_WORDS), 4).otherwise(1)).when(strategy == "website", F.when(has_any(text, WEBSITE_WORDS), 3).otherwise(1)).when(strategy == "hybrid", 2).otherwise(0)
-
-
 _CITY = "case prompt_id % 5 when 0 then ' in chiang mai' when 1 then ' bangkok studio' when 2 then ' berlin agency' when 3 then ' luxury paris' else ' tokyo' end"
 _HINT = "coalesce(nullif(trim(regexp_extract(t, '\\bin ([a-z][a-z\\s-]+)$', 1)), ''), case " + " ".join(f"when contains(t, '{p}') then '{p}'" for p in PLACES) + " end)"
 _LANG = "case " + " ".join("when " + " or ".join(f"contains(t, '{w}')" for w in ws) + f" then '{','.join(ls)}'" for ws, ls in LANGUAGES) + " else 'en' end"

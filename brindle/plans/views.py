@@ -92,6 +92,22 @@ select case when user_id % 3 = 0 then 'job-hot' else concat('job-', cast(user_id
   case when event_type = 'purchase' then cast(user_id % 50 as bigint) end as n, concat('place ', cast(event_id as string)) as result from {events}""",
 }
 
+_BRAND, _LAST = "replace(lower(p_brand), '#', '_')", "split_part(p_name, ' ', 2)"
+VIEWS |= {
+    "asks": """
+select l_orderkey * 8 + l_linenumber as prompt_id, case when l_orderkey % 97 = 0 then null when l_orderkey % 101 = 0 then ' the best, of & in ' else concat(case l_orderkey % 9 when 0 then 'Best ' when 1 then 'luxury ' when 2 then 'Wellness & ' when 3 then 'a full '
+  when 4 then 'Rent a car/' when 5 then 'other ' when 6 then 'service for ' else '' end, case when l_orderkey % 13 = 0 then 'zebra' else p_name end, case l_suppkey % 7 when 0 then 's ' else ' ' end, lower(p_type),
+  case l_linenumber % 6 when 0 then ' in Chiang Mai' when 1 then ' bangkok studio' when 2 then '-agency berlin' when 3 then ' activity' when 4 then ' platelets' else '' end) end as prompt from {lineitem} join {part} on l_partkey = p_partkey""",
+    "hints": f"""
+select distinct 'goods' as vertical, {_BRAND} as cluster, case length(p_brand) % 2 when 0 then p_name else concat({_LAST}, 's') end as alias from {{part}} where (length(p_name) * 7 + cast(split_part(p_brand, '#', 2) as int)) % 5 = 0
+union all select distinct 'fleet', {_BRAND}, 'car hire' from {{part}} where p_brand like '%4' union all select distinct 'fleet', {_BRAND}, 'rent a car' from {{part}} where p_brand like '%4'""",
+    "templates": f"""
+select {_BRAND} as cluster, replace(p_name, ' ', '-') as template_key, concat('Shop of ', p_name) as label, 'goods' as vertical, case max(p_size) % 3 when 0 then replace(p_name, ' ', '-') when 1 then {_LAST} else 'other' end as sub_intent,
+  case sum(p_partkey) % 4 when 0 then 'browser' when 1 then 'website' when 2 then 'hybrid' else 'map' end as strategy, cast(40 + max(p_size) % 20 as int) as priority,
+  split(concat(p_name, ',', {_LAST}, 's,', min(lower(p_type)), ',lat,,', {_LAST}, ' ', split_part(p_name, ' ', 1)), ',') as aliases, split(concat(p_name, ',buy ', p_name, ',', {_LAST}, ',', p_name, ',', min(lower(p_type))), ',') as search_terms,
+  split(concat('contact,', {_LAST}, ',contact'), ',') as website_keywords, case when max(p_size) % 5 = 0 then split('en,es,en', ',') end as language_hints from {{part}} where p_brand not like '%5' group by p_brand, p_name""",
+}
+
 
 def tables_of(text: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", text)))

@@ -1,0 +1,66 @@
+"""Drafts of prompts: hand-worked scores, all pairs against the index, and odd rows."""
+
+import random
+
+from brindle.operators import drafts
+
+TEMPLATES = "template_key string, label string, vertical string, cluster string, sub_intent string, strategy string, aliases array<string>, search_terms array<string>, website_keywords array<string>, language_hints array<string>, priority int"
+ROWS = [
+    ("nail-salon", "Nail Salon", "beauty", "beauty", "nails", "map", ["nail", "manicure"], ["nail salon", "manicure"], ["nail"], None, 60),
+    ("spa", "Spa", "beauty", "beauty", "spa", "browser", ["spa", "massage"], ["spa"], [], ["en", "th", "en"], 62),
+    ("clinic", "Clinic", "beauty", "beauty", "skin-clinic", "website", ["skin clinic"], ["a", "b", "c", "d"], ["a"], [], 50),
+]
+HINTS = [("beauty", "beauty", "nail"), ("beauty", "beauty", "spa"), ("vehicle", "rentals", "car rental"), ("vehicle", "rentals", "car hire"), ("vehicle", "rentals", "rent a car"), (None, "none", None)]
+
+
+def held(texts, phrases):
+    inside = lambda t, p: p in t or set(p.split()) <= set(t.split())
+    found = {t: sorted({p for p in phrases if p and inside(t, p)}) for t in texts if t}
+    return {t: p for t, p in found.items() if p}
+
+
+def test_index_equals_all_pairs(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 7)))
+    texts = [" ".join(word() for _ in range(rng.randint(1, 6))) for _ in range(400)] + ["", None, "hot hot hot"] * 2 + ["spa " * 30_000 + "end"]
+    texts = [t.strip() if t else t for t in texts]
+    phrases = [" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(300)] + ["", None, "hot", "hot hot", "end spa", "pa s", "zz"] * 2
+    got = drafts.match_phrases(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(p,) for p in phrases], "phrase string"))
+    assert {r.text: r.phrases for r in got.collect()} == held(texts, phrases)
+    assert drafts.match_phrases(spark.createDataFrame([], "text string"), spark.createDataFrame([("a",)], "phrase string")).count() == 0
+    assert drafts.match_phrases(spark.createDataFrame([("a",)], "text string"), spark.createDataFrame([], "phrase string")).count() == 0
+
+
+def run(spark, asks, k=6, templates=ROWS):
+    rows = drafts.draft_variants(spark.createDataFrame(asks, "prompt_id long, prompt string, cluster string"), spark.createDataFrame(HINTS, "vertical string, cluster string, alias string"), spark.createDataFrame(templates, TEMPLATES), k)
+    return sorted(rows.collect(), key=lambda r: (r.prompt_id, r.rank))
+
+
+def test_scores_by_hand(spark):
+    rows = run(spark, [(1, "Luxury Wellness & manicures, Phuket", "x"), (2, "Rent a car", None), (3, "zebra", None), (4, "", None), (5, None, None), (6, " of THE best ", None), (7, "zebra", None), (7, "zebra", None)])
+    first = [r for r in rows if r.prompt_id == 1]
+    # "luxury spa nail phuket": spa 62 + 10 + 6 + 5 + 4; nail salon 60 + 20 (both aliases read "nail") + 6 + 5; clinic 50 + 5 + 1
+    assert [(r.template_key, r.template_score, r.match_score, r.fit_score) for r in first] == [("nail-salon", 60, 31, 91), ("spa", 62, 25, 87), ("clinic", 50, 6, 56)]
+    assert first[0].cluster_score == 204 and first[0].slug == "nail-salon-phuket" and first[0].language_hints == ["en", "th"] and first[1].language_hints == ["en", "th"]
+    assert first[0].search_terms == ["nail salon phuket", "manicure phuket", "nail salon", "manicure"] and first[0].website_keywords == ["nail", "nail salon phuket", "manicure phuket", "nail salon", "manicure"]
+    assert first[0].fit_reasons == ["Prompt directly references the 'nails' sub-intent.", "Matches intent terms: nail, manicure.", "Localized search terms for phuket."]
+    assert first[1].fit_reasons[-1].startswith("Prompt hints") and first[2].fit_reasons == ["Added as a closely related variant inside the selected cluster.", "Localized search terms for phuket."]
+    assert first[2].search_terms == ["a phuket", "b phuket", "c phuket", "a", "b", "c", "d"]
+    broad = {r.prompt_id: r for r in rows if r.prompt_id != 1}
+    # all three aliases of "rentals" read "car rental": 3 * 100 + 10
+    assert set(broad) == {2, 3, 7} and (broad[2].cluster, broad[2].cluster_score, broad[2].label, broad[2].slug, broad[2].fit_score) == ("rentals", 310, "Car Rental", "car-rental", 50)
+    assert (broad[3].vertical, broad[3].cluster, broad[3].cluster_score, broad[3].sub_intent) == ("tourism", "tour_operators", 0, "broad-intent")
+    assert sum(r.prompt_id == 7 for r in rows) == 2
+
+
+def test_few_best_of_a_large_cluster(spark):
+    many = [(f"t{i:03}", f"T {i % 7}", "beauty", "beauty", f"kind-{i % 5}", ("browser", "website", "hybrid", "map")[i % 4], [f"w{i % 9}x"], [], [], None, 40 + i % 11) for i in range(300)]
+    asks = [(i, f"spa w{i % 12}x {w}", None) for i, w in enumerate(["luxury", "studio", "", "luxury studio"] * 6)]
+    full = run(spark, asks, 1000, many)
+    assert len(full) == 300 * len(asks)
+    assert [r for r in run(spark, asks, 3, many)] == [r for r in full if r.rank <= 3]
+
+
+def test_no_templates(spark):
+    assert [r.sub_intent for r in run(spark, [(1, "spa", None)], templates=[])] == ["broad-intent"]
+    assert run(spark, []) == []
