@@ -107,6 +107,17 @@ select {_BRAND} as cluster, replace(p_name, ' ', '-') as template_key, concat('S
   split(concat(p_name, ',', {_LAST}, 's,', min(lower(p_type)), ',lat,,', {_LAST}, ' ', split_part(p_name, ' ', 1)), ',') as aliases, split(concat(p_name, ',buy ', p_name, ',', {_LAST}, ',', p_name, ',', min(lower(p_type))), ',') as search_terms,
   split(concat('contact,', {_LAST}, ',contact'), ',') as website_keywords, case when max(p_size) % 5 = 0 then split('en,es,en', ',') end as language_hints from {{part}} where p_brand not like '%5' group by p_brand, p_name""",
 }
+VIEWS |= {
+    "plan_requests": """
+select event_id as request_id, timestamp '2024-01-01 00:00:00' + (event_id * 7 % 86400) * interval '1' second as at, case when event_id % 3 = 0 then 'Small ring shop' when event_id % 53 = 1 then null when event_id % 59 = 1 then 'the &' when event_id % 61 = 1 then '  ' else concat(
+  case user_id % 5 when 0 then 'Best ' when 1 then 'luxury ' when 2 then 'rent a car ' else '' end, case user_id % 8 when 0 then 'small' when 1 then 'red' when 2 then 'blue' when 3 then 'hot' when 4 then 'old' when 5 then 'large' when 6 then 'cold' else 'new' end, ' ',
+  case event_id % 8 when 0 then 'ring' when 1 then 'widget' when 2 then 'bolts' when 3 then 'gear' when 4 then 'gizmo' when 5 then 'plate' when 6 then 'anvil' else 'zebra' end, case when event_id % 4 = 1 then ' in Phuket' else '' end) end as prompt,
+  case event_id % 7 when 0 then 'openai' when 1 then ' OpenAI ' when 2 then '' when 3 then null when 4 then 'claude' when 5 then 'heuristic' else 'openai' end as provider,
+  case user_id % 10 when 0 then null when 1 then '{{"cluster_choice": ' when 2 then '[1, 2]' when 3 then '{{"cluster_choice": {{"vertical": "goods", "cluster_slug": 7}}, "variants": []}}' when 4 then '{{"cluster_choice": {{"vertical": "goods", "cluster_slug": "brand_2"}}, "variants": [{{"label": "x"}}, {{"variant_key": "k", "source_strategy": "by_foot"}}]}}'
+    when 5 then concat('{{"cluster_choice": {{"vertical": "goods", "cluster_slug": " brand_3 "}}, "default_variant_key": "b", "extra": [], "variants": [{{"variant_key": "a", "label": "A", "source_strategy": "WEBSITE_FIRST", "fit_score": ', cast(event_id % 300 - 50 as string), '}}, {{"variant_key": "b", "source_strategy": "hybrid_discovery", "template_score": "41", "prompt_match_score": 12.9}}]}}')
+    else '{{"cluster_choice": {{"vertical": "goods", "cluster_slug": "brand_4"}}, "default_variant_key": "gone", "variants": [{{"template_key": "big-shop", "source_strategy": "overpass_discovery_enrich", "fit_score": true}}, {{"variant_key": "big-shop", "source_strategy": "website_first"}}, {{"variant_key": "c", "source_strategy": "directory_expansion", "fit_score": "88"}}]}}' end as answer
+from {events}""",
+}
 
 
 def tables_of(text: str) -> list[str]:
