@@ -1,8 +1,15 @@
-"""Drafts of prompts: hand-worked scores, all pairs against the index, and odd rows."""
+"""Drafts and plans of prompts: hand-worked cases, all pairs against the index, a day in batches, and odd rows."""
 
 import random
+from datetime import datetime
 
-from brindle.operators import drafts
+import pytest
+from pyspark.sql import functions as F
+
+from brindle.functions import answers
+from brindle.operators import drafts, planner
+from brindle.operators.tables import KeyedTable
+from brindle.storage import materialize
 
 TEMPLATES = "template_key string, label string, vertical string, cluster string, sub_intent string, strategy string, aliases array<string>, search_terms array<string>, website_keywords array<string>, language_hints array<string>, priority int"
 ROWS = [
@@ -64,3 +71,71 @@ def test_few_best_of_a_large_cluster(spark):
 def test_no_templates(spark):
     assert [r.sub_intent for r in run(spark, [(1, "spa", None)], templates=[])] == ["broad-intent"]
     assert run(spark, []) == []
+
+
+REQUEST = "request_id long, at timestamp, prompt string, provider string, answer string"
+GOOD = '{"cluster_choice": {"vertical": "beauty", "cluster_slug": "beauty"}, "default_variant_key": "b", "variants": [{"variant_key": "a", "source_strategy": "website_first", "fit_score": 70}, {"variant_key": "b", "label": "B", "source_strategy": "hybrid_discovery", "fit_score": "140"}]}'
+
+
+def plan(spark, rows, plans=None, cap=0, **more):
+    asks = spark.createDataFrame([(i, m and datetime(2024, 1, 1, *m), *x) for i, m, *x in rows], REQUEST)
+    plans = spark.createDataFrame([], planner.PLANS) if plans is None else plans
+    return planner.plan_prompts(asks, plans, spark.createDataFrame(HINTS, "vertical string, cluster string, alias string"), spark.createDataFrame(ROWS, TEMPLATES), cap, **more)
+
+
+def test_answers_by_field(spark):
+    v = '"variants": [%s]}'
+    head = '{"cluster_choice": {"vertical": "x", "cluster_slug": "y"}, '
+    one = '{"variant_key": "k", "source_strategy": "website_first"}'
+    cases = {
+        None: "no answer", "  ": "no answer", "{": "not JSON", "[]": "not JSON", '"text"': "not JSON", "null": "not JSON", "{}": "no cluster", '{"cluster_choice": "y", ' + v % one: "no cluster", '{"cluster_choice": {"vertical": "x", "cluster_slug": 5}, ' + v % one: "no cluster",
+        head + '"variants": {}}': "no variant", head + v % "": "no variant", head + v % '7, null, [], {"variant_key": "k"}, {"source_strategy": "website_first"}, {"variant_key": "k", "source_strategy": "walk"}': "no variant",
+    }
+    good = head + '"default_variant_key": " b ", "surplus": {"a": [1]}, ' + v % ", ".join([
+        '{"template_key": "first-shop", "source_strategy": "Website_First", "template_score": "41", "prompt_match_score": 12.9}', '{"variant_key": "b", "label": " B ", "source_strategy": "hybrid_discovery", "fit_score": -3}',
+        '{"variant_key": "b", "source_strategy": "website_first"}', '{"variant_key": "c", "source_strategy": "directory_expansion", "fit_score": true}', '{"variant_key": "d", "source_strategy": "website_first", "fit_score": 1e9, "other": 1}', '"x"'])
+    rows = spark.createDataFrame([(k,) for k in [*cases, good]], "raw string").select("raw", answers.read_answer(F.col("raw")).alias("x")).collect()
+    assert {r.raw: r.x.error for r in rows} == {**cases, good: None}
+    x = next(r.x for r in rows if r.raw == good)
+    assert [tuple(w) for w in x.variants] == [("first-shop", "First Shop", "website", 53), ("b", "B", "hybrid", 0), ("c", "C", "directory", 50), ("d", "D", "website", 100)]
+    assert (x.dropped, x.default_key, x.cluster, x.vertical) == (2, "b", "y", "x")
+
+
+def test_a_day_by_hand(spark):
+    rows = [
+        (1, (9, 0), "spa", "OpenAI ", GOOD), (2, (9, 1), "The SPA!", "openai", None), (3, (9, 2), "nail", "openai", "broken"), (4, (9, 3), "zebra", "claude", GOOD), (5, (9, 4), "", None, None), (6, (9, 5), "of the", None, None),
+        (7, (9, 5), "massage", "openai", GOOD), (8, (9, 6), "of", "openai", None), (9, (9, 7), "nail", "openai", GOOD), (10, None, "spa", "openai", GOOD), (11, (9, 4), None, "openai", GOOD), (12, (8, 0), "spa", "openai", None),
+    ]
+    got = {r.request_id: r for r in planner.selected(plan(spark, rows, cap=2)).collect()}
+    assert len(got) == 12
+    # "spa" is first asked at 8:00 without an answer: drafts stand in, and the later answers are not asked for
+    assert (got[12].status, got[12].provider, got[12].fallback_reason, got[12].selected.variant_key) == ("planned", "heuristic", "OpenAI planner fallback: no answer", "spa")
+    assert [(got[i].status, got[i].provider, got[i].default_key) for i in (1, 2)] == [("hit", "heuristic", "spa")] * 2
+    assert (got[3].status, got[3].fallback_reason, got[9].status, got[9].default_key) == ("planned", "OpenAI planner fallback: not JSON", "hit", "nail-salon")
+    assert (got[4].status, got[4].used_fallback, got[4].cluster, got[4].model) == ("planned", True, "tour_operators", "heuristic-v1") and "'claude'" in got[4].fallback_reason
+    assert [got[i].error for i in (5, 11, 10, 6, 7, 8)] == ["Prompt is required."] * 2 + ["Time is required.", "Prompt cannot be empty."] + ["Recipe planner daily quota reached."] * 2
+    # without a cap only the calls that cannot be answered fail
+    free = {r.request_id: r for r in planner.selected(plan(spark, rows)).collect()}
+    assert (free[7].status, free[7].selected.variant_key, free[7].selected.fit_score, free[8].error) == ("planned", "b", 100, "Prompt cannot be empty.")
+
+
+def test_batches_equal_the_whole_day(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, (rng.randint(0, 23), rng.randint(0, 59)), rng.choice(["spa", "nail", "of", "", "car hire", "rent a car", f"zebra {rng.randint(0, 9)}"]), rng.choice(["openai", None, "claude"]), rng.choice([None, GOOD, "x"])) for i in range(300)]
+    names = ["request_id", "status", "error", "default_key", "fallback_reason"]
+    whole = sorted(map(str, plan(spark, rows, cap=5).select(names).collect()))
+    table = KeyedTable(spark, f"file://{tmp_path}/plans", planner.PLANS, ["cache_key", "created_at"])
+    parts = []
+    for b in range(3):
+        out = materialize(plan(spark, [r for r in rows if r[1][0] // 8 == b], table.read(), cap=5))
+        for _ in range(2):  # a batch that is written twice changes nothing
+            table.insert(planner.made_plans(out), [F.col("request_id")], writer="planner", batch=b)
+        parts += map(str, out.select(names).collect())
+    assert sorted(parts) == whole
+    made = table.read()
+    assert made.groupBy("requested").count().where("count > 5").count() == 0
+    old = made.limit(1).withColumn("created_at", F.lit(datetime(2023, 12, 30))).withColumn("expires_at", F.lit(datetime(2024, 1, 1, 0, 0)))
+    assert plan(spark, rows[:40], old, cap=0).where("status = 'hit' and expires_at <= at").count() == 0
+    assert plan(spark, [], made).count() == 0
+    with pytest.raises(ValueError):
+        plan(spark, rows, hours=2)
