@@ -1,4 +1,4 @@
-"""Columns out of HTML, by regular expressions in the JVM. Script, style and comments go before tags are read."""
+"""Columns out of HTML that a pattern can read, in the JVM; `markup` reads whole pages."""
 
 from __future__ import annotations
 
@@ -22,25 +22,11 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def strip_blocks(html: Column) -> Column:
-    """HTML without script, style, noscript and template elements and comments."""
-    return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", " "), r"(?s)<!--.*?-->", " ")
-
-
-def visible_text(html: Column) -> Column:
-    return F.btrim(F.regexp_replace(unescape(F.regexp_replace(strip_blocks(html), r"(?s)<[^>]*>", " ")), r"\s+", " "))
-
-
 def title(html: Column) -> Column:
     found = F.btrim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
     return F.when(found != "", found)
 
 
-def links(html: Column) -> Column:
-    """href of every anchor outside script and comments, in order."""
-    return F.regexp_extract_all(strip_blocks(html), F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), 1)
-
-
 def assets(html: Column) -> Column:
     """src of scripts and href of stylesheet links."""
     return F.concat(
@@ -49,28 +35,6 @@ def assets(html: Column) -> Column:
     )
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']([^"']*)["']""", 1)
-
-
-def forms(html: Column) -> Column:
-    """Array of forms: action, method (default get), captcha flag and named fields."""
-
-    def one(form: Column) -> Column:
-        opening = F.regexp_extract(form, r"(?is)^(<form\b[^>]*>)", 1)
-        method = F.lower(_attribute(opening, "method"))
-        captcha = F.lit(False)
-        for hint in CAPTCHA_HINTS:
-            captcha = captcha | F.lower(form).contains(hint)
-        fields = F.transform(
-            F.regexp_extract_all(form, F.lit(r"(?is)(<(?:input|textarea|select)\b[^>]*>)"), 1),
-            lambda t: F.struct(_attribute(t, "name").alias("name"), F.lower(_attribute(t, "type")).alias("type"), _attribute(t, "placeholder").alias("placeholder"), t.rlike(r"(?is)\brequired\b").alias("required"), _attribute(t, "value").alias("value")),
-        )
-        return F.struct(_attribute(opening, "action").alias("action_url"), F.when(method == "", F.lit("get")).otherwise(method).alias("method"), captcha.alias("has_captcha"), F.filter(fields, lambda f: f["name"] != "").alias("fields"))
-
-    return F.transform(F.regexp_extract_all(html, F.lit(r"(?is)(<form\b.*?</form\s*>)"), 1), one)
-
-
 def json_ld_blocks(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"""), 1)
 

@@ -52,17 +52,36 @@ def resolved_page_key(url: Column) -> Column:
     return F.concat(netloc(url), F.lit("|"), F.when(p == "", F.lit("/")).otherwise(p))
 
 
+def _merged_path(base_path: Column, href_path: Column) -> Column:
+    """A relative path after the base's folder, without empty segments inside; a rooted path as it is. Then a fold over its segments:
+    ``.`` adds nothing, ``..`` takes the last one (the root's too), and either at the end leaves a slash."""
+    folder = F.regexp_replace(base_path, "[^/]*$", "")
+    joined = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), href_path)
+    path_ = F.when(href_path.startswith("/"), href_path).otherwise(F.regexp_replace(joined, "/{2,}", "/"))
+    segments = F.split(path_, "/")
+    up = lambda acc: F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
+    kept = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), F.array(F.lit("")), lambda acc, s: F.when(s == ".", acc).when(s == "..", up(acc)).otherwise(F.concat(acc, F.array(s))))
+    tail = F.when(F.element_at(segments, -1).isin(".", ".."), F.lit("/")).otherwise("")
+    out = F.concat(F.array_join(kept, "/"), tail)
+    return F.when(~path_.rlike(r"(^|/)\.\.?(/|$)"), path_).when(out.startswith("/"), out).otherwise(F.concat(F.lit("/"), out))
+
+
 def absolute_url(base: Column, href: Column) -> Column:
-    """A link resolved against its page for absolute, scheme-relative, root-relative, query and same-folder links."""
+    """A link resolved against its page: other schemes and hosts as they are; else path (with dot segments removed), query and fragment
+    by RFC 3986. A link with the page's own scheme but no host is relative. Spaces before it and line ends in it go; null stays null."""
+    href = F.regexp_replace(href, r"^[\x00-\x20]+|[\t\r\n]", "")
+    scheme = F.lower(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    own = F.lower(F.regexp_extract(href, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(path(base), "[^/]*$", "")
+    rest = F.when(own != "", F.substring(href, F.length(own) + 2, F.length(href))).otherwise(href)
+    p, q, f = F.regexp_extract(rest, r"^([^?#]*)", 1), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1), F.regexp_extract(rest, r"(#.*)$", 1)
+    base_query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
     return (
-        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when(href.startswith("?"), F.concat(root, path(base), href))
-        .when(href.startswith("#") | (href == ""), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), href))
+        F.when((own != "") & ((own != scheme) | rest.startswith("//")), href)
+        .when(rest.startswith("//"), F.concat(scheme, F.lit(":"), rest))
+        .when(rest == "", base)
+        .when(p == "", F.concat(root, path(base), F.when(q == "", base_query).otherwise(q), f))
+        .otherwise(F.concat(root, _merged_path(path(base), p), q, f))
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions import contacts, html, prompts, scores, urls
+from brindle.functions import contacts, html, markup, prompts, scores, urls
 from brindle.operators import companies as co
 from brindle.operators import ranking, requests, runs, upserts
 from brindle.plans.views import ctes, view
@@ -70,8 +70,8 @@ def made_form(n: Column) -> Column:
 
 def contact_forms(p: DataFrame) -> DataFrame:
     """A row for each form: its action, method, captcha flag, names of its fields and whether the first is required."""
-    rows = p.select("page_id", F.explode(html.forms(c("html"))).alias("form"))
-    return rows.select("page_id", "form.action_url", "form.method", "form.has_captcha", F.array_join(c("form.fields.name"), ",").alias("fields"), F.element_at("form.fields", 1)["required"].alias("required"))
+    rows = p.select("page_id", F.explode(markup.page_parts(c("html"))["forms"]).alias("form"))
+    return rows.select("page_id", c("form.action").alias("action_url"), "form.method", "form.has_captcha", F.array_join(c("form.fields.name"), ",").alias("fields"), F.element_at("form.fields", 1)["required"].alias("required"))
 
 
 _SUMMARY = "count(*) as n, cast(round_even(avg(duration_ms), 0) as int) as mean_ms, max(duration_ms) as max_ms, count(error) as errors"
@@ -118,9 +118,17 @@ query("s02_host_keys", "requests", sql=f"select id, {_host_key('url')} as host f
 table_query(
     "s09_titles", "pages", sql=r"select page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') as title from pages"
 )(lambda p: p.select("page_id", html.title(c("html")).alias("title")))
-table_query("s10_links", "pages")(lambda p: p.select("page_id", "url", F.posexplode(html.links(c("html"))).alias("pos", "href")).select("page_id", "pos", "href", urls.absolute_url(c("url"), c("href")).alias("target"), urls.is_contact_path(c("href")).alias("is_contact"), urls.is_social_or_chat(c("href")).alias("is_social")))
-table_query("s08_visible_text", "pages")(lambda p: p.withColumn("text", html.visible_text(c("html"))).select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"), html.script_shell(c("html"), F.length("text")).alias("is_shell")))
-table_query("s13_forms", "pages")(lambda p: p.select("page_id", F.explode(html.forms(c("html"))).alias("form")).select("page_id", "form.*"))
+
+
+def page_links(p: DataFrame) -> DataFrame:
+    """Anchors of each page in order, resolved against it."""
+    anchors = p.select("page_id", "url", F.posexplode(markup.page_parts(c("html"))["links"]).alias("pos", "a")).select("*", c("a.href").alias("href"))
+    return anchors.select("page_id", "pos", "href", urls.absolute_url(c("url"), c("href")).alias("target"), urls.is_contact_path(c("href")).alias("is_contact"), urls.is_social_or_chat(c("href")).alias("is_social"))
+
+
+table_query("s10_links", "pages")(page_links)
+table_query("s08_visible_text", "pages")(lambda p: p.select("page_id", "html", markup.page_parts(c("html"))["text"].alias("text")).select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"), html.script_shell(c("html"), F.length("text")).alias("is_shell")))
+table_query("s13_forms", "pages")(lambda p: p.select("page_id", F.explode(markup.page_parts(c("html"))["forms"]).alias("form")).select("page_id", "form.*"))
 query(
     "s13_contact_forms", "crawled",
     sql="""select page_id, case when page_id % 3 = 0 then '' else '/send' || page_id % 5 end as action_url, case when page_id % 2 = 0 then 'post' else 'get' end as method, page_id % 4 = 0 as has_captcha,

@@ -119,6 +119,22 @@ select event_id as request_id, timestamp '2024-01-01 00:00:00' + (event_id * 7 %
 from {events}""",
 }
 
+#: Pages with what trips up patterns: a ">" in quotes, comments, raw text, entities, unquoted and upper-case names, links up and down.
+VIEWS |= {
+    "shop_pages": """
+select event_id as page_id, concat('https://www.site', cast(event_id % 97 as string), '.example.com/a/b/p', cast(event_id as string), '?ref=1') as url,
+  case event_id % 12 when 0 then '../x' when 1 then './y/' when 2 then '../../../z?q=../1' when 3 then 'c/./d/../e' when 4 then '/r/../s/..' when 5 then '//other.example.org/../k' when 6 then '?p=2' when 7 then '#top' when 8 then 'https:deep/../flat' when 9 then 'mailto:a@b.example.org' when 10 then '..' else 'contact/.' end as href,
+  concat('<!doctype html><TITLE> Shop &amp; ', cast(event_id % 50 as string), ' </TITLE><!-- <a href="/no">no@no.example.org</a> > --><script src="', case event_id % 5 when 0 then '/static/app.js?v=1' when 1 then 'lib/../main.mjs' when 2 then 'https://cdn.example.net/x.js'
+    when 3 then concat('https://Site', cast(event_id % 97 as string), '.example.com/S.JS') else '/favicon.ico' end, '">var t = "<a href=no>";</script><script SRC=/static/b', cast(event_id % 3 as string), '.js></script><link rel="stylesheet" href="/theme.css"><link rel="icon" href="/i.css"><p title="a > b">Caf&eacute; &lt;',
+    cast(event_id % 9 as string), '&gt; &#x41;</p><script src="/static/c.js" defer></script><noscript><a href="/hidden">x</a></noscript><a class=go title="3 > 2" href="', case event_id % 12 when 0 then '../x' when 1 then './y/' when 2 then '../../../z?q=../1' when 3 then 'c/./d/../e' when 4 then '/r/../s/..'
+    when 5 then '//other.example.org/../k' when 6 then '?p=2' when 7 then '#top' when 8 then 'https:deep/../flat' when 9 then 'mailto:a@b.example.org' when 10 then '..' else 'contact/.' end, '">Go&nbsp;', cast(event_id % 5 as string), '</a><script src="/static/c.js"></script><a href="mailto:Owner', cast(event_id % 11 as string),
+    '&#64;shop.example.com">m</a>', case when event_id % 4 = 0 then '<script src="/static/d.js"></script>' else '' end, case when event_id % 6 = 0 then '<a href="/unfinished' else '' end) as html from {events}""",
+    "asset_fetches": """
+select concat('https://www.site', cast(user_id % 97 as string), '.example.com', case event_id % 7 when 0 then '/static/app.js?v=1' when 1 then '/a/b/main.mjs' when 2 then '/static/b1.js' when 3 then '/static/c.js' when 4 then '/static/d.js' when 5 then '/theme.css' else '/static/b2.js' end) as asset_url,
+  timestamp '2024-01-01 00:00:00' + event_id * interval '1' second as fetched_at, cast(case user_id % 9 when 0 then 404 when 1 then null else 200 end as int) as status_code, case event_id % 8 when 0 then 'image/png' when 1 then null when 2 then 'Text/CSS' else 'application/javascript; charset=utf-8' end as content_type,
+  concat('var owner="Info', cast(event_id % 20 as string), '&#64;Site', cast(user_id % 97 as string), '.example.com"; // x', cast(event_id % 3 as string), '@gmail.com, other@else.org, test@gmail.com') as body from {events}""",
+}
+
 
 def tables_of(text: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", text)))

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from brindle.plans import catalog, decisions, extra, merges, more, planning, recorded  # noqa: F401
+from brindle.plans import catalog, decisions, extra, markups, merges, more, planning, recorded  # noqa: F401
 from brindle.plans.views import VIEWS, view
 
 

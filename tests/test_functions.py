@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.functions import contacts, html, prompts, scores, urls
+from brindle.functions import contacts, html, markup, prompts, scores, urls
 
 
 def one(spark, expr, value, kind="string"):
@@ -26,10 +26,11 @@ PAGE = """<html><head><title> A &amp; B </title><script>var t="</p><a href='no'>
 
 
 def test_html(spark):
-    assert one(spark, html.links, PAGE) == ["/contact", "mailto:Me@A.com"]
-    assert one(spark, html.visible_text, PAGE).endswith("Call\xa0us c m") and "var t" not in one(spark, html.visible_text, PAGE)
-    form = one(spark, html.forms, PAGE)[0]
-    assert (form.action_url, form.method, form.has_captcha, [(f.name, f.type, f.required) for f in form.fields]) == ("/send", "get", True, [("email", "email", True), ("msg", "", False)])
+    page = one(spark, markup.page_parts, PAGE)
+    assert [a.href for a in page.links] == ["/contact", "mailto:Me@A.com"] and page.title == "A & B"
+    assert page.text == "A & B Call\xa0us c m" and one(spark, html.title, PAGE) == "A &amp; B"
+    form = page.forms[0]
+    assert (form.action, form.method, form.has_captcha, [(f.name, f.type, f.required) for f in form.fields]) == ("/send", "get", True, [("email", "email", True), ("msg", "textarea", False)])
     assert one(spark, html.decode_protected_email, "2a4b6a48") == "a@b" and one(spark, html.decode_protected_email, "zz") is None
     ld = '<script type="application/ld+json">{"a": {"email": "x@y.org"}, "list": [{"telephone": "+1 2"}]}</script>'
     block = one(spark, lambda h: html.json_ld_blocks(h)[0], ld)
