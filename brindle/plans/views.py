@@ -135,6 +135,20 @@ select concat('https://www.site', cast(user_id % 97 as string), '.example.com',
   concat('var owner="Info', cast(event_id % 20 as string), '&#64;Site', cast(user_id % 97 as string), '.example.com"; // x', cast(event_id % 3 as string), '@gmail.com, other@else.org, test@gmail.com') as body from {events}""",
 }
 
+#: Subdivisions in chains of up to 16, with parents that are unknown, themselves, or each other; and addresses with one fault or strange name each.
+VIEWS |= {
+    "divisions": """
+select concat(n_cc, '-', cast(q as string)) as code, concat('Area ', cast(q as string)) as name, n_cc as country_code,
+  case when q % 16 = 0 then null when q % 40 = 11 then concat(n_cc, '-lost') when q % 40 = 13 then concat(n_cc, '-', cast(q as string)) when q % 40 = 7 then concat(n_cc, '-', cast(q + 1 as string)) when q % 5 = 2 then '' else concat(n_cc, '-', cast(q - 1 as string)) end as parent_code
+from (select o_custkey, upper(substr(n_name, 1, 2)) as n_cc, cast(floor(o_orderkey / 25) as bigint) as q from {orders} join {nation} on o_orderkey % 25 = n_nationkey)""",
+    "countries": "select upper(substr(n_name, 1, 2)) as code, n_name as name from {nation} where n_nationkey <> 3",
+    "raw_addresses": """
+select c_custkey as email_id, case c_custkey % 29 when 0 then null when 1 then '   ' when 2 then 'no-at.example.com' when 3 then 'a@@b.org' when 4 then 'a b@c.org' when 5 then '.a@b.org' when 6 then 'a.@b.org' when 7 then 'a..b@c.org' when 8 then 'a(b@c.org' when 9 then 'a@[127.0.0.1]'
+  when 10 then 'a@.b.org' when 11 then 'a@b.org.' when 12 then 'a@b_c.org' when 13 then 'a@-b.org' when 14 then 'a@b-.org' when 15 then 'a@ab--c.org' when 16 then 'a@localhost' when 17 then 'a@b.123' when 18 then 'a@shop.test' when 19 then concat(lpad('', 65, 'a'), '@b.org')
+  when 20 then concat('a@', lpad('', 64, 'b'), '.org') when 21 then concat(' Info', cast(c_custkey as string), '@BÜCHER.Example ') when 22 then 'Ünal@xn--bcher-kva.example' when 23 then 'a@例え。テスト' when 24 then 'a@straße.de' when 25 then 'a@b☃.org' when 26 then 'a@xn--zz.org'
+  when 27 then concat('User+', cast(c_custkey % 50 as string), '@Mail.Example.CO.UK') else concat('u', cast(c_custkey as string), '@my-company.io') end as email from {customer}""",
+}
+
 
 def tables_of(text: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", text)))
