@@ -30,5 +30,5 @@ def asset_emails(pages: DataFrame, fetches: DataFrame, most: int = 4) -> DataFra
     met = wanted.join(readable_assets(fetches), "asset_url", "left")
     good = F.filter("emails", lambda e: contacts.is_asset_candidate(e, c("_host")) & ~contacts.is_noise_email(e))
     rows = met.select("page_id", "asset_url", F.when(c("emails").isNotNull(), c("asset_url")).alias("read"), F.coalesce(good, F.array().cast("array<string>")).alias("good"))
-    out = rows.groupBy("page_id").agg(F.count_distinct("asset_url").alias("n_assets"), F.count_distinct("read").alias("n_read"), F.collect_set("good").alias("g"))
+    out = rows.groupBy("page_id").agg(*[F.size(F.collect_set(x)).alias(n) for x, n in (("asset_url", "n_assets"), ("read", "n_read"))], F.collect_set("good").alias("g"))
     return out.select("page_id", "n_assets", "n_read", F.array_sort(F.array_distinct(F.flatten("g"))).alias("emails"))
