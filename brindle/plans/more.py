@@ -65,10 +65,12 @@ query("j06_phone_lookup", "phones", "companies", sql="select region_id, phone, m
 
 
 def either_key(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of ``a`` with the first row of ``b`` that has the same id or the same slug: two equi-joins, ranked, instead of an OR."""
-    by_id = a.join(b.select(c("id").alias("other"), c("slug").alias("_s")), a["id"] == c("other")).select(a["id"], "other", F.lit(0).alias("how"))
-    by_slug = a.join(b.select(c("id").alias("other"), c("slug").alias("_s")), a["slug"] == c("_s")).select(a["id"], "other", F.lit(1).alias("how"))
-    return ranking.top_per_group(by_id.unionAll(by_slug), ["id"], [c("how"), c("other")]).select("id", "other")
+    """Rows of ``a`` with the first row of ``b`` that has the same id or the same slug: two equi-joins, each with one row of ``b`` a key
+    (of a slug only the least id can come first), instead of an OR."""
+    by_id = a.select("id").join(b.select("id").distinct(), "id").select("id", c("id").alias("own"), c("id").alias("other"))
+    least = b.groupBy("slug").agg(F.min("id").alias("other"))
+    by_slug = a.join(least, "slug").select("id", F.lit(None).cast(b.schema["id"].dataType).alias("own"), "other")
+    return by_id.unionAll(by_slug).groupBy("id").agg(F.coalesce(F.min("own"), F.min("other")).alias("other"))
 
 
 query(
