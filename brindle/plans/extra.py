@@ -33,12 +33,28 @@ query(
 
 
 def draft_variants(p: DataFrame, v: DataFrame) -> DataFrame:
-    """Variants of a prompt: templates of the cluster its id points to, scored by priority and word hits, best six."""
-    templates = v.select(c("variant_id"), (c("variant_id") % 20).alias("slot"), "priority", F.split(F.lower("label"), " ").alias("words")).where("variant_id % 7 = 0")
-    rows = p.select("prompt_id", (c("prompt_id") % 20).alias("slot"), F.split(F.lower("prompt"), " ").alias("tokens")).join(templates, "slot")
-    hits = F.size(F.array_intersect("tokens", "words"))
-    rows = rows.select("prompt_id", "variant_id", (c("priority") + 10 * hits).alias("fit"))
-    return ranking.ranked(ranking.top_per_group(rows, ["prompt_id"], [F.desc("fit"), c("variant_id")], 6), ["prompt_id"], [F.desc("fit"), c("variant_id")])
+    """Variants of a prompt: templates of the cluster its id points to, scored by priority and word hits, best six.
+
+    Templates of a cluster with the same words hit alike, so only the best six of each such kind can be among a prompt's; those without a hit
+    are among the best six of the cluster. Each distinct prompt of a cluster meets the kinds it shares a word with, and the cluster's six."""
+    words = F.array_sort(F.array_distinct(F.split(F.lower("label"), " ")))
+    templates = v.where("variant_id % 7 = 0").select("variant_id", (c("variant_id") % 20).alias("slot"), words.alias("words"), "priority")
+    templates = templates.withColumn("priority", F.when(c("words").isNotNull(), c("priority")))
+    best = [F.desc("priority"), c("variant_id")]
+    kinds = ranking.top_per_group(templates, ["slot", "words"], best, 6)
+    asked = p.select("prompt_id", "prompt", (c("prompt_id") % 20).alias("slot"))
+    texts = asked.select("slot", "prompt").distinct()
+    tokens = texts.select("slot", "prompt", F.explode(F.array_distinct(F.split(F.lower("prompt"), " "))).alias("word"))
+    held = tokens.join(kinds.select("slot", "words").distinct().select("slot", "words", F.explode("words").alias("word")), ["slot", "word"])
+    hits = held.groupBy("slot", "prompt", "words").agg(F.count(F.lit(1)).alias("hits"))
+    rows = hits.join(kinds, ["slot", "words"]).select("slot", "prompt", "variant_id", (c("priority") + 10 * c("hits").cast("int")).alias("fit"))
+    rows = rows.unionByName(texts.where("prompt is not null").join(ranking.top_per_group(templates, ["slot"], best, 6), "slot").select("slot", "prompt", "variant_id", c("priority").alias("fit")))
+    rows = rows.unionByName(texts.where("prompt is null").join(ranking.top_per_group(templates, ["slot"], [c("variant_id")], 6), "slot").select("slot", "prompt", "variant_id", F.lit(None).cast("int").alias("fit")))
+    rows = rows.groupBy("slot", "prompt", "variant_id").agg(F.max("fit").alias("fit"))
+    order = [F.desc("fit"), c("variant_id")]
+    rows = ranking.ranked(ranking.top_per_group(rows, ["slot", "prompt"], order, 6), ["slot", "prompt"], order)
+    rows = rows.select(c("slot").alias("_slot"), c("prompt").alias("_prompt"), "variant_id", "fit", "rank")
+    return asked.join(rows, (c("slot") == c("_slot")) & c("prompt").eqNullSafe(c("_prompt"))).select("prompt_id", "variant_id", "fit", "rank")
 
 
 query(

@@ -4,7 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from brindle.plans import more
+from brindle.operators import runs, states
+from brindle.plans import extra, more
 
 
 def most_rows(df) -> int:
@@ -13,7 +14,8 @@ def most_rows(df) -> int:
 
     def walk(p):
         n = p.metrics().get("numOutputRows")
-        inner = [getattr(p, m)() for m in {"AdaptiveSparkPlanExec": ["executedPlan"], "ShuffleQueryStageExec": ["plan"], "BroadcastQueryStageExec": ["plan"]}.get(p.getClass().getSimpleName(), [])]
+        name = p.getClass().getSimpleName()
+        inner = [p.executedPlan()] if name == "AdaptiveSparkPlanExec" else [p.plan()] if name.endswith("QueryStageExec") else []
         inner += [p.children().apply(i) for i in range(p.children().size())]
         return max([n.get().value() if n.isDefined() else 0, *[walk(x) for x in inner]])
 
@@ -26,3 +28,59 @@ def test_either_key_with_one_slug(spark):
     out = more.either_key(a, b)
     assert most_rows(out) <= 6000
     assert {r.id: r.other for r in out.collect()} == {i: i if i % 3 == 0 else 0 for i in range(0, 3000, 2)}
+
+
+def test_prompt_variants_of_alike_labels(spark):
+    words = ["red", "ring", "blue", "bolt"]
+    pick = lambda k: F.element_at(F.array(*[F.lit(w) for w in words]), (F.floor(F.col("id") / k) % 4 + 1).cast("int"))
+    v = spark.range(14000).select(F.col("id").alias("variant_id"), F.concat_ws(" ", pick(3), pick(5)).alias("label"), (F.col("id") % 50).cast("int").alias("priority"))
+    p = spark.range(2000).select(F.col("id").alias("prompt_id"), F.when(F.col("id") != 7, F.concat(F.lit("Ring of "), pick(20))).alias("prompt"))
+    out = extra.draft_variants(p, v)
+    assert most_rows(out) <= 30000
+    templates = [(r.variant_id, set(r.label.split(" ")), r.priority) for r in v.where("variant_id % 7 = 0").collect()]
+    want = {}
+    for r in p.where("prompt_id < 60").collect():
+        fits = [(i, None if r.prompt is None else q + 10 * len(w & set(r.prompt.lower().split(" ")))) for i, w, q in templates if i % 20 == r.prompt_id % 20]
+        want[r.prompt_id] = sorted(fits, key=lambda f: (-(f[1] or 0), f[0]))[:6]
+    got = {i: [] for i in want}
+    for r in out.where("prompt_id < 60").orderBy("prompt_id", "rank").collect():
+        got[r.prompt_id].append((r.variant_id, r.fit))
+    assert got == want
+
+
+STATS = "created_at timestamp_ntz, score int, discovered long, crawled long, contact long, email long, phone long"
+
+
+def test_windows_of_many_audits_and_runs(spark):
+    start, hour = dt.datetime(2024, 1, 1), dt.timedelta(hours=1)
+    stats = [(start + (i % 480) * hour, i % 9 if i % 5 else None, i % 7 if i % 3 else None, i % 4, i % 3, i % 2, None) for i in range(4000)] + [(None, 1, 1, 1, 1, 1, 1)]
+    audits = [(i % 350, start + (i % 240 + 120) * hour if i % 50 else None) for i in range(400)]
+    out = runs.before_and_after(spark.createDataFrame(audits, "audit_id long, changed_at timestamp_ntz"), spark.createDataFrame(stats, STATS))
+    assert most_rows(out) <= 16000
+    got = {(r.audit_id, r.side): (r.runs, r.score, r.crawled, r.phone) for r in out.collect()}
+    assert len(got) == len(out.collect())
+    for audit in (0, 1, 17, 49, 50, 349):
+        for side, low, high in (("before", -168, 0), ("after", 0, 168)):
+            rows = [s for i, at in audits if i == audit and at for s in stats if s[0] and at + low * hour <= s[0] < at + high * hour]
+            scores, found = [s[1] for s in rows if s[1] is not None], sum(s[2] or 0 for s in rows)
+            assert got.get((audit, side)) == ((len(rows), round(sum(scores) / len(scores), 2), round(100.0 * sum(s[3] for s in rows) / max(found, 1), 2), None) if rows else None)
+
+
+LOG = "run long, company long, seq long, at timestamp_ntz, kind string, status string, error string"
+
+
+def test_closes_of_a_large_run(spark):
+    start = dt.datetime(2024, 1, 1)
+    at = lambda n: start + dt.timedelta(hours=n)
+    kinds = [("queue", None), ("start", None), ("finish", "failed"), ("retry", None), ("requeue", None), ("close", "skipped"), ("start", None)]
+    log = [(i % 2, i * 7 % 101, i, at(i * 13 % 500), *kinds[i * 5 % 7], "e") for i in range(1500)]
+    ends = [(i % 3, 10000 + i, at(i * 2), *(("close", "failed") if i % 40 else ("retry", None) if i % 80 else ("close", "running")), f"c{i}") for i in range(200)]
+    rows = spark.createDataFrame(log, LOG)
+    events = spark.createDataFrame(ends, LOG.replace("company long, ", ""))
+    given = states.with_run_events(rows, events, "run", "company")
+    named = rows.select("run", "company").distinct()
+    whole = rows.unionByName(named.join(events, "run").select(*rows.columns))
+    assert whole.count() > 3 * given.count()
+    for chunk in (4, 1024):
+        fold = lambda df: sorted(map(tuple, states.company_states(df, ["run", "company"], ["at", "seq"], chunk).collect()))
+        assert fold(given) == fold(whole)
