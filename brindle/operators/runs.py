@@ -37,21 +37,38 @@ def quota_ok(used: Column, n: Column, cap: Column) -> Column:
     return (cap <= 0) | (used + n <= cap)
 
 
-def window_figures(stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs, mean score and four rates (percent of what was discovered) of a window."""
-    rate = lambda c: F.bround(100.0 * F.sum(c) / F.greatest(F.sum("discovered"), F.lit(1)), 2).alias(c)
-    return stats.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), F.bround(F.avg("score"), 2).alias("score"), *[rate(c) for c in ("crawled", "contact", "email", "phone")])
-
-
 def before_and_after(audits: DataFrame, stats: DataFrame, days: int = 7) -> DataFrame:
-    """Figures of the ``days`` before and after each audit. Both sides are dealt by day, so the range join is an
-    equi-join on the days a window touches; exact bounds are tested after it."""
-    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
-    a = audits.select("audit_id", "changed_at", F.explode(F.sequence(day("changed_at") - days, day("changed_at") + days)).alias("day"))
-    s = stats.withColumn("day", day("created_at"))
+    """Figures of the ``days`` before and after each audit, from running sums: no audit meets a run.
+
+    Whole-number sums of a window are those before its end less those before its start. Runs are added up by instant and by day; what comes
+    before an instant on its day is a running sum over the instants of that day, and the days between two instants are looked up."""
+    c = F.col
+    day = lambda x: F.datediff(x.cast("date"), F.lit("1970-01-01").cast("date"))
+    names = ("score", "discovered", "crawled", "contact", "email", "phone")
+    sums = ["runs", *[f"{k}_{x}" for x in names for k in ("n", "sum")]]
+    zero = lambda x: F.coalesce(x, F.lit(0).cast("long"))
+    instants = stats.where("created_at is not null").groupBy(c("created_at").alias("at")).agg(
+        F.count(F.lit(1)).alias("runs"), *[e for x in names for e in (F.count(x).alias(f"n_{x}"), zero(F.sum(c(x).cast("long"))).alias(f"sum_{x}"))]
+    ).withColumn("day", day(c("at")))
     span = F.expr(f"interval {days} days")
-    rows = s.join(a, "day").where((F.col("created_at") >= F.col("changed_at") - span) & (F.col("created_at") < F.col("changed_at") + span))
-    return window_figures(rows.withColumn("side", F.when(F.col("created_at") < F.col("changed_at"), "before").otherwise("after")), ["audit_id", "side"])
+    moments = audits.where("changed_at is not null").select("changed_at").distinct()
+    ends = F.array(F.struct(F.lit("before").alias("side"), (c("changed_at") - span).alias("start"), c("changed_at").alias("end")), F.struct(F.lit("after").alias("side"), c("changed_at").alias("start"), (c("changed_at") + span).alias("end")))
+    windows = moments.select("changed_at", F.inline(ends))
+    edges = windows.select("changed_at", "side", F.inline(F.array(F.struct(c("start").alias("at"), F.lit(-1).alias("sign")), F.struct(c("end").alias("at"), F.lit(1).alias("sign"))))).withColumn("day", day(c("at")))
+    marks = edges.select("at", "day").distinct()
+    # Of one instant the mark comes first: its own runs are not before it.
+    both = instants.withColumn("mark", F.lit(False)).unionByName(marks.withColumn("mark", F.lit(True)), allowMissingColumns=True)
+    w = Window.partitionBy("day").orderBy("at", F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0)
+    before = both.select("at", "mark", *[zero(F.sum(x).over(w)).alias(x) for x in sums]).where("mark").drop("mark")
+    parts = edges.join(before, "at").select("changed_at", "side", *[(c("sign") * c(x)).alias(x) for x in sums])
+    between = windows.withColumn("day", F.explode(F.filter(F.sequence(day(c("start")), day(c("end"))), lambda d: d < day(c("end")))))
+    whole = between.join(instants.groupBy("day").agg(*[F.sum(x).alias(x) for x in sums]), "day").select("changed_at", "side", *sums)
+    add = lambda df, *keys: df.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in sums])
+    found = add(parts.unionByName(whole), "changed_at", "side").where("runs > 0")
+    t = add(audits.select("audit_id", "changed_at").join(found, "changed_at"), "audit_id", "side")
+    of = lambda x: F.when(c(f"n_{x}") > 0, c(f"sum_{x}"))
+    rate = lambda x: F.bround(100.0 * of(x) / F.greatest(of("discovered"), F.lit(1)), 2).alias(x)
+    return t.select("audit_id", "side", "runs", F.bround(F.try_divide(of("score").cast("double"), c("n_score").cast("double")), 2).alias("score"), *[rate(x) for x in names[2:]])
 
 
 def draft_counts(generations: DataFrame, **children: DataFrame) -> DataFrame:
