@@ -1,9 +1,12 @@
 """Work that must not grow with the square of the input: no operator of a plan makes more rows than a small multiple of it."""
 
 import datetime as dt
+import weakref
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from brindle.functions import markup
 from brindle.operators import runs, states
 from brindle.plans import extra, more
 
@@ -84,3 +87,27 @@ def test_closes_of_a_large_run(spark):
     for chunk in (4, 1024):
         fold = lambda df: sorted(map(tuple, states.company_states(df, ["run", "company"], ["at", "seq"], chunk).collect()))
         assert fold(given) == fold(whole)
+
+
+def test_pages_of_a_batch_are_not_held_as_objects(monkeypatch):
+    class Parts(dict):
+        pass
+
+    live, most, read = weakref.WeakSet(), [0], markup.read_page
+
+    class Ref:
+        pass
+
+    def watched(page):
+        parts = Parts(read(page))
+        parts["mark"] = mark = Ref()
+        live.add(mark)
+        most[0] = max(most[0], len(live))
+        return parts
+
+    pages = pa.array([f'<a href="/{i}">x</a>' if i % 9 else None if i % 2 else "" for i in range(1000)])
+    whole = markup.page_parts.func(pages).to_pylist()
+    monkeypatch.setattr(markup, "read_page", lambda page: None if page is None else watched(page))
+    assert markup.page_parts.func(pages).to_pylist() == whole
+    assert most[0] <= 256
+    assert markup.page_parts.func(pages.slice(0, 0)).to_pylist() == []
