@@ -53,21 +53,40 @@ def rank_clusters(matched: DataFrame, hints: DataFrame) -> DataFrame:
     return held.groupBy("text", "cluster").agg(F.min("vertical").alias("vertical"), (F.count(F.lit(1)) * 100 + F.max(F.length("alias"))).cast("int").alias("score"))
 
 
+def prompt_texts(asks: DataFrame) -> DataFrame:
+    """(prompt, text): each distinct prompt and its normalised text. Normalising costs far more than moving a row, so it is done once a
+    prompt, however many rows ask it; null prompts are left out."""
+    known = materialize(asks.select("prompt").where("prompt is not null").distinct(), "asked")
+    return materialize(known.select("prompt", p.normalize_prompt(F.col("prompt")).alias("text")), "prompts")
+
+
+def with_drafts(asks: DataFrame, named: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``asks`` (prompt_id, prompt) with the drafts ``found`` (text and any columns) for the texts ``named`` by :func:`prompt_texts`."""
+    return asks.select("prompt_id", "prompt").join(named, "prompt").join(found, "text").drop("text")
+
+
 def draft_variants(asks: DataFrame, hints: DataFrame, templates: DataFrame, k: int = 6, fallback: tuple[str, str] = FALLBACK) -> DataFrame:
-    """The first ``k`` drafts of each prompt, best first, by all rules of scoring.
+    """The first ``k`` drafts of each prompt, best first, by all rules of scoring (:func:`text_drafts`).
+
+    ``asks``: prompt_id, prompt. Prompts that are null or hold no word give no draft; equal prompts are scored once, and each row of ``asks`` gets its drafts.
+    """
+    named = prompt_texts(asks)
+    return with_drafts(asks, named, text_drafts(named, hints, templates, k, fallback))
+
+
+def text_drafts(texts: DataFrame, hints: DataFrame, templates: DataFrame, k: int = 6, fallback: tuple[str, str] = FALLBACK) -> DataFrame:
+    """The first ``k`` drafts of each distinct ``text`` (normalised), best first; empty texts have none.
 
-    ``asks``: prompt_id, prompt. ``hints``: vertical, cluster, alias. ``templates``: template_key (one row each within a cluster; of more the first
+    ``hints``: vertical, cluster, alias. ``templates``: template_key (one row each within a cluster; of more the first
     by label stays), label, vertical, cluster, sub_intent, strategy (browser, website, hybrid or map), aliases, search_terms, website_keywords,
     language_hints (arrays) and priority. A prompt's cluster is its best by :func:`rank_clusters`, ties by name, ``fallback`` if it holds no
     alias. A template scores its priority, 10 for each alias held, 6 for its sub-intent, 5 for a place in the prompt, and the bonus of its
-    strategy; order is by score, sub-intent, label, key. A cluster without templates gives one broad draft. Prompts that are null or hold no
-    word give none; equal prompts are scored once, and each row of ``asks`` gets its drafts.
+    strategy; order is by score, sub-intent, label, key. A cluster without templates gives one broad draft.
 
     Templates without a hit differ between prompts of a cluster only in their strategy's bonus, which has four cases. They are ordered once for each
     case, and a prompt with m hits reads the first k + m of its case, so no prompt meets the whole cluster.
     """
-    asks = asks.select("prompt_id", "prompt", p.normalize_prompt(F.col("prompt")).alias("text"))
-    texts = materialize(asks.select("text").where("text <> ''").distinct(), "prompts")
+    texts = materialize(texts.select("text").where("text <> ''").distinct(), "texts")
     templates = top_per_group(templates, ["cluster", "template_key"], [F.col("label")])
     hints = hints.select("vertical", "cluster", "alias", p.normalize_prompt(F.col("alias")).alias("phrase"))
     intent = p.normalize_prompt(F.replace(F.col("sub_intent"), F.lit("-"), F.lit(" ")))
@@ -100,7 +119,7 @@ def draft_variants(asks: DataFrame, hints: DataFrame, templates: DataFrame, k: i
     order = [F.desc("fit_score"), F.col("sub_intent"), F.col("label"), F.col("template_key")]
     drafts = ranked(top_per_group(rows, ["text"], order, k), ["text"], order).select("text", "rank", "template_key", "cluster", "cluster_score", "vertical", "label", "sub_intent", "strategy", F.col("priority").cast("int").alias("template_score"), "match_score", "fit_score", *_proposal())
     broad = chosen.join(templates.select("cluster").distinct(), "cluster", "left_anti").select(*_broad())
-    return asks.join(drafts.unionByName(broad), "text").drop("text")
+    return drafts.unionByName(broad)
 
 
 def _proposal() -> list[Column]:

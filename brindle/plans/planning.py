@@ -52,7 +52,9 @@ d as (select t, rank, template_key, cluster, cluster_score, vertical, label, sub
 @query("pl06_recipe_drafts", "asks", "hints", "templates", sql=DRAFTS_SQL + "select prompt_id, cast(rank as int) as rank, " + ", ".join([*_PLAIN, *_ARRAYS]) + " from n join d using (t)")
 def recipe_drafts(asks: DataFrame, hints: DataFrame, templates: DataFrame) -> DataFrame:
     """The six best drafts of each prompt, with all that a draft proposes."""
-    return drafts.draft_variants(asks, hints, templates).select("prompt_id", "rank", *_PLAIN, *[F.array_join(a, "|").alias(a) for a in _ARRAYS])
+    named = drafts.prompt_texts(asks)
+    found = drafts.text_drafts(named, hints, templates).select("text", "rank", *_PLAIN, *[F.array_join(a, "|").alias(a) for a in _ARRAYS])
+    return drafts.with_drafts(asks, named, found).select("prompt_id", "rank", *_PLAIN, *_ARRAYS)
 
 
 # --- M-02: fields of answers

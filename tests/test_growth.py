@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from brindle.functions import markup
-from brindle.operators import runs, states
+from brindle.operators import drafts, runs, states
 from brindle.plans import extra, more
 
 
@@ -111,3 +111,20 @@ def test_pages_of_a_batch_are_not_held_as_objects(monkeypatch):
     assert markup.page_parts.func(pages).to_pylist() == whole
     assert most[0] <= 256
     assert markup.page_parts.func(pages.slice(0, 0)).to_pylist() == []
+
+
+def test_a_repeated_prompt_is_normalised_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        calls.add(1)
+        return text and text.lower()
+
+    monkeypatch.setattr(drafts.p, "normalize_prompt", counted)
+    asks = spark.range(4000).select(F.col("id").alias("prompt_id"), F.when(F.col("id") % 11 > 0, F.concat(F.lit("Zebra "), F.col("id") % 5)).alias("prompt"))
+    hints = spark.createDataFrame([("beauty", "beauty", "spa")], "vertical string, cluster string, alias string")
+    templates = spark.createDataFrame([], "template_key string, label string, vertical string, cluster string, sub_intent string, strategy string, aliases array<string>, search_terms array<string>, website_keywords array<string>, language_hints array<string>, priority int")
+    got = drafts.draft_variants(asks, hints, templates).groupBy("template_key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("prompt_id").alias("ids")).collect()
+    assert {r.template_key: (r.n, r.ids) for r in got} == {f"zebra-{k}": (n, n) for k in range(5) for n in [sum(i % 11 > 0 and i % 5 == k for i in range(4000))]}
+    assert calls.value <= 100
