@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brindle.functions import prompts as p
+from brindle.functions.values import once
 
 # Strategies as answers write them, and as the library calls them.
 STRATEGIES = (
@@ -15,16 +16,22 @@ STRATEGIES = (
 
 def text_field(v: Column, path: str) -> Column:
     """A field that is text and not blank, trimmed; else null. Numbers and objects are not read as text."""
-    found = F.try_variant_get(v, path, "variant")
-    t = F.btrim(F.try_variant_get(v, path, "string"))
-    return F.when((F.schema_of_variant(found) == "STRING") & (t != ""), t)
+    return once(F.try_variant_get(v, path, "variant"), _text)
+
+
+def _text(found: Column) -> Column:
+    return F.when(F.schema_of_variant(found) == "STRING", F.nullif(F.btrim(F.try_variant_get(found, "$", "string")), F.lit("")))
 
 
 def number_field(v: Column, path: str) -> Column:
     """A number, or text that reads as one, cut to a whole number; else null. Booleans are no numbers."""
-    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    n = F.when(~kind.isin("BOOLEAN", "VOID") & ~kind.rlike("^(OBJECT|ARRAY)"), F.try_variant_get(v, path, "string").try_cast("double"))
-    return F.when(~F.isnan(n), F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)).cast("long"))
+    return once(F.try_variant_get(v, path, "variant"), _number)
+
+
+def _number(found: Column) -> Column:
+    plain = lambda kind: ~kind.isin("BOOLEAN", "VOID") & ~kind.rlike("^(OBJECT|ARRAY)")
+    n = F.when(once(F.schema_of_variant(found), plain), F.try_variant_get(found, "$", "string").try_cast("double"))
+    return once(n, lambda n: F.when(~F.isnan(n), F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)).cast("long")))
 
 
 def metric(json: Column, path: str) -> Column:
@@ -39,12 +46,12 @@ def _score(x: Column, path: str, default: Column) -> Column:
 def _variant(x: Column) -> Column:
     """A variant with its key null where it cannot be used. The template's key stands in for a missing key, the key for a missing label, the
     sum of both parts for a missing fit; scores go into 0 to 100."""
-    key = F.coalesce(text_field(x, "$.variant_key"), text_field(x, "$.template_key"))
     known = F.create_map(*[F.lit(s) for pair in STRATEGIES for s in pair])
-    strategy = F.try_element_at(known, F.lower(text_field(x, "$.source_strategy")))
-    template, match = _score(x, "$.template_score", F.lit(50)), _score(x, "$.prompt_match_score", F.lit(0))
-    label = F.coalesce(text_field(x, "$.label"), p.titleize(key))
-    return F.struct(F.when(strategy.isNotNull(), key).alias("variant_key"), label.alias("label"), strategy.alias("strategy"), _score(x, "$.fit_score", (template + match).cast("long")).alias("fit_score"))
+    names = F.struct(F.coalesce(text_field(x, "$.variant_key"), text_field(x, "$.template_key")).alias("key"), F.try_element_at(known, F.lower(text_field(x, "$.source_strategy"))).alias("strategy"))
+    parts = (_score(x, "$.template_score", F.lit(50)) + _score(x, "$.prompt_match_score", F.lit(0))).cast("long")
+    return once(names, lambda n: F.struct(
+        F.when(n["strategy"].isNotNull(), n["key"]).alias("variant_key"), F.coalesce(text_field(x, "$.label"), p.titleize(n["key"])).alias("label"), n["strategy"].alias("strategy"), _score(x, "$.fit_score", parts).alias("fit_score"),
+    ))
 
 
 def read_answer(raw: Column) -> Column:
@@ -54,17 +61,22 @@ def read_answer(raw: Column) -> Column:
     vertical or slug), ``no variant`` (none, or none that is usable). A variant needs a key and a known strategy; others are dropped and counted, of
     equal keys the first stays. Fields beyond these are ignored. A default that is not among the variants is the first variant.
     """
-    v = F.try_parse_json(raw)
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    cluster, vertical = text_field(v, "$.cluster_choice.cluster_slug"), text_field(v, "$.cluster_choice.vertical")
+    return once(F.try_parse_json(raw), lambda v: once(_fields(v), lambda x: once(F.transform(x["usable"], lambda u: u["variant_key"]), lambda keys: _judged(raw, x, keys))))
+
+
+def _fields(v: Column) -> Column:
+    """What an answer says, each field by itself; ``usable`` are the variants with a key."""
     given = F.coalesce(F.try_variant_get(v, "$.variants", "array<variant>"), F.array().cast("array<variant>"))
-    read = F.transform(given, _variant)
-    usable = F.filter(read, lambda x: x["variant_key"].isNotNull())
-    keys = F.transform(usable, lambda x: x["variant_key"])
-    firsts = F.filter(usable, lambda x, i: F.array_position(keys, x["variant_key"]) == i + 1)
-    default = text_field(v, "$.default_variant_key")
-    error = F.when(F.coalesce(F.btrim(raw), F.lit("")) == "", "no answer").when(~is_object, "not JSON").when(cluster.isNull() | vertical.isNull(), "no cluster").when(F.size(usable) == 0, "no variant")
-    return F.struct(
-        error.alias("error"), cluster.alias("cluster"), vertical.alias("vertical"), firsts.alias("variants"), (F.size(given) - F.size(firsts)).alias("dropped"),
-        F.when(F.array_contains(keys, default), default).otherwise(F.try_element_at(keys, F.lit(1))).alias("default_key"),
-    )
+    return once(given, lambda given: F.struct(
+        F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("is_object"), text_field(v, "$.cluster_choice.cluster_slug").alias("cluster"), text_field(v, "$.cluster_choice.vertical").alias("vertical"),
+        text_field(v, "$.default_variant_key").alias("default"), F.size(given).alias("given"), F.filter(F.transform(given, _variant), lambda x: x["variant_key"].isNotNull()).alias("usable"),
+    ))
+
+
+def _judged(raw: Column, x: Column, keys: Column) -> Column:
+    """The answer of its fields; ``keys`` are those of its usable variants."""
+    error = F.when(F.coalesce(F.btrim(raw), F.lit("")) == "", "no answer").when(~x["is_object"], "not JSON").when(x["cluster"].isNull() | x["vertical"].isNull(), "no cluster").when(F.size(keys) == 0, "no variant")
+    return once(F.filter(x["usable"], lambda u, i: F.array_position(keys, u["variant_key"]) == i + 1), lambda firsts: F.struct(
+        error.alias("error"), x["cluster"].alias("cluster"), x["vertical"].alias("vertical"), firsts.alias("variants"), (x["given"] - F.size(firsts)).alias("dropped"),
+        F.when(F.array_contains(keys, x["default"]), x["default"]).otherwise(F.try_element_at(keys, F.lit(1))).alias("default_key"),
+    ))

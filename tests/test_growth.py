@@ -6,7 +6,7 @@ import weakref
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from brindle.functions import markup
+from brindle.functions import answers, markup
 from brindle.operators import drafts, runs, states
 from brindle.plans import extra, more
 
@@ -128,3 +128,8 @@ def test_a_repeated_prompt_is_normalised_once(spark, monkeypatch):
     got = drafts.draft_variants(asks, hints, templates).groupBy("template_key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("prompt_id").alias("ids")).collect()
     assert {r.template_key: (r.n, r.ids) for r in got} == {f"zebra-{k}": (n, n) for k in range(5) for n in [sum(i % 11 > 0 and i % 5 == k for i in range(4000))]}
     assert calls.value <= 100
+
+
+def test_an_answer_is_read_once(spark):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("raw")).select(answers.read_answer(F.col("raw")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(path) for path in ("$.variants", "$.cluster_choice.vertical", "$.default_variant_key", "$.source_strategy", "$.fit_score")] == [1] * 5
