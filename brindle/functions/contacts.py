@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from brindle.functions.values import once
+
 # Fixed values.
 EMAIL = r"([a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,})"
 PHONE = r"(?<!\w)(\+?\d[\d\s()./\-]{6,}\d)"
@@ -100,19 +102,20 @@ def normalize_phone(value: Column) -> Column:
 
     The length is tested before a leading ``00`` is dropped.
     """
-    c = F.btrim(F.regexp_replace(value, r"(?i)(ext|extension|x)\s*\d+$", ""))
-    digits = F.regexp_replace(c, r"\D", "")
+    return once(F.btrim(F.regexp_replace(value, r"(?i)(ext|extension|x)\s*\d+$", "")), lambda c: once(F.regexp_replace(c, r"\D", ""), lambda digits: _dialled(c, digits)))
+
+
+def _dialled(c: Column, digits: Column) -> Column:
+    """The length goes first: most texts have too few digits, and need no other test."""
     letters = F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
     bad = c.contains("://") | F.lower(c).contains("www.") | (letters > 3) | (F.length(c) > 64) | c.rlike(r"\b\d{1,2}[.:]\d{2}\b")
-    ok = F.length(digits).between(9, 15)
-    return F.when(~bad & ok, F.concat(F.lit("+"), F.regexp_replace(digits, "^00", "")))
+    return F.when(F.length(digits).between(9, 15) & ~bad, F.concat(F.lit("+"), F.regexp_replace(digits, "^00", "")))
 
 
 def is_noise_phone(phone: Column) -> Column:
     """One digit repeated, or a counting row."""
-    digits = F.regexp_replace(phone, r"\D", "")
-    one = (digits != "") & (F.replace(digits, F.substring(digits, 1, 1), F.lit("")) == "")
-    return one | digits.isin(*NOISE_PHONES)
+    one = lambda digits: (digits != "") & (F.replace(digits, F.substring(digits, 1, 1), F.lit("")) == "")
+    return once(F.regexp_replace(phone, r"\D", ""), lambda digits: one(digits) | digits.isin(*NOISE_PHONES))
 
 
 def has_phone_hint(context: Column) -> Column:

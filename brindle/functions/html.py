@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.pandas.types import from_arrow_type
 
 from brindle.functions import contacts, crawl
+from brindle.functions.values import in_slices, once
 
 CAPTCHA_HINTS = ("captcha", "g-recaptcha", "hcaptcha", "cf-turnstile")
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&eacute;": "é", "&#64;": "@", "&#46;": ".", "&#x40;": "@", "&amp;": "&"}
@@ -69,11 +70,14 @@ def _leaves(block: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf(ArrayType(StructType().add("kind", StringType()).add("value", StringType())))
-def json_ld_leaves(blocks: pd.Series) -> pd.Series:
+_LEAVES = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
+
+
+@F.arrow_udf(from_arrow_type(_LEAVES))
+def json_ld_leaves(blocks: pa.Array) -> pa.Array:
     """String leaves of a page's JSON-LD blocks at any depth, in no order: email, telephone and sameAs by their key, all
     others as text. Broken blocks have none."""
-    return blocks.map(lambda bs: [] if bs is None else [x for b in bs for x in _leaves(b)])
+    return in_slices(blocks, lambda bs: [] if bs is None else [x for b in bs for x in _leaves(b)], _LEAVES)
 
 
 def structured_contacts(leaves: Column) -> dict[str, Column]:
@@ -82,7 +86,7 @@ def structured_contacts(leaves: Column) -> dict[str, Column]:
     of = lambda *kinds: F.transform(F.filter(leaves, lambda x: x["kind"].isin(*kinds)), lambda x: x["value"])
     tidy = lambda xs: F.array_sort(F.array_distinct(F.filter(xs, lambda x: x.isNotNull())))
     emails = F.flatten(F.transform(of("email", "text"), lambda v: contacts.extract_emails(v)))
-    phone = lambda v: F.coalesce(contacts.normalize_phone(v).isNotNull() & ~contacts.is_noise_phone(contacts.normalize_phone(v)), F.lit(False))
+    phone = lambda v: once(contacts.normalize_phone(v), lambda n: F.coalesce(n.isNotNull() & ~contacts.is_noise_phone(n), F.lit(False)))
     chat = lambda v: v.contains("wa.me") | v.contains("whatsapp")
     return {
         "emails": tidy(F.filter(emails, lambda e: ~contacts.is_noise_email(e))), "phones": tidy(F.transform(F.filter(of("telephone", "text"), phone), lambda v: F.btrim(v))),

@@ -6,7 +6,7 @@ import weakref
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from brindle.functions import answers, markup
+from brindle.functions import answers, contacts, html, markup
 from brindle.operators import drafts, runs, states
 from brindle.plans import extra, more
 
@@ -133,3 +133,14 @@ def test_a_repeated_prompt_is_normalised_once(spark, monkeypatch):
 def test_an_answer_is_read_once(spark):
     plan = spark.range(1).select(F.col("id").cast("string").alias("raw")).select(answers.read_answer(F.col("raw")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert [plan.count(path) for path in ("$.variants", "$.cluster_choice.vertical", "$.default_variant_key", "$.source_strategy", "$.fit_score")] == [1] * 5
+
+
+def test_a_number_in_a_leaf_is_normalised_once(spark, monkeypatch):
+    made, real = [], contacts.normalize_phone
+    monkeypatch.setattr(contacts, "normalize_phone", lambda v: made.append(v) or real(v))
+    leaves = F.transform(F.array("v"), lambda v: F.struct(F.lit("text").alias("kind"), v.alias("value")))
+    values = ["+66 81 234 5678", "0066812345678 ext 5", "12345678", "000000000", "at 10:30 on 123456789012", "www.a1234567890", "call me 123456789", "x" * 60 + "123456789", "", None]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", html.structured_contacts(leaves)["phones"].alias("phones"))
+    assert {r.v for r in rows.collect() if r.phones} == set(values[:2])
+    assert len(made) == 1
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("extension") == 1
