@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brindle.functions.values import once
+
 # Fixed values.
 SOCIAL_HOSTS = ("facebook", "facebook.com", "instagram", "instagram.com", "linkedin", "linkedin.com", "tiktok", "tiktok.com", "youtube", "youtube.com", "wa.me", "api.whatsapp.com", "whatsapp", "telegram", "t.me", "telegram.me")
 CONTACT_PATH_HINTS = (
@@ -58,31 +60,47 @@ def _merged_path(base_path: Column, href_path: Column) -> Column:
     folder = F.regexp_replace(base_path, "[^/]*$", "")
     joined = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), href_path)
     path_ = F.when(href_path.startswith("/"), href_path).otherwise(F.regexp_replace(joined, "/{2,}", "/"))
-    segments = F.split(path_, "/")
+    return once(path_, lambda whole: F.when(~whole.rlike(r"(^|/)\.\.?(/|$)"), whole).otherwise(once(F.split(whole, "/"), _folded)))
+
+
+def _folded(segments: Column) -> Column:
     up = lambda acc: F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
     kept = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), F.array(F.lit("")), lambda acc, s: F.when(s == ".", acc).when(s == "..", up(acc)).otherwise(F.concat(acc, F.array(s))))
     tail = F.when(F.element_at(segments, -1).isin(".", ".."), F.lit("/")).otherwise("")
-    out = F.concat(F.array_join(kept, "/"), tail)
-    return F.when(~path_.rlike(r"(^|/)\.\.?(/|$)"), path_).when(out.startswith("/"), out).otherwise(F.concat(F.lit("/"), out))
+    return once(F.concat(F.array_join(kept, "/"), tail), lambda out: F.when(out.startswith("/"), out).otherwise(F.concat(F.lit("/"), out)))
 
 
 def absolute_url(base: Column, href: Column) -> Column:
     """A link resolved against its page: other schemes and hosts as they are; else path (with dot segments removed), query and fragment
     by RFC 3986. A link with the page's own scheme but no host is relative. Spaces before it and line ends in it go; null stays null."""
+    return once(_base(base), lambda b: _resolved(b, href))
+
+
+def absolute_urls(base: Column, hrefs: Column) -> Column:
+    """:func:`absolute_url` of each link of a page; the page's own address is taken apart once."""
+    return once(_base(base), lambda b: F.transform(hrefs, lambda href: _resolved(b, href)))
+
+
+def _base(url: Column) -> Column:
+    scheme, root = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    return F.struct(url.alias("url"), scheme.alias("scheme"), root.alias("root"), path(url).alias("path"), F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1).alias("query"))
+
+
+def _resolved(base: Column, href: Column) -> Column:
     href = F.regexp_replace(href, r"^[\x00-\x20]+|[\t\r\n]", "")
-    scheme = F.lower(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    own = F.lower(F.regexp_extract(href, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    rest = F.when(own != "", F.substring(href, F.length(own) + 2, F.length(href))).otherwise(href)
-    p, q, f = F.regexp_extract(rest, r"^([^?#]*)", 1), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1), F.regexp_extract(rest, r"(#.*)$", 1)
-    base_query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
-    return (
-        F.when((own != "") & ((own != scheme) | rest.startswith("//")), href)
-        .when(rest.startswith("//"), F.concat(scheme, F.lit(":"), rest))
-        .when(rest == "", base)
-        .when(p == "", F.concat(root, path(base), F.when(q == "", base_query).otherwise(q), f))
-        .otherwise(F.concat(root, _merged_path(path(base), p), q, f))
-    )
+    return once(href, lambda href: once(F.lower(F.regexp_extract(href, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), lambda own: once(
+        F.when(own != "", F.substring(href, F.length(own) + 2, F.length(href))).otherwise(href), lambda rest: (
+            F.when((own != "") & ((own != base["scheme"]) | rest.startswith("//")), href)
+            .when(rest.startswith("//"), F.concat(base["scheme"], F.lit(":"), rest))
+            .when(rest == "", base["url"])
+            .otherwise(once(F.regexp_extract(rest, r"^([^?#]*)", 1), lambda p: _joined(base, rest, p)))
+        ))))
+
+
+def _joined(base: Column, rest: Column, p: Column) -> Column:
+    q, f = F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1), F.regexp_extract(rest, r"(#.*)$", 1)
+    own_page = F.concat(base["root"], base["path"], once(q, lambda q: F.when(q == "", base["query"]).otherwise(q)), f)
+    return F.when(p == "", own_page).otherwise(F.concat(base["root"], _merged_path(base["path"], p), q, f))
 
 
 def is_host_of(host: Column, hosts: tuple[str, ...]) -> Column:

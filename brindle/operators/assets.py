@@ -21,7 +21,7 @@ def readable_assets(fetches: DataFrame) -> DataFrame:
 
 
 def asset_emails(pages: DataFrame, fetches: DataFrame, most: int = 4) -> DataFrame:
-    """(page_id, n_assets, n_read, emails) for each page of (page_id, url, parts): of its first ``most`` assets, those with a readable fetch, and the
+    """(page_id, n_assets, n_read, emails) for each page of (page_id, url, parts), of whose parts only ``assets`` is read: of its first ``most`` assets, those with a readable fetch, and the
     addresses in them that belong to the page's host or are common mailboxes, sorted. A page without any has an empty list; repeated page ids are one page.
 
     Assets are unique before the join, so a file that a third of the pages loads meets each page once; a hot one is split by Spark.

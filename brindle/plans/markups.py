@@ -51,7 +51,7 @@ _ROOT = "'https://www.site' || page_id % 97 || '.example.com'"
 )
 def asset_emails(pages: DataFrame, fetches: DataFrame) -> DataFrame:
     """Addresses in the first four assets of each page's own host, out of the newest fetch of each."""
-    found = assets.asset_emails(pages.select("page_id", "url", markup.page_parts(c("html")).alias("parts")), fetches)
+    found = assets.asset_emails(pages.select("page_id", "url", F.struct(markup.page_assets(c("html")).alias("assets")).alias("parts")), fetches)
     return found.select("page_id", "n_assets", "n_read", F.array_join("emails", ",").alias("emails"))
 
 

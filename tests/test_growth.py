@@ -144,3 +144,12 @@ def test_a_number_in_a_leaf_is_normalised_once(spark, monkeypatch):
     assert {r.v for r in rows.collect() if r.phones} == set(values[:2])
     assert len(made) == 1
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("extension") == 1
+
+
+def test_an_asset_is_resolved_once(spark):
+    pages = ['<script src=/a.js></script><link rel=preload href="b.css"><link rel=icon href=i.css><script>"<script src=no>"</script><noscript><script src="x/../c.mjs"></noscript><!-- <script src=n> -->', '<script src="/d.js', "<SCRIPT SRC='?q=1'>", "", None]
+    assert [markup.read_assets(p) for p in pages] == [p if p is None else markup.read_page(p)["assets"] for p in pages]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, html string").select("i", F.concat(F.lit("https://www.A.com/p/q"), "i").alias("u"), F.struct(markup.page_assets(F.col("html")).alias("assets")).alias("parts"))
+    rows = rows.select("i", markup.first_assets(F.col("u"), F.col("parts")).alias("a"))
+    assert {r.i: r.a for r in rows.collect()} == {0: ["https://www.A.com/a.js", "https://www.A.com/p/x/../c.mjs".replace("x/../", ""), "https://www.A.com/p/b.css"], 1: [], 2: [], 3: [], 4: None}
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("]+|[") == 1
