@@ -54,22 +54,26 @@ def chosen_paths(x: np.ndarray, runs: int, threshold: float) -> np.ndarray:
 
 
 def sketch(x: np.ndarray) -> bytes:
-    """SKETCH 16-bit minima of a set; the share of equal ones estimates Jaccard."""
+    """SKETCH 32-bit minima of a set; the share of equal ones estimates Jaccard."""
     out = np.zeros(SKETCH, np.uint64)
     step = max(1, (1 << 20) // max(1, len(x)))
     for k in range(0, SKETCH, step):
         out[k : k + step] = (x[None, :] * _SKETCH[k : k + step, None]).min(1)
-    return (out >> np.uint64(40)).astype("<u2").tobytes()
+    return (out >> np.uint64(24)).astype("<u4").tobytes()
 
 
 class Sketches:
-    """Compares sets by their sketches: alike if ``least`` of the places or more agree."""
+    """Compares sets by their sketches: alike if ``least`` of the places or more agree. Tokens are the places with their minima."""
 
     def __init__(self, least: float):
         self.least = least
+        self.size, self.spare = SKETCH, SKETCH - math.ceil(least * SKETCH)
 
     def prepare(self, data: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(data), "<u2").reshape(-1, SKETCH)
+        return np.frombuffer(b"".join(data), "<u4").reshape(-1, SKETCH)
+
+    def tokens(self, data: list[bytes]) -> np.ndarray:
+        return mix(self.prepare(data).astype(np.uint64) | np.arange(SKETCH, dtype=np.uint64) << np.uint64(32)).view(np.int64)
 
     def pairs(self, sketches: np.ndarray, i: np.ndarray, j: np.ndarray, path: np.ndarray | None = None) -> np.ndarray:
         out = np.zeros(len(i), bool)

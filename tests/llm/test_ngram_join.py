@@ -83,3 +83,47 @@ def test_recall_at_the_threshold():
         a, b = x[:200], np.concatenate([x[:178], x[200:]])
         hit += len(np.intersect1d(ngram_join.chosen_paths(np.sort(a), ngram_join.runs_for(0.999), 0.8), ngram_join.chosen_paths(np.sort(b), ngram_join.runs_for(0.999), 0.8))) > 0
     assert hit >= 398
+
+
+def test_a_common_passage_makes_no_pairs_of_blocks(spark, monkeypatch):
+    """Rows follow the documents, not their square, where many share a passage and few are alike."""
+    monkeypatch.setattr(linking, "BLOCK", 8)
+    made, dealt = [], linking.cross_pairs
+
+    def counted(*args):
+        out = dealt(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(linking, "cross_pairs", counted)
+    rng = random.Random(7)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, texts = word(44), []
+    for k in range(320):
+        t = word(20) + passage + word(20)
+        texts += [t] if k % 10 else [t, ["x"] + t[1:], t[:-1] + ["y"]]
+    for n in (192, 384):
+        rows = [(k, " ".join(t)) for k, t in enumerate(texts[:n])]
+        assert got(spark, rows) == truth(rows)
+    assert made[1] <= 3 * made[0] + 384
+
+
+def test_alike_items_share_a_rare_token(spark):
+    """Items alike in just enough places meet, however common or rare the tokens are in which they agree."""
+    rng = random.Random(8)
+    compare, size = ngram_join.Sketches(0.6), ngram_join.SKETCH
+    common = [rng.randrange(1 << 32) for _ in range(size)]
+    sets = []
+    for _ in range(60):
+        a = [c if rng.random() < 0.55 else rng.randrange(1 << 32) for c in common]
+        differ = set(rng.sample(range(size), compare.spare))
+        sets += [a, [rng.randrange(1 << 32) if p in differ else v for p, v in enumerate(a)]]
+    data = [b"".join(v.to_bytes(4, "little") for v in s) for s in sets]
+    pairs = {(i, j) for i in range(120) for j in range(i) if sum(x == y for x, y in zip(sets[i], sets[j])) >= 0.6 * size}
+    assert len(pairs) >= 60
+    items = spark.createDataFrame([(k, k, d) for k, d in enumerate(data)], "alias long, root long, data binary")
+    by = {}
+    for r in linking.rare_tokens(items, compare).collect():
+        by.setdefault(r.path, []).append(r.alias)
+    met = {(max(i, j), min(i, j)) for v in by.values() for i in v for j in v if i != j}
+    assert pairs <= met and len(met) < 0.5 * 120 * 119 / 2
