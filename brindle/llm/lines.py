@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.linking import components_of_shared
 from brindle.llm.rows import NO_ID, id_key, one_of_copies
-from brindle.llm.text import mix, powers, runs, text_blocks, words
+from brindle.llm.text import binary_parts, mix, powers, runs, text_blocks, words
 from brindle.storage import materialize
 
 SHINGLE = 8
@@ -22,6 +22,8 @@ PASSES = 2
 #: (lines of 18 to 250 characters) none agreed in fewer than 0.62 of the places, and the bands missed 0 to 1.5 in a thousand.
 LEAST_AGREEING = 0.62
 SLOTS = ROWS * BANDS
+#: Buckets of the bound on what two lines share, and bytes of the longest line that it judges.
+BUCKETS, FOLDED = 512, 4096
 #: Bytes before a line in its payload: one of each minimum, four of each band key.
 HEAD = SLOTS + 4 * BANDS
 _EMPTY = np.iinfo(np.uint32).max
@@ -36,10 +38,11 @@ def text_id(doc: str) -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, text_id): every line with a word, by place; ``line`` is a 64-bit hash of it, trimmed, and
-    ``text_id`` one of its document."""
-    at = docs.select("doc_id", text_id("doc_id").alias("text_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "t")).where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
-    return at.select("doc_id", "line_no", F.xxhash64(F.btrim("t", F.lit(_SPACES))).alias("line"), "text_id")
+    """(doc_id, line_no, line, text_id, leads): every line with a word, by place; ``line`` is a 64-bit hash of it, trimmed,
+    ``text_id`` one of its document, and ``leads`` tells the first line with a word of a row."""
+    start = F.size(F.split(F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0), "\n")) - 1
+    at = docs.select("doc_id", text_id("doc_id").alias("text_id"), start.alias("start"), F.posexplode(F.split("text", "\n")).alias("line_no", "t")).where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
+    return at.select("doc_id", "line_no", F.xxhash64(F.btrim("t", F.lit(_SPACES))).alias("line"), "text_id", (F.col("line_no") == F.col("start")).alias("leads"))
 
 
 def find_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,11 +194,15 @@ def _shared_bands(blobs: DataFrame) -> DataFrame:
 
 
 class _Items:
-    def __init__(self, data: list[bytes]):
-        self.sketches = np.frombuffer(b"".join(x[:SLOTS] for x in data), np.uint8).reshape(-1, SLOTS)
-        self.bands = np.frombuffer(b"".join(x[SLOTS:HEAD] for x in data), "<u4").reshape(-1, BANDS)
-        self.data = data
-        self.size = np.asarray([len(x) for x in data])
+    def __init__(self, data: pa.Array):
+        self.bytes, self.off = binary_parts(data)
+        head = self.bytes[self.off[:-1, None] + np.arange(HEAD)] if len(data) else np.zeros((0, HEAD), np.uint8)
+        self.sketches = head[:, :SLOTS]
+        self.bands = np.ascontiguousarray(head[:, SLOTS:]).view("<u4")
+        self.size = np.diff(self.off)
+
+    def lines(self, rows: np.ndarray) -> list[bytes]:
+        return [self.bytes[a + HEAD : b].tobytes() for a, b in zip(self.off[rows].tolist(), self.off[rows + 1].tolist())]
 
 
 def alike_lines(lines: list[bytes], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
@@ -226,6 +233,32 @@ def alike_lines(lines: list[bytes], i: np.ndarray, j: np.ndarray, threshold: flo
     return out
 
 
+def may_be_alike(lines: list[bytes], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether :func:`alike_lines` can hold of ``i`` and ``j``: the smaller counts of shingles in each of BUCKETS buckets add up to
+    at least what two lines share. Shingles of a line are told apart by 40 bits of their hashes. Lines of under SHINGLE characters
+    and long ones are not judged and may be."""
+    far = np.asarray([len(x) > FOLDED for x in lines])
+    h, char = char_shingles(np.frombuffer(b"".join(b"" if f else x for x, f in zip(lines, far.tolist())), np.uint8))
+    start = char[np.cumsum([0, *(0 if f else len(x) for x, f in zip(lines, far.tolist()))])]
+    n = np.maximum(start[1:] - SHINGLE + 1 - start[:-1], 0)
+    at = np.arange(n.sum()) + np.repeat(start[:-1] - (np.cumsum(n) - n), n)
+    line = np.repeat(np.arange(len(n)), n)
+    member = np.sort(line.astype(np.uint64) << np.uint64(40) | (h[at] * _ODD[0]) >> np.uint64(24))
+    if len(member):
+        member = member[np.concatenate([[True], member[1:] != member[:-1]])]
+    line = (member >> np.uint64(40)).astype(np.int64)
+    size = np.bincount(line, minlength=len(n))
+    count = np.bincount(line * BUCKETS + (member >> np.uint64(31) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=len(n) * BUCKETS).reshape(-1, BUCKETS)
+    free = (n == 0) | (count.max(1) > 255)
+    count = np.minimum(count, 255).astype(np.uint8)
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(i), 4096):
+        a, b = i[k : k + 4096], j[k : k + 4096]
+        most = np.minimum(count[a], count[b]).sum(1, dtype=np.uint32).astype(np.int64)
+        out[k : k + 4096] = (most >= threshold * (size[a] + size[b] - most) - 1e-9) | free[a] | free[b]
+    return out
+
+
 class Lines:
     """Exact Jaccard of character shingles, for pairs whose signatures do not rule it out. A pair that meets in several
     bands is compared in the first of them."""
@@ -233,7 +266,7 @@ class Lines:
     def __init__(self, threshold: float):
         self.threshold = threshold
 
-    def prepare(self, data: list[bytes]) -> _Items:
+    def prepare(self, data: pa.Array) -> _Items:
         return _Items(data)
 
     def pairs(self, items: _Items, i: np.ndarray, j: np.ndarray, path: np.ndarray | None = None) -> np.ndarray:
@@ -249,11 +282,16 @@ class Lines:
                 ok &= here[np.arange(len(a)), shared.argmax(1)] | ~here.any(1)
             out[k : k + 65536] = ok
         at = np.flatnonzero(out)
+        used, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        if len(at) > len(used):  # many pairs a line: reading each line once costs less than comparing its pairs in full
+            ok = may_be_alike(items.lines(used), place[: len(at)], place[len(at) :], self.threshold)
+            out[at] = ok
+            at = at[ok]
         part = np.cumsum(items.size[i[at]] + items.size[j[at]]) >> 20
         for a, b in zip(*runs(part)):
             here = at[a:b]
             used, place = np.unique(np.concatenate([i[here], j[here]]), return_inverse=True)
-            out[here] = alike_lines([items.data[k][HEAD:] for k in used.tolist()], place[: len(here)], place[len(here) :], self.threshold)
+            out[here] = alike_lines(items.lines(used), place[: len(here)], place[len(here) :], self.threshold)
         return out
 
 
@@ -322,10 +360,11 @@ def _removals(docs: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, text_id, n_lines, n_removed, removed, copies) of each document: an id, NO_ID for null, and a text with a word."""
     lines, kept = line_classes(docs, threshold=threshold)
     gone = lines.join(kept, "line").where("doc_id <> keep_doc or line_no <> keep_line or text_id <> keep_text").groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    each = lines.groupBy("doc_id", "text_id").agg(F.countDistinct("line_no").alias("n_lines"), F.count(F.lit(1)).alias("n"))
+    # every copy of a document has one leading line, so its lines need not be told apart to be counted
+    each = lines.groupBy("doc_id", "text_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("leads").alias("copies")).withColumn("n_lines", F.expr("n div copies"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     out = each.join(gone, ["doc_id", "text_id"], "left").withColumn("removed", removed)
-    return out.select("doc_id", "text_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", (F.col("n") / F.col("n_lines")).cast("long").alias("copies"))
+    return out.select("doc_id", "text_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "copies")
 
 
 def dedup_lines(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:

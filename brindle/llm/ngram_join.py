@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.rows import NO_ID, id_key, one_of_copies, text_key
-from brindle.llm.text import mix, text_blocks, word_shingles
+from brindle.llm.text import binary_parts, mix, text_blocks, word_shingles
 from brindle.llm.linking import block_pairs, components_of_shared, forest, grouped, in_play
 from brindle.operators.components import connected_components
 from brindle.storage import materialize
@@ -69,10 +69,10 @@ class Sketches:
         self.least = least
         self.size, self.spare = SKETCH, SKETCH - math.ceil(least * SKETCH)
 
-    def prepare(self, data: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(data), "<u4").reshape(-1, SKETCH)
+    def prepare(self, data: pa.Array) -> np.ndarray:
+        return np.frombuffer(binary_parts(data)[0], "<u4").reshape(-1, SKETCH)
 
-    def tokens(self, data: list[bytes]) -> np.ndarray:
+    def tokens(self, data: pa.Array) -> np.ndarray:
         return mix(self.prepare(data).astype(np.uint64) | np.arange(SKETCH, dtype=np.uint64) << np.uint64(32)).view(np.int64)
 
     def pairs(self, sketches: np.ndarray, i: np.ndarray, j: np.ndarray, path: np.ndarray | None = None) -> np.ndarray:

@@ -50,6 +50,12 @@ def _contracted(edges: DataFrame, chunk: int) -> DataFrame:
     return edges.mapInArrow(run, f"hi {kind}, lo {kind}")
 
 
+def _dealt(edges: DataFrame, chunk: int) -> DataFrame:
+    """The edges contracted where they are, then by their larger end. A task gives a node only one smaller end, so no node brings
+    more rows to its place than there were tasks, and all smaller ends of a node are joined there."""
+    return _contracted(_contracted(edges, chunk).repartition("hi"), chunk)
+
+
 def _is_forest_of_stars(edges: DataFrame) -> bool:
     """Every node hangs under one node only, and none of these hangs itself."""
     ends = edges.select(F.col("hi").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select(F.col("lo").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
@@ -59,14 +65,14 @@ def _is_forest_of_stars(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, chunk: int = CHUNK) -> DataFrame:
     """Distributed union-find: contraction within tasks, between alternating large-star and small-star steps.
 
-    Each task first contracts its own edges to stars, ``chunk`` edges at a time; a small graph, which Spark reads in one
-    task, is then done. Each round hangs every node under the smallest neighbour known so far; a hub's edges are only ever
+    Each task first contracts its own edges to stars, ``chunk`` edges at a time, and these are dealt by their larger ends and
+    contracted again, which leaves few rounds or none. Each round hangs every node under the smallest neighbour known so far; a hub's edges are only ever
     reduced with ``min`` (map-side combined) and joined back, so no node's neighbours meet in one task. Rounds end when
     the edges are a forest of stars. Null ends and self-loops are ignored; edges that are none after ``max_rounds`` are an
     error. Returns (node, root): every node of a non-loop edge, with root the smallest node of its component.
     """
-    cur = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
-    cur = materialize(_contracted(cur, chunk), "edges")
+    cur = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
+    cur = materialize(_dealt(cur, chunk), "edges")
     rounds = 0
     while not _is_forest_of_stars(cur):
         if rounds == max_rounds:
@@ -76,10 +82,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: every larger neighbour of u goes under u's smallest neighbour
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        large = materialize(large.unionAll(least.where("m < u").select(F.col("u").alias("hi"), F.col("m").alias("lo"))).where("hi <> lo").distinct(), "edges")
+        large = materialize(large.unionAll(least.where("m < u").select(F.col("u").alias("hi"), F.col("m").alias("lo"))).where("hi <> lo"), "edges")
         # small star: every smaller neighbour of u, and u, go under u's smallest neighbour
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi")
         small = small.select(F.col("lo").alias("x"), "m").unionAll(low.select(F.col("hi").alias("x"), "m"))
-        cur = materialize(_contracted(small.where("x <> m").select(F.col("x").alias("hi"), F.col("m").alias("lo")).distinct(), chunk), "edges")
+        cur = materialize(_dealt(small.where("x <> m").select(F.col("x").alias("hi"), F.col("m").alias("lo")), chunk), "edges")
     return cur.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(cur.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from brindle.llm import linking, lines
 
@@ -119,3 +120,44 @@ def test_recall_by_length_with_and_without_the_signature_bound():
         passed = (sketch[::2] == sketch[1::2]).sum(1) >= lines.LEAST_AGREEING * lines.SLOTS
         print(low, high, banded.mean(), (banded & passed).mean())
         assert banded.mean() > 0.99 and (banded & passed).mean() > 0.985
+
+
+def test_many_lines_nearly_alike_are_seldom_compared_in_full(monkeypatch):
+    """A base text of 500 characters in 120 edits of some 4 to 8 places: each pair meets, few are alike at 0.8."""
+    rng = random.Random(21)
+    base, made = [rng.choice("abcdefghij é") for _ in range(500)], []
+    for k in range(120):
+        t = list(base)
+        for at in rng.sample(range(500), rng.randint(4, 8)):
+            t[at] = rng.choice("xyz")
+        made.append("".join(t).strip().encode())
+    made += [b"one", b"one", "é".encode() * 5000, "é".encode() * 5000]
+    data = pa.array([bytes(lines.HEAD) + x for x in made], pa.binary())  # without signatures no pair is ruled out by them
+    i, j = (x.ravel() for x in np.triu_indices(len(made), 1))
+    want = lines.alike_lines(made, i, j, 0.8)
+    full, compare = [], lines.alike_lines
+    monkeypatch.setattr(lines, "alike_lines", lambda texts, a, b, t: (full.append(len(a)), compare(texts, a, b, t))[1])
+    got = lines.Lines(0.8)
+    assert (got.pairs(got.prepare(data), i, j) == want).all()
+    assert want.sum() > 20 and sum(full) < want.sum() + 0.2 * (~want).sum()
+
+
+def test_groups_are_cut_at_their_ends_only():
+    rng = np.random.default_rng(5)
+    path = np.sort(rng.integers(0, 60, 900))
+    table = pa.table({"path": path, "bi": np.zeros(900, int), "data": pa.array([bytes(int(k)) for k in rng.integers(0, 30, 900)], pa.binary())})
+    for rows, step in ((1, 7), (50, 64), (2000, 900), (40, 1)):
+        parts = list(linking.held_columns(iter(table.to_batches(max_chunksize=step)), ["path", "bi"], rows, 1 << 22))
+        assert np.concatenate([p.column("path").to_numpy() for p, _, _ in parts]).tolist() == path.tolist()
+        groups = [p.column("path").to_numpy()[a:b].tolist() for p, start, end in parts for a, b in zip(start, end)]
+        assert [g[0] for g in groups] == sorted(set(path.tolist())) and all(len(set(g)) == 1 for g in groups)
+        for p, start, end in parts:
+            v, (i, j) = p.column("path").to_numpy(), linking.pairs_of(start, end)
+            assert set(zip(i.tolist(), j.tolist())) == {(x, y) for x in range(len(v)) for y in range(x + 1, len(v)) if v[x] == v[y]}
+
+
+def test_copies_of_a_row_count_its_lines_once(spark):
+    text = " \n\t\n first\n\nfirst\n second \n"
+    docs = spark.createDataFrame([(1, text)] * 3 + [(1, "other\nthird one"), (2, "\n\x0b\n"), (None, "first")], "doc_id long, text string")
+    rows = {(r.doc_id, r.n_lines, r.copies) for r in lines.removed_lines(docs).collect()}
+    assert rows == {(1, 3, 3), (1, 2, 1), (None, 1, 1)}
