@@ -41,7 +41,9 @@ def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, text_id, leads): every line with a word, by place; ``line`` is a 64-bit hash of it, trimmed,
     ``text_id`` one of its document, and ``leads`` tells the first line with a word of a row."""
     start = F.size(F.split(F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0), "\n")) - 1
-    at = docs.select("doc_id", text_id("doc_id").alias("text_id"), start.alias("start"), F.posexplode(F.split("text", "\n")).alias("line_no", "t")).where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
+    # beside a generator these would be read again for every line
+    rows = docs.select("doc_id", text_id("doc_id").alias("text_id"), start.alias("start"), "text")
+    at = rows.select("doc_id", "text_id", "start", F.posexplode(F.split("text", "\n")).alias("line_no", "t")).where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
     return at.select("doc_id", "line_no", F.xxhash64(F.btrim("t", F.lit(_SPACES))).alias("line"), "text_id", (F.col("line_no") == F.col("start")).alias("leads"))
 
 
